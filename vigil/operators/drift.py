@@ -38,7 +38,8 @@ def recent_window(log: DataFrame, group_cols, n: int | None = RECENT_WINDOW_SIZE
 
 def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
                   prob_col: str | None = "probability", warning: float = WARNING_THRESHOLD,
-                  critical: float = CRITICAL_THRESHOLD, groups: DataFrame | None = None) -> DataFrame:
+                  critical: float = CRITICAL_THRESHOLD, groups: DataFrame | None = None,
+                  ref_group_cols=None) -> DataFrame:
     """One row per (group, feature) present in both the reference and the recent rows.
 
     Columns: kind, score, severity, expected/actual distributions, unknown_count,
@@ -46,7 +47,9 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
     ``__output__`` with kind ``output_probability``.
     """
     g = list(group_cols)
+    rg = g if ref_group_cols is None else list(ref_group_cols)  # the reference may be coarser (e.g. no window)
     keys = [*g, "feature"]
+    rkeys = [*rg, "feature"]
     cols = [*g, *numeric, *categorical] + ([prob_col] if prob_col else [])
     long_df = to_long(recent.select(*[F.col(f"`{c}`") for c in cols]), g, numeric, categorical)
     if prob_col:
@@ -54,10 +57,10 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
                             F.col(prob_col).cast("double").alias("num_value"),
                             F.lit(None).cast("string").alias("str_value"))
         long_df = long_df.unionByName(out)
-    ref = materialize_small(reference.select(*keys, F.col("kind").alias("ref_kind"), "bins", "categories",
+    ref = materialize_small(reference.select(*rkeys, F.col("kind").alias("ref_kind"), "bins", "categories",
                                              F.col("reference_distribution").alias("expected_distribution")))
-    ref_slots = ref.select(*keys, "ref_kind", "bins", "categories")
-    tagged = join_small(long_df, ref_slots, keys)
+    ref_slots = ref.select(*rkeys, "ref_kind", "bins", "categories")
+    tagged = join_small(long_df, ref_slots, rkeys)
     numeric_like = F.col("ref_kind").isin("numeric", "output_probability")
     slot = F.when(numeric_like, bin_index("num_value", "bins")).when(F.col("str_value").isNull(), F.lit(-1)).otherwise(
         F.array_position("categories", F.col("str_value")).cast("int") - 1)
@@ -68,7 +71,7 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
         F.sum(F.when(F.col("_slot") == -1, F.col("_n")).otherwise(0)).alias("unknown_count"))
     # Every reference feature of a group that has recent rows is present (all-null values count as zeros).
     groups = recent.select(*g).distinct() if groups is None else groups
-    res = (ref.join(groups, g).join(dense, keys, "left")
+    res = (ref.join(groups, rg).join(dense, keys, "left")
            .withColumn("actual_distribution", F.transform(
                F.sequence(F.lit(0), F.size("expected_distribution") - 1),
                lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long")))
@@ -97,7 +100,8 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
 def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
                   prob_col: str | None = "probability", window: int | None = RECENT_WINDOW_SIZE,
                   min_samples: int = MIN_SAMPLES, ts_col: str = "created_at", id_col: str = "id",
-                  warning: float = WARNING_THRESHOLD, critical: float = CRITICAL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+                  warning: float = WARNING_THRESHOLD, critical: float = CRITICAL_THRESHOLD,
+                  ref_group_cols=None) -> tuple[DataFrame, DataFrame]:
     """Grouped drift check. Returns ``(summary, features)``.
 
     summary: one row per group with sample_size, min_required_samples, severity
@@ -109,12 +113,13 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
     if not g:  # one implicit group
         log, reference = log.withColumn("_all", F.lit(1)), reference.withColumn("_all", F.lit(1))
         summary, feats = drift_analyze(log, reference, ["_all"], numeric, categorical, prob_col, window,
-                                       min_samples, ts_col, id_col, warning, critical)
+                                       min_samples, ts_col, id_col, warning, critical, ref_group_cols=["_all"])
         return summary.drop("_all"), feats.drop("_all")
     recent = recent_window(log, g, window, ts_col, id_col)
     sizes = recent.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_size"))
     enough = sizes.where(F.col("sample_size") >= min_samples).select(*g)
-    feats = feature_drift(recent, reference, g, numeric, categorical, prob_col, warning, critical, groups=enough)
+    feats = feature_drift(recent, reference, g, numeric, categorical, prob_col, warning, critical, groups=enough,
+                          ref_group_cols=ref_group_cols)
     best = feats.groupBy(*g).agg(
         F.max("score").alias("_max"),
         F.count_if(F.col("feature") != "__output__").alias("n_features"),
@@ -144,8 +149,9 @@ def drift_report(summary: DataFrame, features: DataFrame, group_cols) -> DataFra
             F.struct(F.lit("chi_square_p_value"), F.col("chi_square_p_value").cast("string")),
         )).alias("details"))
     per = features.groupBy(*g).agg(
-        F.sort_array(F.collect_list(F.when(F.col("feature") != "__output__",
-                                           F.struct(F.col("feature").alias("_k"), feat_struct.alias("f")))))
+        F.array_sort(F.collect_list(F.when(F.col("feature") != "__output__",
+                                           F.struct(F.col("feature").alias("_k"), feat_struct.alias("f")))),
+                     lambda a, b: F.when(a["_k"] < b["_k"], -1).when(a["_k"] > b["_k"], 1).otherwise(0))
         .alias("_fs"),
         F.max(F.when(F.col("feature") == "__output__", F.struct(
             F.col("kind"), F.col("score"), F.col("severity"), F.col("bins").alias("probability_bins"),
@@ -157,3 +163,41 @@ def drift_report(summary: DataFrame, features: DataFrame, group_cols) -> DataFra
             "array<struct<feature:string,kind:string,score:double,severity:string,details:map<string,string>>>"))
         .alias("features"),
         "output_drift").alias("drift_report"))
+
+
+def windowed_drift(log: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
+                   prob_col: str | None = "probability", duration: str = "1 day", slide: str | None = None,
+                   ts_col: str = "created_at", min_samples: int = MIN_SAMPLES, warning: float = WARNING_THRESHOLD,
+                   critical: float = CRITICAL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Drift per event-time window (tumbling, or sliding with ``slide``) against a per-group reference.
+
+    Adds ``window_start`` to the group; every row of a window is used (no row cap).
+    """
+    g = list(group_cols)
+    w = F.window(ts_col, duration, slide) if slide else F.window(ts_col, duration)
+    windowed = log.withColumn("_w", w).withColumn("window_start", F.col("_w.start")).drop("_w")
+    return drift_analyze(windowed, reference, [*g, "window_start"], numeric, categorical, prob_col, window=None,
+                         min_samples=min_samples, ts_col=ts_col, warning=warning, critical=critical,
+                         ref_group_cols=g)
+
+
+def severity_changes(checks: DataFrame, group_cols, order_cols=("window_start",), severity_col: str = "severity"
+                     ) -> DataFrame:
+    """Checks whose severity differs from the previous check of the same group (the first emits nothing).
+
+    ``insufficient_data`` → ``normal`` is a change like any other.
+    """
+    g = list(group_cols)
+    w = Window.partitionBy(*g).orderBy(*order_cols) if g else Window.orderBy(*order_cols)
+    return (checks.withColumn("previous_severity", F.lag(severity_col).over(w))
+            .where(F.col("previous_severity").isNotNull() & (F.col("previous_severity") != F.col(severity_col)))
+            .withColumnRenamed(severity_col, "new_severity"))
+
+
+def latest_per_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
+    """Newest row per group by ``order_cols`` (all descending), as ``max_by`` over a struct."""
+    g = list(group_cols)
+    key = F.struct(*[F.col(c) for c in order_cols])
+    rest = [c for c in df.columns if c not in g]
+    agg = (df.groupBy(*g) if g else df.groupBy()).agg(F.max_by(F.struct(*rest), key).alias("_r"))
+    return agg.select(*g, "_r.*")

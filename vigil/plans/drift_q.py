@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigil.operators import drift as D
 from vigil.operators import stats as S
 from vigil.plans.registry import query, r6
+from vigil.plans import sqlparts
 from vigil.plans.sqlparts import (DECILES_SQL, LOG_CTE, PROB_EDGES_SQL, drift_cte, reference_cte, sql_bin,
                                   sql_chi, sql_lstr)
 from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, prediction_log, recent_rows, reference_rows
@@ -210,3 +211,81 @@ def recent_predictions(spark, sf_dir):
     """Newest 200 rows of the whole log (TakeOrderedAndProject)."""
     log = prediction_log(spark, sf_dir)
     return D.recent_window(log, [], 200).select("id", *G, r6("probability").alias("probability"))
+
+
+# ---- daily checks over the whole log: windows, changes, events, reports --------------------------------------
+
+def checks(spark, sf_dir):
+    """Daily drift checks per model (every row of each day) against the model's reference period."""
+    log, ref = _reference(spark, sf_dir)
+    summary, feats = D.windowed_drift(log, ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", "1 day")
+    label = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    cid = F.concat_ws("_", "model_name", F.date_format("window_start", "yyyyMMddHHmmss"))
+    return (summary.withColumn("check_id", cid).withColumn("window_label", label),
+            feats.withColumn("check_id", cid))
+
+
+@query("windowed_drift", sql=f"WITH {sqlparts.checks_cte()} SELECT model_name, window_label, sample_size, severity, "
+       "round(overall_score, 6) AS overall_score, n_drifted FROM checks")
+def windowed_drift(spark, sf_dir):
+    summary, _ = checks(spark, sf_dir)
+    return summary.select(*G, "window_label", "sample_size", "severity", r6("overall_score").alias("overall_score"),
+                          "n_drifted")
+
+
+@query("severity_changes", sql=f"WITH {sqlparts.checks_cte()} SELECT model_name, window_label, previous_severity, "
+       "new_severity FROM (SELECT *, lag(severity) OVER (PARTITION BY model_name ORDER BY window_start) "
+       "AS previous_severity, severity AS new_severity FROM checks) "
+       "WHERE previous_severity IS NOT NULL AND previous_severity <> new_severity")
+def severity_changes(spark, sf_dir):
+    summary, _ = checks(spark, sf_dir)
+    return D.severity_changes(summary, G, ["window_start"]).select(*G, "window_label", "previous_severity",
+                                                                  "new_severity")
+
+
+@query("latest_check", sql=f"WITH {sqlparts.checks_cte()} SELECT model_name, check_id, severity, "
+       "round(overall_score, 6) AS overall_score FROM checks "
+       "QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY window_start DESC) = 1")
+def latest_check(spark, sf_dir):
+    summary, _ = checks(spark, sf_dir)
+    return D.latest_per_group(summary, G, ["window_start"]).select(
+        *G, "check_id", "severity", r6("overall_score").alias("overall_score"))
+
+
+@query("severity_events", sql=f"WITH {sqlparts.checks_cte()} SELECT 'drift_check_' || check_id || "
+       "'_severity_changed' AS event_id, 'drift.severity_changed' AS event_type, 'v1' AS contract_version, "
+       "model_name, previous_severity, new_severity, round(overall_score, 6) AS overall_score, sample_size, "
+       "min_required_samples, previous_check_id AS previous_drift_check_id FROM ("
+       "SELECT *, lag(severity) OVER (PARTITION BY model_name ORDER BY window_start) AS previous_severity, "
+       "severity AS new_severity, lag(check_id) OVER (PARTITION BY model_name ORDER BY window_start) "
+       "AS previous_check_id FROM checks) WHERE previous_severity IS NOT NULL AND previous_severity <> new_severity")
+def severity_events(spark, sf_dir):
+    from vigil.operators.events import drift_events
+    summary, feats = checks(spark, sf_dir)
+    ev = drift_events(summary, feats, G, ["window_start"])
+    return ev.select("event_id", "event_type", "contract_version", "model_name", "previous_severity",
+                     "new_severity", r6("overall_score").alias("overall_score"), "sample_size",
+                     "min_required_samples", F.col("metadata")["previous_drift_check_id"].alias(
+                         "previous_drift_check_id"))
+
+
+@query("drift_report_rows", sql=f"WITH {sqlparts.checks_cte()} SELECT c.check_id, f.feature, f.kind, "
+       "round(f.score, 6) AS score, f.severity, '' AS reason FROM feat f JOIN checks c USING (model_name, "
+       "window_start) WHERE f.feature <> '__output__'")
+def drift_report_rows(spark, sf_dir):
+    from vigil.operators.events import report_rows
+    summary, feats = checks(spark, sf_dir)
+    rep = D.drift_report(summary, feats, [*G, "window_start", "check_id"])
+    return report_rows(rep, ["check_id"]).select("check_id", "feature", "kind", r6("score").alias("score"),
+                                                 "severity", "reason")
+
+
+@query("drifted_features", sql=f"WITH {sqlparts.checks_cte()} SELECT c.check_id, coalesce((SELECT string_agg("
+       "f.feature, ',' ORDER BY f.feature) FROM feat f WHERE f.model_name = c.model_name AND f.window_start = "
+       "c.window_start AND f.feature <> '__output__' AND f.severity IN ('warning', 'critical')), '') AS drifted "
+       "FROM checks c")
+def drifted_features(spark, sf_dir):
+    from vigil.operators.events import drifted_features as dfeat
+    summary, feats = checks(spark, sf_dir)
+    rep = D.drift_report(summary, feats, [*G, "window_start", "check_id"])
+    return rep.select("check_id", F.array_join(dfeat(F.col("drift_report")), ",").alias("drifted"))

@@ -104,13 +104,18 @@ ref_dict AS (SELECT * FROM num_ref UNION ALL SELECT * FROM cat_ref UNION ALL SEL
 """
 
 
-def drift_cte(g: str, window: int | None = 200, min_samples: int = 30) -> str:
-    """Feature rows ``feat`` and per-group ``summary`` of the grouped drift check."""
+def drift_cte(g: str, window: int | None = 200, min_samples: int = 30, rg: str | None = None,
+              source: str = "rec_all") -> str:
+    """Feature rows ``feat`` and per-group ``summary`` of the grouped drift check.
+
+    ``g`` groups the recent rows; ``rg`` (default ``g``) keys the reference dictionary.
+    """
+    rg = rg or g
     if window is None:
-        rec = "rec AS (SELECT * FROM rec_all)"
+        rec = f"rec AS (SELECT * FROM {source})"
     else:
         rec = (f"rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {g} "
-               f"ORDER BY created_at DESC, id DESC) AS rn FROM rec_all) WHERE rn <= {window})")
+               f"ORDER BY created_at DESC, id DESC) AS rn FROM {source}) WHERE rn <= {window})")
     return f"""
 {rec},
 sizes AS (SELECT {g}, count(*) AS sample_size FROM rec GROUP BY ALL),
@@ -124,23 +129,21 @@ rec_slots AS (
     CASE WHEN d.kind = 'categorical' THEN
            (CASE WHEN r.s IS NULL THEN -1 ELSE coalesce(list_position(d.categories, r.s), 0) - 1 END)
          ELSE {sql_bin('r.v', 'd.bins')} END AS slot
-  FROM rec_long r JOIN ref_dict d USING ({g}, feature)),
+  FROM rec_long r JOIN ref_dict d USING ({rg}, feature)),
 slot_counts AS (SELECT {g}, feature, slot, count(*) AS n FROM rec_slots GROUP BY ALL),
 unknowns AS (SELECT {g}, feature, sum(CASE WHEN slot = -1 THEN n ELSE 0 END) AS unknown_count
              FROM slot_counts GROUP BY ALL),
-act_slots AS (
-  SELECT {g}, feature, unnest(range(len(expected))) AS slot
-  FROM ref_dict d SEMI JOIN sizes USING ({g})),
+enough AS (SELECT {g} FROM sizes WHERE sample_size >= {min_samples}),
+ref_g AS (SELECT {g}, feature, d.kind, d.expected FROM ref_dict d JOIN enough USING ({rg})),
+act_slots AS (SELECT {g}, feature, unnest(range(len(expected))) AS slot FROM ref_g),
 act AS (
   SELECT {g}, feature, list(coalesce(c.n, 0) ORDER BY slot) AS actual
   FROM act_slots LEFT JOIN slot_counts c USING ({g}, feature, slot) GROUP BY ALL),
 feat_all AS (
-  SELECT {g}, feature, d.kind, d.expected, a.actual, u.unknown_count,
-         {sql_psi('d.expected', 'a.actual')} AS score
-  FROM ref_dict d JOIN act a USING ({g}, feature) LEFT JOIN unknowns u USING ({g}, feature)),
-feat AS (
-  SELECT f.*, {sql_sev('score')} AS severity
-  FROM feat_all f SEMI JOIN (SELECT {g} FROM sizes WHERE sample_size >= {min_samples}) USING ({g})),
+  SELECT {g}, feature, x.kind, x.expected, a.actual, u.unknown_count,
+         {sql_psi('x.expected', 'a.actual')} AS score
+  FROM ref_g x JOIN act a USING ({g}, feature) LEFT JOIN unknowns u USING ({g}, feature)),
+feat AS (SELECT f.*, {sql_sev('score')} AS severity FROM feat_all f),
 best AS (
   SELECT {g}, max(score) AS mx,
          count(*) FILTER (WHERE feature <> '__output__') AS n_features,
@@ -155,3 +158,14 @@ summary AS (
     CASE WHEN s.sample_size < {min_samples} THEN 0 ELSE coalesce(b.n_drifted, 0) END AS n_drifted
   FROM sizes s LEFT JOIN best b USING ({g}))
 """
+
+
+WINDOWED_SRC = "(SELECT *, time_bucket(INTERVAL '1 day', created_at) AS window_start FROM log)"
+
+
+def checks_cte() -> str:
+    """Daily drift checks per model over the whole log: ``summary`` plus ``checks`` with ids and order."""
+    return (f"{LOG_CTE}, {reference_cte('model_name')}, "
+            f"{drift_cte('model_name, window_start', None, 30, 'model_name', WINDOWED_SRC)}, "
+            "checks AS (SELECT *, model_name || '_' || strftime(window_start, '%Y%m%d%H%M%S') AS check_id, "
+            "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_label FROM summary)")
