@@ -169,3 +169,46 @@ def checks_cte() -> str:
             f"{drift_cte('model_name, window_start', None, 30, 'model_name', WINDOWED_SRC)}, "
             "checks AS (SELECT *, model_name || '_' || strftime(window_start, '%Y%m%d%H%M%S') AS check_id, "
             "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_label FROM summary)")
+
+
+def events_cte() -> str:
+    """Drift events (severity changes of the daily checks) with drifted features and output severity."""
+    return checks_cte() + """,
+ev0 AS (
+  SELECT *, lag(severity) OVER (PARTITION BY model_name ORDER BY window_start) AS previous_severity
+  FROM checks),
+ev AS (
+  SELECT 'drift_check_' || c.check_id || '_severity_changed' AS event_id, c.model_name, NULL::VARCHAR AS model_version,
+         c.previous_severity, c.severity AS new_severity, c.overall_score, c.sample_size, c.window_start,
+         coalesce((SELECT string_agg(f.feature, ', ' ORDER BY f.feature) FROM feat f
+                   WHERE f.model_name = c.model_name AND f.window_start = c.window_start
+                     AND f.feature <> '__output__' AND f.severity IN ('warning', 'critical')), '') AS drifted,
+         (SELECT any_value(f.severity) FROM feat f WHERE f.model_name = c.model_name
+            AND f.window_start = c.window_start AND f.feature = '__output__') AS output_drift_severity
+  FROM ev0 c WHERE c.previous_severity IS NOT NULL AND c.previous_severity <> c.severity),
+tri AS (
+  SELECT *, 'inv_' || substr(sha256(event_id), 1, 12) AS investigation_id,
+    CASE new_severity WHEN 'critical' THEN 'high' WHEN 'warning' THEN 'medium'
+         WHEN 'insufficient_data' THEN 'unknown' ELSE 'low' END AS risk_level,
+    CASE WHEN drifted <> '' AND output_drift_severity IN ('warning', 'critical') THEN 'feature_and_output_drift'
+         WHEN drifted <> '' THEN 'feature_drift'
+         WHEN output_drift_severity IN ('warning', 'critical') THEN 'output_drift'
+         ELSE 'no_strong_drift_signal' END AS primary_issue
+  FROM ev),
+route AS (
+  SELECT *,
+    CASE WHEN new_severity = 'insufficient_data' THEN 'monitor'
+         WHEN new_severity = 'normal' AND previous_severity IS NOT NULL AND previous_severity <> 'normal' THEN 'resolve'
+         WHEN new_severity = 'normal' THEN 'monitor'
+         WHEN new_severity = 'warning' THEN 'replay_test'
+         WHEN new_severity = 'critical' AND (previous_severity = 'warning' OR output_drift_severity = 'critical')
+           THEN 'rollback_production'
+         WHEN new_severity = 'critical' THEN 'retrain' ELSE 'monitor' END AS recommended_action
+  FROM tri),
+act2 AS (
+  SELECT *, recommended_action IN ('rollback_production', 'retrain') AS production_action_required,
+         recommended_action = 'replay_test' AS queue_job_required,
+         CASE recommended_action WHEN 'rollback_production' THEN 'production' WHEN 'retrain' THEN 'candidate' END
+           AS target_environment
+  FROM route)
+"""
