@@ -1,11 +1,11 @@
 """Order statistics without sending a whole group to one task.
 
 ``running_totals`` gives inclusive running sums of weights over the sorted
-values of each group. A group is cut into value ranges by an approximate
-sketch (bounded memory, merged map-side); range totals are tiny and give the
-offsets; the final running sum is a window over (group, range), so even a
-group that holds a third of all rows is spread over ``ranges`` tasks. The
-result is exact: the sketch only decides where the cuts go.
+values of each group. Large inputs are range-partitioned on (group, value)
+(sampled bounds, binary search per row), range totals are tiny and give the
+offsets, and the final running sum is a window over (group, range): a group
+that holds a third of all rows is spread over many tasks. The result is
+exact: the sampling only decides where the cuts go.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from vigil.operators.joins import join_small
 DEFAULT_RANGES = 64
 # Below this many (group, value) rows in total a single sort per group is bounded by the check itself.
 SMALL_INPUT_ROWS = 1_000_000
+# Larger inputs get more value ranges (each range is sorted by one task).
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 20_000
 
 
 def running_totals(
@@ -29,6 +32,7 @@ def running_totals(
     ranges: int = DEFAULT_RANGES,
     descending: bool = False,
     small_rows: int | None = None,
+    tiebreak_cols=(),
 ) -> DataFrame:
     """Inclusive running sums ``<w>_cum`` and group totals ``<w>_total`` per weight column.
 
@@ -39,22 +43,22 @@ def running_totals(
     small_rows = SMALL_INPUT_ROWS if small_rows is None else small_rows
     g = list(group_cols)
     w = list(weight_cols)
+    tb = list(tiebreak_cols)
     key = F.col(value_col) if not descending else -F.col(value_col)
-    df = df.withColumn("_ord", key.cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= small_rows:
+    df = df.withColumn("_ord", key).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = df.count()
+    if n_rows <= small_rows:
         over_g = Window.partitionBy(*g) if g else Window.partitionBy()
-        upto = over_g.orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+        upto = over_g.orderBy("_ord", *tb).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[c for c in df.columns if c != "_ord"],
                          *[F.sum(c).over(upto).alias(f"{c}_cum") for c in w],
                          *[F.sum(c).over(over_g).alias(f"{c}_total") for c in w])
-    levels = [i / ranges for i in range(1, ranges)]
-    cuts = (df.groupBy(*g).agg(F.percentile_approx("_ord", levels, 10000).alias("_cuts"))
-            if g else df.agg(F.percentile_approx("_ord", levels, 10000).alias("_cuts")))
-    if g:
-        ranged = join_small(df, cuts, g)
-    else:
-        ranged = df.crossJoin(F.broadcast(cuts))  # one row
-    ranged = ranged.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < F.col("_ord")))).drop("_cuts")
+    # Large input: range-partition on (group, value). The partitioner finds each row's range by binary
+    # search on sampled bounds, so a hot group is spread over many ranges; the assignment is persisted once
+    # so every branch below sees the same ranges.
+    parts = min(MAX_RANGES, max(ranges, -(-n_rows // ROWS_PER_RANGE)))
+    ranged = (df.repartitionByRange(parts, *[F.col(c) for c in g], F.col("_ord"))
+              .withColumn("_rng", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
     totals = ranged.groupBy(*g, "_rng").agg(*[F.sum(c).alias(f"_{c}_r") for c in w])
     over_g = Window.partitionBy(*g) if g else Window.partitionBy()
     before = over_g.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +68,7 @@ def running_totals(
         *[F.sum(f"_{c}_r").over(over_g).alias(f"{c}_total") for c in w],
     )
     out = join_small(ranged, totals, [*g, "_rng"])
-    local = Window.partitionBy(*g, "_rng").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*g, "_rng").orderBy("_ord", *tb).rowsBetween(Window.unboundedPreceding, 0)
     return out.select(
         *[c for c in df.columns if c != "_ord"],
         *[(F.col(f"_{c}_off") + F.sum(c).over(local)).alias(f"{c}_cum") for c in w],

@@ -56,3 +56,19 @@ def scored_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * (1 - F.col("l_discount")) / 50).alias("score"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
     )
+
+
+# Training-table stand-in over ``lineitem``: numeric and categorical features, target, score, split key.
+TRAIN_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TRAIN_CATEGORICAL = ["l_linestatus"]
+TRAIN_KEY = ["l_orderkey", "l_linenumber"]
+SENTINEL_COLUMN, SENTINEL_VALUE, SENTINEL_REPLACEMENT = "l_quantity", 50, -1
+
+
+def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        *TRAIN_KEY, *TRAIN_NUMERIC, *TRAIN_CATEGORICAL, "l_returnflag", "l_shipdate",
+        (F.col("l_quantity") * (1 - F.col("l_discount")) / 50).alias("score"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+    )
