@@ -72,3 +72,74 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * (1 - F.col("l_discount")) / 50).alias("score"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
     )
+
+
+# ---- ledgers ------------------------------------------------------------------------------------------------
+# Fixed mappings of the ledger stand-ins (orders → investigations / approvals, lineitem → updates).
+ORDER_STATUS_TO_INVESTIGATION = {"O": "running", "P": "waiting_for_approval", "F": "resolved"}
+ORDER_STATUS_TO_APPROVAL = {"O": "pending", "P": "rejected", "F": "approved"}
+PRIORITY_TO_ACTION = {"1-URGENT": "rollback_production", "2-HIGH": "retrain"}
+OTHER_ACTION = "promote_candidate"
+
+
+def _map(col: str, mapping: dict, default=None):
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(F.col(col) == k, v) if expr is None else expr.when(F.col(col) == k, v)
+    return expr.otherwise(F.lit(default))
+
+
+def investigations_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("inv_"), F.col("o_orderkey").cast("string")).alias("investigation_id"),
+        F.concat(F.lit("evt_"), F.col("o_orderkey").cast("string")).alias("event_id"),
+        F.col("o_orderkey"), F.col("o_custkey"),
+        F.col("o_orderpriority").alias("model_name"),
+        _map("o_orderstatus", ORDER_STATUS_TO_INVESTIGATION).alias("status"),
+        F.col("o_orderdate").alias("opened_at"),
+        F.col("o_totalprice"),
+    )
+
+
+def approvals_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("apr_"), F.col("o_orderkey").cast("string")).alias("approval_id"),
+        F.concat(F.lit("inv_"), F.col("o_orderkey").cast("string")).alias("investigation_id"),
+        _map("o_orderpriority", PRIORITY_TO_ACTION, OTHER_ACTION).alias("requested_action"),
+        _map("o_orderstatus", ORDER_STATUS_TO_APPROVAL).alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderkey"),
+    )
+
+
+def investigation_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One update event per lineitem of the order; null fields leave the stored value."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("inv_"), F.col("l_orderkey").cast("string")).alias("investigation_id"),
+        F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"),
+        "l_partkey", "l_suppkey", "l_extendedprice",
+        F.when(F.col("l_returnflag") == "N", F.lit(None).cast("string"))
+        .when(F.col("l_linestatus") == "F", "resolved").otherwise("running").alias("status"),
+        F.when(F.col("l_returnflag") == "R", "waiting_for_job").when(F.col("l_returnflag") == "A", "completed")
+        .alias("current_step"),
+        F.when(F.col("l_discount") >= 0.05, "retrain").alias("recommended_action"),
+        F.when(F.col("l_tax") == 0, F.concat(F.lit("tax-free line "), F.col("l_linenumber").cast("string")))
+        .alias("summary"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), "resolve").otherwise("update")
+        .alias("op"),
+    )
+
+
+def job_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempt log: a job is (user, day); each of the user's events that day is one attempt, ``error`` fails."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(
+        F.concat(F.lit("job_"), F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd"))
+        .alias("job_id"),
+        F.col("user_id"), F.col("event_id"), F.col("ts"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.col("event_type").alias("job_type"),
+    )
