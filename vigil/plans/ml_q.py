@@ -10,7 +10,7 @@ from vigil.plans.registry import query, r6
 from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
 
 T_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
-  l_returnflag, l_quantity * (1 - l_discount) / 50 AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
+  l_returnflag, l_shipdate, l_quantity * (1 - l_discount) / 50 AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
 
 SPLIT_SQL = T_SQL + """,
 h AS (SELECT *, ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':42'),
