@@ -135,9 +135,10 @@ def promotion_checklist(spark, sf_dir):
 
 
 @query("promotion_decide", sql=f"WITH {_cand_sql()} SELECT 'promote_' || model_version AS request_id, model_version, "
-       "bool_and(passed) AS promoted, count(*) FILTER (WHERE NOT passed) AS n_failed, CASE WHEN bool_and(passed) THEN "
+       "promoted, n_failed, CASE WHEN promoted THEN "
        f"'Model ''{MODEL}'' version ''' || model_version || ''' promoted to Production.' ELSE "
-       "'Promotion blocked because checklist failed.' END AS message FROM chk GROUP BY ALL")
+       "'Promotion blocked because checklist failed.' END AS message FROM (SELECT model_version, bool_and(passed) AS "
+       "promoted, count(*) FILTER (WHERE NOT passed) AS n_failed FROM chk GROUP BY model_version)")
 def promotion_decide(spark, sf_dir):
     d = P.promotion_decide(candidates(spark, sf_dir))
     return d.select("request_id", "model_version", "promoted", "n_failed", "message")
