@@ -78,23 +78,25 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
            .withColumn("_empty", (F.coalesce(F.size(F.coalesce("bins", "categories")), F.lit(0)) <= 0)
                        | (F.coalesce(F.size("expected_distribution"), F.lit(0)) <= 0)))
     is_cat = F.col("ref_kind") == "categorical"
-    score = F.when(F.col("_empty"), F.lit(0.0)).otherwise(psi("expected_distribution", "actual_distribution"))
-    stat = F.when(is_cat & ~F.col("_empty") & chi_square_defined("expected_distribution", "actual_distribution"),
-                  chi_square_stat("expected_distribution", "actual_distribution"))
+    exp_, act_ = F.col("expected_distribution"), F.col("actual_distribution")
     res = res.select(
         *keys,
         F.when(F.col("ref_kind").isin("numeric", "output_probability"), F.col("ref_kind"))
         .otherwise(F.lit("categorical")).alias("kind"),
-        score.alias("score"),
-        F.when(F.col("_empty"), F.lit("unknown")).otherwise(severity_from_score(score, warning, critical))
-        .alias("severity"),
-        "bins", "categories", "expected_distribution", "actual_distribution",
+        F.when(F.col("_empty"), F.lit(0.0)).otherwise(psi(exp_, act_)).alias("score"),
+        "_empty", "bins", "categories", "expected_distribution", "actual_distribution",
         F.when(is_cat, F.coalesce("unknown_count", F.lit(0))).alias("unknown_count"),
-        stat.alias("chi_square_stat"),
+        F.when(is_cat & ~F.col("_empty") & chi_square_defined(exp_, act_), chi_square_stat(exp_, act_))
+        .alias("chi_square_stat"),
         (F.size("expected_distribution") - 1).alias("_dof"),
     )
-    return res.withColumn("chi_square_p_value", F.when(F.col("chi_square_stat").isNotNull(),
-                                                       chi2_sf(F.col("chi_square_stat"), F.col("_dof")))).drop("_dof")
+    res = res.withColumn("severity", F.when(F.col("_empty"), F.lit("unknown")).otherwise(
+        severity_from_score("score", warning, critical)))
+    # the p-value needs an incomplete gamma function: Arrow-batched UDF on aggregated rows only
+    res = res.withColumn("chi_square_p_value", F.when(F.col("chi_square_stat").isNotNull(),
+                                                      chi2_sf(F.col("chi_square_stat"), F.col("_dof"))))
+    return res.select(*keys, "kind", "score", "severity", "bins", "categories", "expected_distribution",
+                      "actual_distribution", "unknown_count", "chi_square_stat", "chi_square_p_value")
 
 
 def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),

@@ -45,8 +45,8 @@ def running_totals(
     w = list(weight_cols)
     tb = list(tiebreak_cols)
     key = F.col(value_col) if not descending else -F.col(value_col)
-    df = df.withColumn("_ord", key).persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = df.count()
+    df = df.withColumn("_ord", key)
     if n_rows <= small_rows:
         over_g = Window.partitionBy(*g) if g else Window.partitionBy()
         upto = over_g.orderBy("_ord", *tb).rowsBetween(Window.unboundedPreceding, 0)
@@ -76,32 +76,38 @@ def running_totals(
     )
 
 
-def _lerp(a: Column, b: Column, t: Column) -> Column:
-    # Linear interpolation written the way numpy's quantile does it, so edges agree bit for bit.
-    d = b - a
-    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
-
-
 def quantiles_from_counts(counts: DataFrame, group_cols, value_col: str, levels, count_col: str = "cnt",
                           ranges: int = DEFAULT_RANGES, out_col: str = "quantiles") -> DataFrame:
-    """Exact linear-interpolated quantiles from a (group, value, count) table; one row per group."""
+    """Exact linear-interpolated quantiles (numpy's rule) from a (group, value, count) table; one row per group.
+
+    Each distinct value knows the rank span it covers; only values covering one of
+    the 2·k target ranks (floor and next of (n-1)·p) survive, so the final per-group
+    aggregate sees at most 2·k rows. Expressions are array-shaped, independent of k.
+    """
     g = list(group_cols)
-    v = F.col(value_col)
+    k = len(levels)
+    lv = F.array(*[F.lit(float(p)) for p in levels])
     ranked = running_totals(counts, g, value_col, [count_col], ranges=ranges)
     n = F.col(f"{count_col}_total")
     first = F.col(f"{count_col}_cum") - F.col(count_col)
     last = F.col(f"{count_col}_cum") - 1
-    hit, aggs, picks = None, [], []
-    for i, p in enumerate(levels):
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, n - 1)
-        in_lo = (lo >= first) & (lo <= last)
-        in_hi = (hi >= first) & (hi <= last)
-        hit = (in_lo | in_hi) if hit is None else (hit | in_lo | in_hi)
-        aggs += [F.max(F.when(in_lo, v)).alias(f"_a{i}"), F.max(F.when(in_hi, v)).alias(f"_b{i}"),
-                 F.first(pos - lo).alias(f"_t{i}")]
-        picks.append(_lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")))
-    picked = ranked.where(hit)
-    agg = picked.groupBy(*g).agg(*aggs) if g else picked.agg(*aggs)
-    return agg.select(*g, F.array(*picks).alias(out_col))
+    # target rank j: floor((n-1)p_j) for j < k, min(that + 1, n-1) for j >= k
+    def rank_of(j):
+        lo = F.floor((n - 1).cast("double") * F.element_at(lv, (j % k) + 1))
+        return F.when(j < k, lo).otherwise(F.least(lo + 1, n - 1))
+    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(2 * k - 1)), lambda j: F.struct(j.alias("j"),
+                                                                                          rank_of(j).alias("r"))),
+                    lambda x: (x["r"] >= first) & (x["r"] <= last))
+    picked = ranked.select(*g, F.col(value_col).alias("_v"), n.alias("_n"), F.explode(hits).alias("_h"))
+    agg = (picked.groupBy(*g) if g else picked.groupBy()).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("_h.j"), F.col("_v")))).alias("_m"),
+        F.first("_n").alias("_n"))
+
+    def lerp(i):
+        pos = (F.col("_n") - 1).cast("double") * F.element_at(lv, i + 1)
+        t = pos - F.floor(pos)
+        a, b = F.col("_m")[i], F.col("_m")[i + k]
+        d = b - a
+        # written the way numpy's quantile interpolates, so edges agree bit for bit
+        return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+    return agg.select(*g, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lerp).alias(out_col))
