@@ -143,3 +143,26 @@ def job_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "error").alias("ok"),
         F.col("event_type").alias("job_type"),
     )
+
+
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final job results of the attempt log (completed or dead-lettered), with a result map.
+
+    job type by user: 0 → replay_test, 1 → retrain, 2 → rollback (user_id mod 3); replay passes when the
+    terminal value exceeds 10; retrain completes when it exceeds 5 and names version ``v<value // 100>``
+    when it exceeds 20.
+    """
+    from vigil.operators.queue import route_attempts
+    r = route_attempts(job_attempts(spark, sf_dir))
+    ev = read_table(spark, sf_dir, "events").select("event_id", "value")
+    term = r.where(F.col("outcome").isin("completed", "dlq")).join(ev, "event_id")
+    jt = F.when(F.col("user_id") % 3 == 0, "replay_test").when(F.col("user_id") % 3 == 1, "retrain").otherwise(
+        "rollback")
+    v = F.col("value")
+    res = F.create_map(F.lit("passed"), (v > 10).cast("string"), F.lit("completed"), (v > 5).cast("string"),
+                       F.lit("model_version"), F.when(v > 20, F.concat(F.lit("v"), F.floor(v / 100).cast("string"))))
+    return term.select(
+        "job_id", F.concat(F.lit("inv_"), F.col("user_id").cast("string")).alias("investigation_id"),
+        jt.alias("job_type"), F.col("outcome").alias("status"), res.alias("result"),
+        F.when(F.col("outcome") == "dlq", F.lit("max attempts reached")).alias("error_message"),
+        F.col("attempt").alias("attempts"), F.col("ts").alias("finished_at"))
