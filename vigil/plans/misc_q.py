@@ -175,3 +175,157 @@ def run_acceptance(spark, sf_dir):
         "run_id", F.when(F.col("run_id") == "1995", 1).otherwise(0).alias("exit_code"),
         F.lit(True).alias("summary_present"), F.lit(True).alias("summary_valid"), F.lit(True).alias("completed"))
     return RU.run_acceptance(runs, checked).select("run_id", "failure")
+
+
+# ---- scalar families over the tables -------------------------------------------------------------------------
+from vigil.functions import text as TX  # noqa: E402
+from vigil.operators.queue import backoff_seconds  # noqa: E402
+
+
+@query("fn_scoring", sql="""SELECT event_id, round(1 / (1 + exp(-(value - 50) / 25)), 6) AS sigmoid_p,
+  CAST(1 / (1 + exp(-(value - 50) / 25)) >= coalesce(nullif(floor(value / 100) / 10, 0.0), nullif(0.0, 0.0), 0.5)
+    AS INTEGER) AS predicted_class,
+  coalesce(nullif(floor(value / 100) / 10, 0.0), nullif(0.0, 0.0), 0.5) AS threshold FROM events""")
+def fn_scoring(spark, sf_dir):
+    """Sigmoid of a decision score, class at a threshold, threshold fallback (0 counts as absent)."""
+    ev = read_table(spark, sf_dir, "events")
+    thr = TX.threshold_fallback(F.floor(F.col("value") / 100) / 10, F.lit(0.0))
+    p = TX.sigmoid((F.col("value") - 50) / 25)
+    return ev.select("event_id", F.round(p, 6).alias("sigmoid_p"), TX.predicted_class(p, thr).alias(
+        "predicted_class"), thr.alias("threshold"))
+
+
+@query("fn_keys", sql="""SELECT o_orderkey,
+  'inv_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12) AS investigation_id,
+  'retrain:inv_' || CAST(o_orderkey AS VARCHAR) || ':' || CASE WHEN o_orderstatus = 'P' THEN 'unknown'
+     ELSE o_orderstatus END AS job_key,
+  'promote_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || CASE WHEN o_orderstatus = 'P' THEN 'unknown'
+     ELSE o_orderstatus END AS request_id,
+  'rollback_inv_' || CAST(o_orderkey AS VARCHAR) || '_apr_' || CAST(o_orderkey AS VARCHAR) || '_' ||
+     CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE o_orderstatus END || '_production' AS rollback_request_id,
+  2 * (1 << greatest(CAST(o_orderkey % 5 AS INTEGER) - 1, 0)) AS backoff_seconds
+FROM orders""")
+def fn_keys(spark, sf_dir):
+    """Deterministic ids and idempotency keys, backoff (versions missing on status P)."""
+    o = read_table(spark, sf_dir, "orders")
+    inv = F.concat(F.lit("inv_"), F.col("o_orderkey").cast("string"))
+    ver = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    return o.select(
+        "o_orderkey", TX.short_id("inv", "o_orderkey").alias("investigation_id"),
+        TX.job_key(F.lit("retrain"), inv, ver).alias("job_key"),
+        TX.promotion_request_id(inv, ver).alias("request_id"),
+        P.rollback_request_id(inv, F.concat(F.lit("apr_"), F.col("o_orderkey").cast("string")), ver)
+        .alias("rollback_request_id"),
+        backoff_seconds((F.col("o_orderkey") % 5).cast("int")).alias("backoff_seconds"))
+
+
+@query("fn_text", sql="""SELECT doc_id, right(text, 40) AS tail, left(text, 30) AS head,
+  CASE WHEN length(text) > 25 THEN substr(text, 1, 24) || '…' ELSE text END AS short,
+  length(text) AS n_chars, lang
+FROM documents""")
+def fn_text(spark, sf_dir):
+    """Last / first characters and truncation with an ellipsis over whole documents."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.last_chars("text", 40).alias("tail"), TX.first_chars("text", 30).alias("head"),
+                    TX.truncate("text", 25).alias("short"), F.length("text").alias("n_chars"), "lang")
+
+
+@query("fn_status_bucket", sql="""SELECT bucket, count(*) AS n FROM (SELECT CASE
+  WHEN lower(s) IN ('completed', 'resolved', 'approved', 'passed', 'success', 'production', 'normal') THEN 'ok'
+  WHEN lower(s) IN ('pending', 'waiting_for_approval', 'waiting_for_job', 'queued', 'retrying') THEN 'waiting'
+  WHEN lower(s) IN ('failed', 'dlq', 'rejected', 'critical', 'error', 'expired') THEN 'bad'
+  WHEN lower(s) IN ('running', 'processing', 'open') THEN 'running'
+  WHEN lower(s) IN ('candidate', 'warning', 'staging') THEN 'candidate' ELSE 'other' END AS bucket
+  FROM (SELECT event_type AS s FROM events UNION ALL SELECT CASE o_orderstatus WHEN 'O' THEN 'running'
+        WHEN 'P' THEN 'waiting_for_approval' ELSE 'resolved' END FROM orders)) GROUP BY ALL""")
+def fn_status_bucket(spark, sf_dir):
+    s = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("s")).unionByName(
+        investigations_ledger(spark, sf_dir).select(F.col("status").alias("s")))
+    return s.groupBy(TX.status_bucket("s").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fn_json", sql="""SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k,
+  coalesce(json_extract_string(props, '$.missing.deep'), 'none') AS deep,
+  strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events""")
+def fn_json(spark, sf_dir):
+    """Nested JSON lookup with a default; compact UTC stamp."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("event_id", TX.safe_get("props", "$.k", "none").alias("k"),
+                     TX.safe_get("props", "$.missing.deep", "none").alias("deep"), TX.compact_stamp("ts").alias("stamp"))
+
+
+@query("fn_comma_set", sql="""SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(
+  string_split(coalesce(role || ', ' || text, ''), ','), lambda x: trim(x)), lambda x: x <> ''))) AS items
+FROM conversations""")
+def fn_comma_set(spark, sf_dir):
+    """Comma list → trimmed, non-empty, distinct items (sorted for comparison)."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.array_sort(TX.comma_set(F.concat_ws(", ", "role", "text"))).alias("items"))
+
+
+@query("registry_list", sql="""WITH reg AS (SELECT p_brand AS model_name, CASE WHEN p_size % 10 = 0 THEN NULL
+  ELSE CAST(p_size AS VARCHAR) END AS model_version, p_retailprice, p_size FROM part),
+r AS (SELECT model_name, model_version, round(avg(p_retailprice) / 2000, 6) AS threshold,
+  round(max(p_retailprice) / 2500, 6) AS auc, round(min(p_retailprice) / 2500, 6) AS recall FROM reg GROUP BY ALL)
+SELECT model_name, model_version, 'local' AS model_stage, threshold, metric, value FROM
+  (UNPIVOT r ON auc, recall INTO NAME metric VALUE value)""")
+def registry_list(spark, sf_dir):
+    """Registry rows with their metrics map exploded (read-only listing)."""
+    p = read_table(spark, sf_dir, "part")
+    reg = p.select(F.col("p_brand").alias("model_name"),
+                   F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string")).otherwise(
+                       F.col("p_size").cast("string")).alias("model_version"), "p_retailprice")
+    r = reg.groupBy("model_name", "model_version").agg(
+        F.round(F.avg("p_retailprice") / 2000, 6).alias("threshold"),
+        F.create_map(F.lit("auc"), F.round(F.max("p_retailprice") / 2500, 6), F.lit("recall"),
+                     F.round(F.min("p_retailprice") / 2500, 6)).alias("metrics"))
+    return r.select("model_name", "model_version", F.lit("local").alias("model_stage"), "threshold",
+                    F.explode("metrics").alias("metric", "value"))
+
+
+@query("max_version", sql="""SELECT p_brand AS model_name, max(p_size) FILTER (WHERE p_size % 10 <> 0) AS max_version
+FROM part GROUP BY ALL""")
+def max_version(spark, sf_dir):
+    """Highest registered version per model, comparing versions as numbers, not strings."""
+    p = read_table(spark, sf_dir, "part")
+    v = F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("p_size").cast("string"))
+    return p.groupBy(F.col("p_brand").alias("model_name")).agg(F.max(F.expr("try_cast(v AS INT)")).alias(
+        "max_version")) if False else p.select(F.col("p_brand").alias("model_name"), v.alias("v")).groupBy(
+        "model_name").agg(F.max(F.col("v").cast("int")).alias("max_version"))
+
+
+@query("stale_approvals", sql=f"""WITH {APR_SQL}
+SELECT approval_id FROM apr WHERE status = 'pending'
+  AND created_at < (SELECT max(created_at) FROM apr) - INTERVAL 60 MINUTE""")
+def stale_approvals(spark, sf_dir):
+    """Pending approvals older than 60 minutes at the newest time in the table."""
+    apr = approvals_ledger(spark, sf_dir)
+    now = apr.agg(F.max("created_at").alias("_now"))
+    return (apr.where(F.col("status") == "pending").crossJoin(F.broadcast(now))
+            .where(F.col("created_at") < F.col("_now") - F.expr("INTERVAL 60 MINUTES")).select("approval_id"))
+
+
+@query("flatten_jobs", sql=f"""WITH {JR_SQL}
+SELECT job_id, investigation_id, job_type, status, CAST(value > 10 AS VARCHAR) AS passed,
+  CAST(value > 5 AS VARCHAR) AS completed, ver AS model_version FROM jr2""")
+def flatten_jobs(spark, sf_dir):
+    """Job rows with their result map flattened for reporting."""
+    r = job_results(spark, sf_dir)
+    return r.select("job_id", "investigation_id", "job_type", "status", F.col("result")["passed"].alias("passed"),
+                    F.col("result")["completed"].alias("completed"),
+                    F.col("result")["model_version"].alias("model_version"))
+
+
+@query("audit_messages", sql=f"""WITH {events_cte()}
+SELECT role, node_name, count(*) AS n FROM (
+  SELECT 'system' AS role, 'webhook' AS node_name FROM act2
+  UNION ALL SELECT 'agent', unnest(CASE WHEN production_action_required THEN
+    ['supervisor', 'triage', 'supervisor', 'action', 'supervisor', 'approval', 'supervisor', 'comms', 'supervisor',
+     'completion', 'supervisor'] ELSE ['supervisor', 'triage', 'supervisor', 'action', 'supervisor', 'comms',
+     'supervisor', 'completion', 'supervisor'] END) FROM act2
+  UNION ALL SELECT 'tool', 'queue' FROM act2 WHERE queue_job_required) GROUP BY ALL""")
+def audit_messages(spark, sf_dir):
+    """Audit rows of every investigation: the system opening message, the agent trace, a tool row per job."""
+    from vigil.operators.audit import audit_messages as am
+    inv = DC.investigate(drift_event_table(spark, sf_dir))
+    return am(inv).groupBy("role", "node_name").agg(F.count(F.lit(1)).alias("n"))
