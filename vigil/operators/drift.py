@@ -36,41 +36,43 @@ def recent_window(log: DataFrame, group_cols, n: int | None = RECENT_WINDOW_SIZE
     return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
-                  prob_col: str | None = "probability", warning: float = WARNING_THRESHOLD,
-                  critical: float = CRITICAL_THRESHOLD, groups: DataFrame | None = None,
-                  ref_group_cols=None) -> DataFrame:
-    """One row per (group, feature) present in both the reference and the recent rows.
-
-    Columns: kind, score, severity, expected/actual distributions, unknown_count,
-    chi_square_stat, chi_square_p_value. The output probability is feature
-    ``__output__`` with kind ``output_probability``.
-    """
+def slot_rows(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
+              prob_col: str | None = "probability", ref_group_cols=None, keep=()) -> DataFrame:
+    """Long form of the recent rows with each value's slot: its bin (numeric / output) or category index
+    (categorical, -1 = unknown or null). Narrow: a broadcast join with the reference dictionary."""
     g = list(group_cols)
-    rg = g if ref_group_cols is None else list(ref_group_cols)  # the reference may be coarser (e.g. no window)
-    keys = [*g, "feature"]
+    rg = g if ref_group_cols is None else list(ref_group_cols)
     rkeys = [*rg, "feature"]
-    cols = [*g, *numeric, *categorical] + ([prob_col] if prob_col else [])
-    long_df = to_long(recent.select(*[F.col(f"`{c}`") for c in cols]), g, numeric, categorical)
+    cols = [*g, *keep, *numeric, *categorical] + ([prob_col] if prob_col else [])
+    long_df = to_long(recent.select(*[F.col(f"`{c}`") for c in dict.fromkeys(cols)]), g, numeric, categorical,
+                      keep=list(keep))
     if prob_col:
-        out = recent.select(*g, F.lit("__output__").alias("feature"), F.lit("output_probability").alias("kind"),
+        out = recent.select(*g, *keep, F.lit("__output__").alias("feature"), F.lit("output_probability").alias("kind"),
                             F.col(prob_col).cast("double").alias("num_value"),
                             F.lit(None).cast("string").alias("str_value"))
         long_df = long_df.unionByName(out)
-    ref = materialize_small(reference.select(*rkeys, F.col("kind").alias("ref_kind"), "bins", "categories",
-                                             F.col("reference_distribution").alias("expected_distribution")))
-    ref_slots = ref.select(*rkeys, "ref_kind", "bins", "categories")
+    ref_slots = reference.select(*rkeys, F.col("kind").alias("ref_kind"), "bins", "categories")
     tagged = join_small(long_df, ref_slots, rkeys)
     numeric_like = F.col("ref_kind").isin("numeric", "output_probability")
     slot = F.when(numeric_like, bin_index("num_value", "bins")).when(F.col("str_value").isNull(), F.lit(-1)).otherwise(
         F.array_position("categories", F.col("str_value")).cast("int") - 1)
-    per_slot = (tagged.select(*keys, slot.alias("_slot"))
-                .groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n")))
+    return tagged.select(*g, *keep, "feature", slot.alias("_slot"))
+
+
+def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFrame, group_cols,
+                      warning: float = WARNING_THRESHOLD, critical: float = CRITICAL_THRESHOLD,
+                      ref_group_cols=None) -> DataFrame:
+    """Feature drift rows from slot counts ``(group..., feature, _slot, _n)``; ``groups`` lists the groups to
+    report (every reference feature of such a group gets a row, zero-filled)."""
+    g = list(group_cols)
+    rg = g if ref_group_cols is None else list(ref_group_cols)
+    keys = [*g, "feature"]
+    rkeys = [*rg, "feature"]
+    ref = reference.select(*rkeys, F.col("kind").alias("ref_kind"), "bins", "categories",
+                           F.col("reference_distribution").alias("expected_distribution"))
     dense = per_slot.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_slot") >= 0, F.struct("_slot", "_n")))).alias("_m"),
         F.sum(F.when(F.col("_slot") == -1, F.col("_n")).otherwise(0)).alias("unknown_count"))
-    # Every reference feature of a group that has recent rows is present (all-null values count as zeros).
-    groups = recent.select(*g).distinct() if groups is None else groups
     res = (ref.join(groups, rg).join(dense, keys, "left")
            .withColumn("actual_distribution", F.transform(
                F.sequence(F.lit(0), F.size("expected_distribution") - 1),
@@ -99,6 +101,25 @@ def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(
                       "actual_distribution", "unknown_count", "chi_square_stat", "chi_square_p_value")
 
 
+def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
+                  prob_col: str | None = "probability", warning: float = WARNING_THRESHOLD,
+                  critical: float = CRITICAL_THRESHOLD, groups: DataFrame | None = None,
+                  ref_group_cols=None) -> DataFrame:
+    """One row per (group, feature) present in both the reference and the recent rows.
+
+    Columns: kind, score, severity, expected/actual distributions, unknown_count,
+    chi_square_stat, chi_square_p_value. The output probability is feature
+    ``__output__`` with kind ``output_probability``.
+    """
+    g = list(group_cols)
+    rg = g if ref_group_cols is None else list(ref_group_cols)
+    ref = materialize_small(reference.select(*rg, "feature", "kind", "bins", "categories", "reference_distribution"))
+    rows = slot_rows(recent, ref, g, numeric, categorical, prob_col, ref_group_cols=rg)
+    per_slot = rows.groupBy(*g, "feature", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    groups = recent.select(*g).distinct() if groups is None else groups
+    return drift_from_counts(per_slot, ref, groups, g, warning, critical, ref_group_cols=rg)
+
+
 def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
                   prob_col: str | None = "probability", window: int | None = RECENT_WINDOW_SIZE,
                   min_samples: int = MIN_SAMPLES, ts_col: str = "created_at", id_col: str = "id",
