@@ -9,13 +9,13 @@ from vigil.operators import stats as S
 from vigil.plans.registry import query, r6
 from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
 
-T_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
+T_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
   l_returnflag, l_shipdate, l_quantity * (1 - l_discount) / 50 AS score, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
 
 SPLIT_SQL = T_SQL + """,
-h AS (SELECT *, ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':42'),
-                 1, 15))::BIGINT AS h FROM t),
-rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, l_orderkey, l_linenumber) AS r,
+h AS (SELECT *, ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' ||
+                 CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR) || ':42'), 1, 15))::BIGINT AS h FROM t),
+rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r,
               count(*) OVER (PARTITION BY y) AS n FROM h),
 sp AS (SELECT *, CASE WHEN r <= floor(n * 6 / 10) THEN 'train'
                       WHEN r <= n - floor((n - floor(n * 6 / 10) + 1) / 2) THEN 'val' ELSE 'test' END AS split FROM rk)"""
@@ -83,7 +83,8 @@ def threshold_for_recall(spark, sf_dir):
     return M.threshold_for_recall(t, ["early_line"], min_recall=0.74)
 
 
-@query("stratified_split", sql=f"WITH {SPLIT_SQL} SELECT l_orderkey, l_linenumber, y, split FROM sp")
+@query("stratified_split", sql=f"WITH {SPLIT_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, split "
+       "FROM sp")
 def stratified_split(spark, sf_dir):
     t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42)
     return t.select(*TRAIN_KEY, "y", "split")
@@ -157,10 +158,61 @@ def target_distribution(spark, sf_dir):
 te AS (SELECT * FROM sp WHERE split = 'test'),
 c AS (SELECT count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0) AS N FROM te),
 q AS (SELECT least(P, greatest(1, 10)) AS qp, least(N, 20 - least(P, greatest(1, 10))) AS qn, P FROM c),
-r AS (SELECT te.*, row_number() OVER (PARTITION BY y = 1 ORDER BY h, l_orderkey, l_linenumber) AS rk FROM te)
-SELECT l_orderkey, l_linenumber, y FROM r, q
+r AS (SELECT te.*, row_number() OVER (PARTITION BY y = 1 ORDER BY h, l_orderkey, l_linenumber, l_partkey, l_suppkey)
+      AS rk FROM te)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y FROM r, q
 WHERE (y = 1 AND rk <= least(q.P, 20 - q.qn)) OR (y <> 1 AND rk <= q.qn)""")
 def replay_sample(spark, sf_dir):
     t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42)
     s = M.replay_sample(t.where(F.col("split") == "test"), TRAIN_KEY, "y", n=20, seed=42)
     return s.select(*TRAIN_KEY, "y")
+
+
+# ---- training and scoring (Spark ML; rows-only checks) -------------------------------------------------------
+def _trained(spark, sf_dir):
+    from vigil.operators import train as TRN
+    t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42).persist()
+    model = TRN.fit(t.where(F.col("split") == "train"), TRAIN_NUMERIC, TRAIN_CATEGORICAL, "y")
+    return t, model
+
+
+@query("train_lr")
+def train_lr(spark, sf_dir):
+    """Coefficients of the class-weighted logistic regression fitted on the training split."""
+    from vigil.operators import train as TRN
+    _, model = _trained(spark, sf_dir)
+    return spark.createDataFrame(TRN.coefficients(model), "term string, coefficient double")
+
+
+@query("score")
+def score(spark, sf_dir):
+    """Positive-class probability of every lineitem row from the fitted model."""
+    from vigil.operators import train as TRN
+    t, model = _trained(spark, sf_dir)
+    return TRN.score(t, model).select(*TRAIN_KEY, "split", "y", "probability")
+
+
+@query("predict_batch")
+def predict_batch(spark, sf_dir):
+    """Validated raw requests scored into prediction-log rows at the selected threshold."""
+    from vigil.operators import train as TRN
+    t, model = _trained(spark, sf_dir)
+    val = TRN.score(t.where(F.col("split") == "val"), model)
+    thr = M.threshold_for_recall(val, [], score_col="probability", min_recall=0.74).first()["threshold"]
+    req = t.where(F.col("split") == "test").withColumn("request_id", F.concat_ws("-", *TRAIN_KEY))
+    return TRN.predict_batch(req, model, thr, "v1", "request_id")
+
+
+@query("train_summary")
+def train_summary(spark, sf_dir):
+    """End-to-end training run: split → fit → threshold on validation → metrics per split (one row)."""
+    from vigil.operators import train as TRN
+    t, model = _trained(spark, sf_dir)
+    scored = TRN.score(t, model)
+    thr = M.threshold_for_recall(scored.where(F.col("split") == "val"), [], score_col="probability",
+                                 min_recall=0.74)
+    wide = M.metrics_by_split(scored.crossJoin(F.broadcast(thr)), "split", score_col="probability",
+                              threshold=F.col("threshold"))
+    counts = t.groupBy().pivot("split", ["train", "val", "test"]).count()
+    return wide.crossJoin(thr.select(F.col("threshold").alias("selected_threshold"))).crossJoin(
+        counts.select(*[F.col(s).alias(f"{s}_rows") for s in ("train", "val", "test")]))

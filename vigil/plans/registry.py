@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["drift_q", "ml_q", "decide_q", "ledger_q", "validate_q", "replay_q", "stream_q", "misc_q"]
+MODULES = ["drift_q", "ml_q", "decide_q", "ledger_q", "validate_q", "replay_q", "stream_q", "misc_q", "source_q"]
 
 
 def query(name: str, sql: str | None = None):

@@ -61,7 +61,7 @@ def scored_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Training-table stand-in over ``lineitem``: numeric and categorical features, target, score, split key.
 TRAIN_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TRAIN_CATEGORICAL = ["l_linestatus"]
-TRAIN_KEY = ["l_orderkey", "l_linenumber"]
+TRAIN_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 SENTINEL_COLUMN, SENTINEL_VALUE, SENTINEL_REPLACEMENT = "l_quantity", 50, -1
 
 
