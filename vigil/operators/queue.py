@@ -93,3 +93,17 @@ def queue_depth(state: DataFrame, status_col: str = "status") -> DataFrame:
     s = F.col(status_col)
     return state.agg(F.count_if(s == "retrying").alias("pending"), F.count_if(s == "running").alias("processing"),
                      F.count_if(s == "dlq").alias("dlq"), F.count(F.lit(1)).alias("total"))
+
+
+# Fixed handler names per job type.
+HANDLERS = {"replay_test": "replay_test_handler", "retrain": "retrain_handler", "rollback": "rollback_handler"}
+
+
+def dispatch(jobs: DataFrame, type_col: str = "job_type") -> DataFrame:
+    """Partition job rows by type into handlers; unknown types get an error instead of a handler."""
+    t = F.col(type_col)
+    handler = None
+    for k, v in HANDLERS.items():
+        handler = F.when(t == k, v) if handler is None else handler.when(t == k, v)
+    return jobs.withColumn("handler", handler).withColumn(
+        "error", F.when(~t.isin(*HANDLERS), F.concat(F.lit("Unsupported job type: "), t)))

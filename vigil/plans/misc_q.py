@@ -329,3 +329,75 @@ def audit_messages(spark, sf_dir):
     from vigil.operators.audit import audit_messages as am
     inv = DC.investigate(drift_event_table(spark, sf_dir))
     return am(inv).groupBy("role", "node_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("current_drift", sql=f"""WITH {events_cte()},
+lc AS (SELECT model_name, severity, overall_score FROM checks WHERE sample_size >= 30
+       QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY window_start DESC) = 1),
+li AS (SELECT model_name, new_severity AS severity, overall_score FROM ev
+       QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY window_start DESC) = 1)
+SELECT coalesce(lc.model_name, li.model_name) AS model_name, CASE WHEN lc.model_name IS NOT NULL THEN 'check'
+  ELSE 'investigation' END AS source, coalesce(lc.severity, li.severity) AS severity,
+  round(coalesce(lc.overall_score, li.overall_score), 6) AS overall_score
+FROM lc FULL OUTER JOIN li ON lc.model_name = li.model_name""")
+def current_drift(spark, sf_dir):
+    """Current drift per model: the latest usable check, else the report of the latest investigation."""
+    summary, feats = checks(spark, sf_dir)
+    lc = latest_per_group(summary.where(F.col("sample_size") >= 30), ["model_name"], ["window_start"]).select(
+        "model_name", F.col("severity").alias("c_sev"), F.col("overall_score").alias("c_score"))
+    from vigil.operators.events import drift_events
+    ev = drift_events(summary, feats, ["model_name"], ["window_start"])
+    li = latest_per_group(ev.select("model_name", "created_at", "new_severity", "overall_score"), ["model_name"],
+                          ["created_at"]).select("model_name", F.col("new_severity").alias("i_sev"),
+                                                 F.col("overall_score").alias("i_score"))
+    j = lc.join(li, "model_name", "full_outer")
+    return j.select("model_name", F.when(F.col("c_sev").isNotNull(), "check").otherwise("investigation").alias(
+        "source"), F.coalesce("c_sev", "i_sev").alias("severity"),
+        F.round(F.coalesce("c_score", "i_score"), 6).alias("overall_score"))
+
+
+@query("versioned_stats", sql="""WITH r AS (SELECT event_type AS model_name, value,
+  strftime(ts, '%Y%m%d') AS day FROM events WHERE ts < TIMESTAMP '2024-01-21'),
+v AS (SELECT model_name, 'w' || CAST(week(strptime(day, '%Y%m%d')) AS VARCHAR) AS version, count(*) AS n_rows,
+  round(avg(value), 6) AS mean_value FROM r GROUP BY ALL)
+SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY model_name)""")
+def versioned_stats(spark, sf_dir):
+    """Weekly reference snapshots written under version partitions; the newest version per model read back."""
+    from vigil.sources.sinks import read_newest, write_versioned
+    from vigil.sources.standins import prediction_log, reference_rows
+    from vigil.streaming.runner import scratch_path
+    ref = reference_rows(prediction_log(spark, sf_dir))
+    snap = ref.groupBy("model_name", F.concat(F.lit("w"), F.weekofyear("created_at").cast("string")).alias(
+        "version")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("value"), 6).alias("mean_value"))
+    path = scratch_path(spark, "versioned-stats")
+    write_versioned(snap, path)
+    return read_newest(spark, path, ["model_name"]).select("model_name", "version", "n_rows", "mean_value")
+
+
+@query("retrain_payload")
+def retrain_payload(spark, sf_dir):
+    """Retrain job payloads for approved retrain approvals: state values first, the approval request second."""
+    apr = approvals_ledger(spark, sf_dir).where((F.col("requested_action") == "retrain")
+                                                & (F.col("status") == "approved"))
+    inv = investigations_ledger(spark, sf_dir).select("investigation_id", F.col("model_name").alias("state_model"),
+                                                      F.col("status").alias("state_status"))
+    j = apr.join(inv, "investigation_id", "left")
+    payload = F.struct(
+        "investigation_id", "approval_id",
+        F.coalesce("state_model", F.lit("unknown")).alias("model_name"),
+        F.coalesce(F.lit(None).cast("string"), F.date_format("created_at", "yyyy")).alias("model_version"),
+        F.lit("retrain").alias("recommended_action"), F.col("state_status").alias("investigation_status"))
+    from vigil.functions.text import job_key
+    return j.select(job_key(F.lit("retrain"), F.col("investigation_id"), payload["model_version"]).alias(
+        "idempotency_key"), payload.alias("payload"))
+
+
+@query("job_dispatch", sql=f"""WITH {JR_SQL}
+SELECT job_id, CASE job_type WHEN 'replay_test' THEN 'replay_test_handler' WHEN 'retrain' THEN 'retrain_handler'
+  WHEN 'rollback' THEN 'rollback_handler' END AS handler,
+  CASE WHEN job_type NOT IN ('replay_test', 'retrain', 'rollback') THEN 'Unsupported job type: ' || job_type END AS error
+FROM jr""")
+def job_dispatch(spark, sf_dir):
+    """Job rows routed to their handler by type; an unknown type becomes an error row."""
+    from vigil.operators.queue import dispatch
+    return dispatch(job_results(spark, sf_dir)).select("job_id", "handler", "error")

@@ -108,3 +108,37 @@ def stream_contract_check(spark, sf_dir):
     valid = spark.read.parquet(out + "/valid").select("event_id", F.lit("valid").alias("route"))
     bad = spark.read.parquet(out + "/quarantine").select("event_id", F.lit("quarantine").alias("route"))
     return valid.unionByName(bad)
+
+
+@query("stream_drift")
+def stream_drift(spark, sf_dir):
+    """Continuous drift check: each micro-batch is appended to the prediction log (partitioned by day) and the
+    newest 200 rows per model of the log are checked against the reference; one check row per model per batch."""
+    from vigil.sources.sinks import append_partitioned, predictions_with_day
+    log = prediction_log(spark, sf_dir)
+    ref = S.reference_stats(reference_rows(log), G, LOG_NUMERIC, LOG_CATEGORICAL, "probability").persist()
+
+    def check(batch, epoch, out):
+        append_partitioned(predictions_with_day(batch), f"{out}/log")
+        table = spark.read.parquet(f"{out}/log")
+        summary, _ = D.drift_analyze(table, ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", window=200)
+        summary.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/checks/epoch={epoch}")
+    out = run_to_table(_log_stream(spark, sf_dir), "stream-drift", foreach_batch=check)
+    return spark.read.parquet(out + "/checks").select("epoch", *G, "sample_size", "severity",
+                                                      r6("overall_score").alias("overall_score"))
+
+
+@query("stream_score")
+def stream_score(spark, sf_dir):
+    """Streaming scorer: lineitem rows as a stream, validated and scored by the fitted model, appended."""
+    from vigil.operators import ml as M
+    from vigil.operators import train as TRN
+    from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
+    t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42)
+    model = TRN.fit(t.where(F.col("split") == "train"), TRAIN_NUMERIC, TRAIN_CATEGORICAL, "y")
+    stream = SO.event_stream(spark, sf_dir, "lineitem", ts_col="l_shipdate")
+    feats = stream.select(*TRAIN_KEY, *TRAIN_NUMERIC, *TRAIN_CATEGORICAL)
+    valid = feats.where(F.col("l_quantity").isNotNull() & F.col("l_linestatus").isNotNull())
+    scored = TRN.score(valid, model).withColumn("predicted_class", (F.col("probability") >= 0.5).cast("int"))
+    out = run_to_table(scored, "stream-score")
+    return spark.read.parquet(out + "/data").select(*TRAIN_KEY, "probability", "predicted_class")
