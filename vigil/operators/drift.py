@@ -77,7 +77,8 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
            .withColumn("actual_distribution", F.transform(
                F.sequence(F.lit(0), F.size("expected_distribution") - 1),
                lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long")))
-           .withColumn("_empty", (F.coalesce(F.size(F.coalesce("bins", "categories")), F.lit(0)) <= 0)
+           .withColumn("_empty", (F.coalesce(F.when(F.col("bins").isNotNull(), F.size("bins"))
+                                             .otherwise(F.size("categories")), F.lit(0)) <= 0)
                        | (F.coalesce(F.size("expected_distribution"), F.lit(0)) <= 0)))
     is_cat = F.col("ref_kind") == "categorical"
     exp_, act_ = F.col("expected_distribution"), F.col("actual_distribution")
