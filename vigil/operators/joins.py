@@ -1,4 +1,13 @@
-"""Joins against small derived tables, with the size of the small side checked."""
+"""Joins against small derived tables, with the size of the small side checked.
+
+The check is two-tier. Catalyst's size estimate of the optimized plan comes
+first (no job). Scans and aggregates are estimated at most at their input size,
+so a side estimated under ``ESTIMATE_SMALL_BYTES`` is small. Only when the
+estimate is large (the normal case at scale) is the side counted exactly.
+Within the row bound it is broadcast, so a hot key on the big side never meets a
+shuffle; beyond it the plain join is left to AQE, whose skew-join split handles
+hot keys.
+"""
 
 from __future__ import annotations
 
@@ -8,23 +17,37 @@ from pyspark.sql import functions as F
 
 # Rows a derived side may have and still be broadcast (per-model / per-feature / per-bin tables).
 BROADCAST_MAX_ROWS = 2_000_000
+# A plan whose optimizer estimate is below this many bytes is treated as small without counting.
+ESTIMATE_SMALL_BYTES = 64 * 1024 * 1024
+
+
+def size_estimate(df: DataFrame) -> int:
+    """Optimizer's size estimate of ``df`` in bytes (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable: treat as large and count
+        return 1 << 62
+
+
+def is_small(df: DataFrame, max_rows: int, persist: bool = True) -> tuple[DataFrame, bool]:
+    """(df, small?) — estimate first, exact count only when the estimate is large."""
+    if size_estimate(df) <= ESTIMATE_SMALL_BYTES:
+        return df, True
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count() <= max_rows
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    """Persist a small derived table that several branches read, so its plan runs once."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    """Persist a small derived table that several branches read, so its plan runs once (filled lazily by the
+    first action that reads it)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` to a side that is expected to be small.
-
-    The small side is persisted and counted first. Within the bound it is
-    broadcast, so a hot key on the big side never meets a shuffle; beyond it
-    the plain join is left to AQE, whose skew-join split handles hot keys.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.count() <= max_rows:
+    """Join ``big`` to a side that is expected to be small: broadcast within the checked bound, else a plain
+    (AQE, skew-split) join."""
+    small, ok = is_small(small, max_rows)
+    if ok:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.joins import join_small
+from vigil.operators.joins import ESTIMATE_SMALL_BYTES, join_small, size_estimate
 
 DEFAULT_RANGES = 64
 # Below this many (group, value) rows in total a single sort per group is bounded by the check itself.
@@ -45,7 +45,10 @@ def running_totals(
     w = list(weight_cols)
     tb = list(tiebreak_cols)
     key = F.col(value_col) if not descending else -F.col(value_col)
-    n_rows = df.count()
+    if size_estimate(df) <= ESTIMATE_SMALL_BYTES and small_rows > 0:
+        n_rows = 0  # bounded by the plan estimate: no count needed
+    else:
+        n_rows = df.count()
     df = df.withColumn("_ord", key)
     if n_rows <= small_rows:
         over_g = Window.partitionBy(*g) if g else Window.partitionBy()
