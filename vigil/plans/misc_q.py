@@ -221,13 +221,14 @@ def fn_keys(spark, sf_dir):
 
 @query("fn_text", sql="""SELECT doc_id, right(text, 40) AS tail, left(text, 30) AS head,
   CASE WHEN length(text) > 25 THEN substr(text, 1, 24) || '…' ELSE text END AS short,
-  length(text) AS n_chars, lang
+  length(text) AS n_chars, lang, trim(regexp_extract(text, 'Artifacts saved to:\s*(.+)', 1)) AS artifacts_path
 FROM documents""")
 def fn_text(spark, sf_dir):
     """Last / first characters and truncation with an ellipsis over whole documents."""
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", TX.last_chars("text", 40).alias("tail"), TX.first_chars("text", 30).alias("head"),
-                    TX.truncate("text", 25).alias("short"), F.length("text").alias("n_chars"), "lang")
+                    TX.truncate("text", 25).alias("short"), F.length("text").alias("n_chars"), "lang",
+                    TX.artifacts_path("text").alias("artifacts_path"))
 
 
 @query("fn_status_bucket", sql="""SELECT bucket, count(*) AS n FROM (SELECT CASE
@@ -401,3 +402,25 @@ def job_dispatch(spark, sf_dir):
     """Job rows routed to their handler by type; an unknown type becomes an error row."""
     from vigil.operators.queue import dispatch
     return dispatch(job_results(spark, sf_dir)).select("job_id", "handler", "error")
+
+
+@query("fn_json_safe", sql="""SELECT event_id, CASE WHEN value < 1 THEN NULL ELSE value END AS safe_value,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events""")
+def fn_json_safe(spark, sf_dir):
+    """NaN → null before JSON, ISO timestamps (values under 1 stand for failed computations here)."""
+    ev = read_table(spark, sf_dir, "events")
+    raw = F.when(F.col("value") < 1, F.lit(float("nan"))).otherwise(F.col("value"))
+    out = ev.select("event_id", TX.json_safe_double(raw).alias("safe_value"), TX.iso_stamp("ts").alias("created_at"))
+    return out
+
+
+@query("fn_metadata_merge", sql="""SELECT event_id, event_type AS source, json_extract_string(props, '$.k') AS k,
+  'local' AS environment FROM events""")
+def fn_metadata_merge(spark, sf_dir):
+    """Metadata maps merged with the right side winning on shared keys."""
+    ev = read_table(spark, sf_dir, "events")
+    left = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("source"), F.lit("events"),
+                        F.lit("environment"), F.lit("local"))
+    right = F.create_map(F.lit("source"), F.col("event_type"))
+    m = TX.merge_metadata(left, right)
+    return ev.select("event_id", m["source"].alias("source"), m["k"].alias("k"), m["environment"].alias("environment"))
