@@ -270,8 +270,8 @@ def severity_events(spark, sf_dir):
 
 
 @query("drift_report_rows", sql=f"WITH {sqlparts.checks_cte()} SELECT c.check_id, f.feature, f.kind, "
-       "round(f.score, 6) AS score, f.severity, '' AS reason FROM feat f JOIN checks c USING (model_name, "
-       "window_start) WHERE f.feature <> '__output__'")
+       "round(f.score, 6) AS score, f.severity, '' AS reason FROM checks c LEFT JOIN (SELECT * FROM feat "
+       "WHERE feature <> '__output__') f USING (model_name, window_start)")
 def drift_report_rows(spark, sf_dir):
     from vigil.operators.events import report_rows
     summary, feats = checks(spark, sf_dir)

@@ -221,7 +221,7 @@ def fn_keys(spark, sf_dir):
 
 @query("fn_text", sql="""SELECT doc_id, right(text, 40) AS tail, left(text, 30) AS head,
   CASE WHEN length(text) > 25 THEN substr(text, 1, 24) || '…' ELSE text END AS short,
-  length(text) AS n_chars, lang, trim(regexp_extract(text, 'Artifacts saved to:\s*(.+)', 1)) AS artifacts_path
+  length(text) AS n_chars, lang, trim(regexp_extract(text, 'Artifacts saved to:\\s*(.+)', 1)) AS artifacts_path
 FROM documents""")
 def fn_text(spark, sf_dir):
     """Last / first characters and truncation with an ellipsis over whole documents."""
