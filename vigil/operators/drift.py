@@ -140,6 +140,8 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
                                        min_samples, ts_col, id_col, warning, critical, ref_group_cols=["_all"])
         return summary.drop("_all"), feats.drop("_all")
     recent = recent_window(log, g, window, ts_col, id_col)
+    if window is not None:  # bounded (n rows per group): computed once for the branches that read it
+        recent = materialize_small(recent)
     sizes = recent.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_size"))
     enough = sizes.where(F.col("sample_size") >= min_samples).select(*g)
     feats = feature_drift(recent, reference, g, numeric, categorical, prob_col, warning, critical, groups=enough,

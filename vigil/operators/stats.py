@@ -129,36 +129,98 @@ def probability_histogram(df: DataFrame, group_cols, prob_col: str = "probabilit
         "probability_bins", edges)
 
 
+def profile_counts(df: DataFrame, group_cols, numeric=(), categorical=(), prob_col: str | None = None) -> DataFrame:
+    """The one pass over the reference rows: ``(group..., feature, kind, num_value, str_value) → cnt``.
+
+    Every profile (scalars, quantiles, histograms, category frequencies, the output
+    histogram) is derived from this pre-aggregated table, so the raw rows are scanned
+    and shuffled once, combined map-side.
+    """
+    g = list(group_cols)
+    long_df = to_long(df, g, numeric, categorical)
+    if prob_col:
+        long_df = long_df.unionByName(df.select(
+            *[F.col(f"`{c}`") for c in g], F.lit("__output__").alias("feature"),
+            F.lit("output_probability").alias("kind"), F.col(prob_col).cast("double").alias("num_value"),
+            F.lit(None).cast("string").alias("str_value")))
+    return long_df.groupBy(*g, "feature", "kind", "num_value", "str_value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _numeric_from_counts(counts: DataFrame, keys, ranges: int) -> DataFrame:
+    v, c = F.col("num_value"), F.col("cnt")
+    ok = v.isNotNull() & ~F.isnan(v)
+    valid = counts.where(ok)
+    first = counts.groupBy(*keys).agg(
+        F.min(F.when(ok, v)).alias("min"), F.max(F.when(ok, v)).alias("max"),
+        F.sum(F.when(ok, c).otherwise(0)).alias("n_valid"), F.sum(F.when(ok, v * c)).alias("_sum"),
+        F.sum(F.when(~ok, c).otherwise(0)).alias("missing_count"))
+    first = materialize_small(first.withColumn("mean", F.col("_sum") / F.col("n_valid")).drop("_sum"))
+    # population std in two passes over the distinct values (the mean is joined back, then squared deviations)
+    dev = join_small(valid, first.select(*keys, F.col("mean").alias("_m")), keys).groupBy(*keys).agg(
+        F.sum(F.pow(v - F.col("_m"), 2) * c).alias("_ss"))
+    qs = quantiles_from_counts(valid, keys, "num_value", PROFILE_LEVELS, "cnt", ranges)
+    prof = first.join(dev, keys, "left").join(qs, keys, "left").select(
+        *keys, "mean", F.sqrt(F.col("_ss") / F.col("n_valid")).alias("std"), "min", "max", "missing_count",
+        "n_valid", F.element_at("quantiles", 12).alias("median"), F.element_at("quantiles", 13).alias("q25"),
+        F.element_at("quantiles", 14).alias("q75"),
+        learned_edges(F.slice("quantiles", 1, 11), "min", "max").alias("bins"))
+    prof = materialize_small(prof)
+    hist = reference_histogram(valid, keys, prof.select(*keys, "bins"), "num_value", "cnt")
+    return prof.join(hist, keys, "left").select(
+        *prof.columns,
+        F.when(F.col("n_valid") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("reference_distribution"))
+        .alias("reference_distribution"))
+
+
+def _categorical_from_counts(counts: DataFrame, keys) -> DataFrame:
+    cat = F.coalesce(F.col("str_value"), F.lit(MISSING))
+    per = counts.groupBy(*keys, cat.alias("category")).agg(
+        F.sum("cnt").alias("n"), F.sum(F.when(F.col("str_value").isNull(), F.col("cnt")).otherwise(0)).alias("nulls"))
+    ordered = per.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "category", "n"))).alias("_s"),
+        F.sum("nulls").alias("missing_count"), F.count(F.lit(1)).alias("n_unique"))
+    return ordered.select(*keys, F.transform("_s", lambda s: s["category"]).alias("categories"),
+                          F.transform("_s", lambda s: s["n"]).alias("reference_distribution"),
+                          "missing_count", "n_unique")
+
+
+def _output_from_counts(counts: DataFrame, keys) -> DataFrame:
+    edges = F.array(*[F.lit(e) for e in PROBABILITY_EDGES])
+    binned = counts.select(*keys, bin_index("num_value", edges).alias("_bin"), "cnt")
+    per_bin = binned.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.sum("cnt").alias("_n"))
+    sizes = counts.select(*keys).distinct().withColumn("_k", F.lit(len(PROBABILITY_EDGES) - 1))
+    return zero_filled(per_bin, sizes, keys, "_bin", "_n", "reference_distribution").withColumn(
+        "bins", edges)
+
+
 def reference_stats(df: DataFrame, group_cols, numeric=(), categorical=(), prob_col: str | None = "probability",
                     ranges: int = DEFAULT_RANGES) -> DataFrame:
     """Long reference table: one row per (group..., feature) with ``kind``, ``bins``, ``categories``,
     ``reference_distribution`` and the profile scalars; the model output is feature ``__output__``.
+
+    One scan of ``df``: everything is derived from ``profile_counts``.
     """
     g = list(group_cols)
-    long_df = to_long(df, g, numeric, categorical)
+    keys = [*g, "feature"]
+    counts = materialize_small(profile_counts(df, g, numeric, categorical, prob_col))
+    none_d = [F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "max", "median", "q25", "q75")]
     parts = []
     if numeric:
-        num = numeric_profile(long_df.where(F.col("kind") == "numeric"), g, ranges)
-        parts.append(num.select(*g, "feature", F.lit("numeric").alias("kind"), "bins",
+        num = _numeric_from_counts(counts.where(F.col("kind") == "numeric"), keys, ranges)
+        parts.append(num.select(*keys, F.lit("numeric").alias("kind"), "bins",
                                 F.lit(None).cast("array<string>").alias("categories"), "reference_distribution",
                                 "mean", "std", "min", "max", "median", "q25", "q75", "missing_count",
                                 F.lit(None).cast("long").alias("n_unique")))
     if categorical:
-        cat = categorical_profile(long_df.where(F.col("kind") == "categorical"), g)
-        parts.append(cat.select(*g, "feature", F.lit("categorical").alias("kind"),
+        cat = _categorical_from_counts(counts.where(F.col("kind") == "categorical"), keys)
+        parts.append(cat.select(*keys, F.lit("categorical").alias("kind"),
                                 F.lit(None).cast("array<double>").alias("bins"), "categories",
-                                "reference_distribution",
-                                *[F.lit(None).cast("double").alias(c) for c in
-                                  ("mean", "std", "min", "max", "median", "q25", "q75")],
-                                "missing_count", "n_unique"))
+                                "reference_distribution", *none_d, "missing_count", "n_unique"))
     if prob_col:
-        out = probability_histogram(df, g, prob_col)
-        parts.append(out.select(*g, F.lit("__output__").alias("feature"), F.lit("output_probability").alias("kind"),
-                                F.col("probability_bins").alias("bins"),
+        out = _output_from_counts(counts.where(F.col("feature") == "__output__"), keys)
+        parts.append(out.select(*keys, F.lit("output_probability").alias("kind"), "bins",
                                 F.lit(None).cast("array<string>").alias("categories"), "reference_distribution",
-                                *[F.lit(None).cast("double").alias(c) for c in
-                                  ("mean", "std", "min", "max", "median", "q25", "q75")],
-                                F.lit(None).cast("long").alias("missing_count"),
+                                *none_d, F.lit(None).cast("long").alias("missing_count"),
                                 F.lit(None).cast("long").alias("n_unique")))
     out = parts[0]
     for p in parts[1:]:
