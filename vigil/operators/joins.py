@@ -29,9 +29,15 @@ def size_estimate(df: DataFrame) -> int:
         return 1 << 62
 
 
-def is_small(df: DataFrame, max_rows: int, persist: bool = True) -> tuple[DataFrame, bool]:
-    """(df, small?) — estimate first, exact count only when the estimate is large."""
-    if size_estimate(df) <= ESTIMATE_SMALL_BYTES:
+def is_small(df: DataFrame, max_rows: int, persist: bool = True, bounded_by: DataFrame | None = None
+             ) -> tuple[DataFrame, bool]:
+    """(df, small?) — estimate first, exact count only when the estimate is large.
+
+    ``bounded_by``: a join-free plan with at least as many rows as ``df`` by construction (e.g. the
+    aggregate whose keys ``df`` has one row per); its estimate stands in for ``df``'s, since Spark estimates
+    any join as the product of its sides.
+    """
+    if size_estimate(df if bounded_by is None else bounded_by) <= ESTIMATE_SMALL_BYTES:
         return df, True
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -44,10 +50,20 @@ def materialize_small(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS,
+               bounded_by: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to a side that is expected to be small: broadcast within the checked bound, else a plain
     (AQE, skew-split) join."""
-    small, ok = is_small(small, max_rows)
+    small, ok = is_small(small, max_rows, bounded_by=bounded_by)
     if ok:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small derived table to the shared checkpoint folder (``spark.checkpoint.dir``) and continue from
+    it: later plans start from a short scan instead of re-planning the whole history after every stage, and a
+    lost executor recomputes nothing upstream."""
+    from vigil.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

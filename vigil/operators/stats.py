@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.drift import DECILE_LEVELS, PROBABILITY_EDGES, bin_index, learned_edges
-from vigil.operators.joins import join_small, materialize_small
+from vigil.operators.joins import cut_lineage, join_small, materialize_small
 from vigil.operators.ordered import DEFAULT_RANGES, quantiles_from_counts
 
 MISSING = "__missing__"
@@ -75,9 +75,12 @@ def numeric_profile(long_df: DataFrame, group_cols, ranges: int = DEFAULT_RANGES
     )
 
 
-def reference_histogram(counts: DataFrame, keys, edges: DataFrame, value_col: str, count_col: str) -> DataFrame:
-    """Counts per bin of learned edges, zero-filled: ``keys + [reference_distribution array<long>]``."""
-    binned = join_small(counts, edges, keys).withColumn("_bin", bin_index(value_col, "bins"))
+def reference_histogram(counts: DataFrame, keys, edges: DataFrame, value_col: str, count_col: str,
+                        edges_bound: DataFrame | None = None) -> DataFrame:
+    """Counts per bin of learned edges, zero-filled: ``keys + [reference_distribution array<long>]``.
+
+    ``edges_bound``: a join-free table with one row per key that bounds the edges' size."""
+    binned = join_small(counts, edges, keys, bounded_by=edges_bound).withColumn("_bin", bin_index(value_col, "bins"))
     per_bin = binned.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.sum(count_col).alias("_n"))
     return zero_filled(per_bin, edges.select(*keys, (F.size("bins") - 1).alias("_k")), keys, "_bin", "_n",
                        "reference_distribution")
@@ -156,7 +159,8 @@ def _numeric_from_counts(counts: DataFrame, keys, ranges: int) -> DataFrame:
         F.sum(F.when(~ok, c).otherwise(0)).alias("missing_count"))
     first = materialize_small(first.withColumn("mean", F.col("_sum") / F.col("n_valid")).drop("_sum"))
     # population std in two passes over the distinct values (the mean is joined back, then squared deviations)
-    dev = join_small(valid, first.select(*keys, F.col("mean").alias("_m")), keys).groupBy(*keys).agg(
+    dev = join_small(valid, first.select(*keys, F.col("mean").alias("_m")), keys,
+                     bounded_by=counts.groupBy(*keys).agg(F.count(F.lit(1)))).groupBy(*keys).agg(
         F.sum(F.pow(v - F.col("_m"), 2) * c).alias("_ss"))
     qs = quantiles_from_counts(valid, keys, "num_value", PROFILE_LEVELS, "cnt", ranges)
     prof = first.join(dev, keys, "left").join(qs, keys, "left").select(
@@ -165,7 +169,8 @@ def _numeric_from_counts(counts: DataFrame, keys, ranges: int) -> DataFrame:
         F.element_at("quantiles", 14).alias("q75"),
         learned_edges(F.slice("quantiles", 1, 11), "min", "max").alias("bins"))
     prof = materialize_small(prof)
-    hist = reference_histogram(valid, keys, prof.select(*keys, "bins"), "num_value", "cnt")
+    hist = reference_histogram(valid, keys, prof.select(*keys, "bins"), "num_value", "cnt",
+                               edges_bound=counts.groupBy(*keys).agg(F.count(F.lit(1))))
     return prof.join(hist, keys, "left").select(
         *prof.columns,
         F.when(F.col("n_valid") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("reference_distribution"))
@@ -225,6 +230,9 @@ def reference_stats(df: DataFrame, group_cols, numeric=(), categorical=(), prob_
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    # the reference table is small (groups x features) and read by every drift plan: write it once
+    out = cut_lineage(out)
+    counts.unpersist()
     return out
 
 

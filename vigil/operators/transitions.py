@@ -3,12 +3,12 @@
 Each batch is joined to the current state it changes (left joins, no fan-out:
 the right sides are one row per key), and the transition table is a ``when``
 chain. Sequential semantics inside a batch (a later result sees the approval an
-earlier one created) come from ranking within the key, not from a loop.
+earlier one created) come from the first result per key (a map-side ``min_by``), not from a loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed texts of the transitions.
@@ -50,10 +50,11 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
         r = r.join(prior, ["investigation_id", "_version"], "left")
     else:
         r = r.withColumn("_prior", F.lit(None).cast("boolean"))
-    w = Window.partitionBy("investigation_id", "_version").orderBy("finished_at", "job_id")
-    r = r.withColumn("_nth", F.when(valid_retrain, F.sum(valid_retrain.cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))))
-    exists = F.coalesce(F.col("_prior"), F.lit(False)) | (F.col("_nth") > 1)
+    # the first valid retrain of a (investigation, version) in the batch creates the approval; later ones see it
+    first = (r.where(valid_retrain).groupBy("investigation_id", "_version")
+             .agg(F.min_by("job_id", F.struct("finished_at", "job_id")).alias("_first_job")))
+    r = r.join(first, ["investigation_id", "_version"], "left")
+    exists = F.coalesce(F.col("_prior"), F.lit(False)) | (F.col("job_id") != F.col("_first_job"))
     st, jt = F.col("status"), F.col("job_type")
     passed = _truthy(F.col("result")["passed"])
     err = F.coalesce(F.col("error_message"), F.lit("Unknown error"))

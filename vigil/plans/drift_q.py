@@ -221,8 +221,10 @@ def checks(spark, sf_dir):
     summary, feats = D.windowed_drift(log, ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", "1 day")
     label = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
     cid = F.concat_ws("_", "model_name", F.date_format("window_start", "yyyyMMddHHmmss"))
-    return (summary.withColumn("check_id", cid).withColumn("window_label", label),
-            feats.withColumn("check_id", cid))
+    # checks are small (models x windows): written once, so the event / triage / gate plans start from them
+    from vigil.operators.joins import cut_lineage
+    return (cut_lineage(summary.withColumn("check_id", cid).withColumn("window_label", label)),
+            cut_lineage(feats.withColumn("check_id", cid)))
 
 
 @query("windowed_drift", sql=f"WITH {sqlparts.checks_cte()} SELECT model_name, window_label, sample_size, severity, "

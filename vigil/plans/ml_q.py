@@ -109,7 +109,7 @@ SELECT """ + ", ".join(f"round((SELECT {m} FROM m WHERE split = '{s}'), 6) AS {s
        + ", (SELECT threshold FROM thr) AS selected_threshold")
 def metrics_by_split(spark, sf_dir):
     """Threshold chosen for recall 0.74 on the validation split; metrics per split, test unprefixed."""
-    t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42)
+    t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42).persist()  # read three times
     thr = M.threshold_for_recall(t.where(F.col("split") == "val"), [], min_recall=0.74)
     scored = t.crossJoin(F.broadcast(thr))
     wide = M.metrics_by_split(scored, "split", threshold=F.col("threshold"))
