@@ -114,3 +114,32 @@ def quantiles_from_counts(counts: DataFrame, group_cols, value_col: str, levels,
         # written the way numpy's quantile interpolates, so edges agree bit for bit
         return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
     return agg.select(*g, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lerp).alias(out_col))
+
+
+
+def quantile_hits(levels, n: Column, first: Column, last: Column) -> Column:
+    """Target ranks (0-based) a value covering ranks [first, last] provides: ``array<struct<j, r>>`` with
+    j < k for floor((n-1)p_j) and j >= k for the next rank (numpy's linear rule)."""
+    k = len(levels)
+    lv = F.array(*[F.lit(float(p)) for p in levels])
+
+    def rank_of(j):
+        lo = F.floor((n - 1).cast("double") * F.element_at(lv, (j % k) + 1))
+        return F.when(j < k, lo).otherwise(F.least(lo + 1, n - 1))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(2 * k - 1)),
+                                lambda j: F.struct(j.alias("j"), rank_of(j).alias("r"))),
+                    lambda x: (x["r"] >= first) & (x["r"] <= last))
+
+
+def quantile_lerp(levels, n: Column, picks: Column) -> Column:
+    """Quantiles from the picked values (``map<j, value>``), interpolated the way numpy does it."""
+    k = len(levels)
+    lv = F.array(*[F.lit(float(p)) for p in levels])
+
+    def lerp(i):
+        pos = (n - 1).cast("double") * F.element_at(lv, i + 1)
+        t = pos - F.floor(pos)
+        a, b = picks[i], picks[i + k]
+        d = b - a
+        return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lerp)

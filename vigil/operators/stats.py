@@ -7,12 +7,12 @@ grouped aggregate instead of one pass per column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.drift import DECILE_LEVELS, PROBABILITY_EDGES, bin_index, learned_edges
 from vigil.operators.joins import cut_lineage, join_small, materialize_small
-from vigil.operators.ordered import DEFAULT_RANGES, quantiles_from_counts
+from vigil.operators.ordered import DEFAULT_RANGES, quantiles_from_counts, running_totals
 
 MISSING = "__missing__"
 PROFILE_LEVELS = DECILE_LEVELS + [0.5, 0.25, 0.75]
@@ -47,32 +47,8 @@ def numeric_profile(long_df: DataFrame, group_cols, ranges: int = DEFAULT_RANGES
     (fallbacks as in ``learned_edges``); counts are the reference histogram on them.
     """
     keys = [*group_cols, "feature"]
-    v = F.col("num_value")
-    ok = v.isNotNull() & ~F.isnan(v)
-    scalars = long_df.groupBy(*keys).agg(
-        F.avg(F.when(ok, v)).alias("mean"),
-        F.stddev_pop(F.when(ok, v)).alias("std"),
-        F.min(F.when(ok, v)).alias("min"),
-        F.max(F.when(ok, v)).alias("max"),
-        F.count_if(v.isNull() | F.isnan(v)).alias("missing_count"),
-        F.count(F.when(ok, v)).alias("n_valid"),
-    )
-    counts = value_counts(long_df, keys, "num_value").persist()
-    qs = quantiles_from_counts(counts, keys, "num_value", PROFILE_LEVELS)
-    prof = scalars.join(qs, keys, "left").select(
-        *keys, "mean", "std", "min", "max", "missing_count", "n_valid",
-        F.element_at("quantiles", 12).alias("median"),
-        F.element_at("quantiles", 13).alias("q25"),
-        F.element_at("quantiles", 14).alias("q75"),
-        learned_edges(F.slice("quantiles", 1, 11), "min", "max").alias("bins"),
-    )
-    prof = materialize_small(prof)
-    hist = reference_histogram(counts, keys, prof.select(*keys, "bins"), "num_value", "cnt")
-    return prof.join(hist, keys, "left").select(
-        *prof.columns,
-        F.when(F.col("n_valid") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("reference_distribution"))
-        .alias("reference_distribution"),
-    )
+    counts = long_df.groupBy(*keys, "num_value").agg(F.count(F.lit(1)).alias("cnt"))
+    return _numeric_from_counts(materialize_small(counts), keys, ranges)
 
 
 def reference_histogram(counts: DataFrame, keys, edges: DataFrame, value_col: str, count_col: str,
@@ -149,28 +125,51 @@ def profile_counts(df: DataFrame, group_cols, numeric=(), categorical=(), prob_c
     return long_df.groupBy(*g, "feature", "kind", "num_value", "str_value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+MAX_NUMERIC_BINS = 10  # learned edges: at most 11 deciles or 11 equal steps; output: 10 equal bins
+
+
+def _histogram(rows: DataFrame, keys, bin_expr: Column, weight: Column, n_bins: Column,
+               out_col: str = "reference_distribution") -> DataFrame:
+    """Counts per bin in ONE aggregate: a conditional sum per possible bin (at most 10), sliced to the
+    feature's own number of bins. Out-of-range rows (bin null) are not counted."""
+    b = rows.select(*keys, bin_expr.alias("_bin"), weight.alias("_w"), n_bins.alias("_k"))
+    agg = b.groupBy(*keys).agg(F.first("_k").alias("_k"), *[
+        F.sum(F.when(F.col("_bin") == i, F.col("_w")).otherwise(0)).alias(f"_h{i}")
+        for i in range(MAX_NUMERIC_BINS)])
+    return agg.select(*keys, F.slice(F.array(*[F.col(f"_h{i}").cast("long") for i in range(MAX_NUMERIC_BINS)]),
+                                     1, F.col("_k")).alias(out_col))
+
+
 def _numeric_from_counts(counts: DataFrame, keys, ranges: int) -> DataFrame:
+    """Profile of numeric features from (keys, num_value, cnt): one ordered pass gives running and total
+    counts and value sums per group, one aggregate over it gives min, max, mean, population std (two-pass
+    form, the mean coming from the group total) and the quantile picks; one more aggregate the histogram."""
+    from vigil.operators.ordered import quantile_hits, quantile_lerp
     v, c = F.col("num_value"), F.col("cnt")
     ok = v.isNotNull() & ~F.isnan(v)
-    valid = counts.where(ok)
-    first = counts.groupBy(*keys).agg(
-        F.min(F.when(ok, v)).alias("min"), F.max(F.when(ok, v)).alias("max"),
-        F.sum(F.when(ok, c).otherwise(0)).alias("n_valid"), F.sum(F.when(ok, v * c)).alias("_sum"),
-        F.sum(F.when(~ok, c).otherwise(0)).alias("missing_count"))
-    first = materialize_small(first.withColumn("mean", F.col("_sum") / F.col("n_valid")).drop("_sum"))
-    # population std in two passes over the distinct values (the mean is joined back, then squared deviations)
-    dev = join_small(valid, first.select(*keys, F.col("mean").alias("_m")), keys,
-                     bounded_by=counts.groupBy(*keys).agg(F.count(F.lit(1)))).groupBy(*keys).agg(
-        F.sum(F.pow(v - F.col("_m"), 2) * c).alias("_ss"))
-    qs = quantiles_from_counts(valid, keys, "num_value", PROFILE_LEVELS, "cnt", ranges)
-    prof = first.join(dev, keys, "left").join(qs, keys, "left").select(
-        *keys, "mean", F.sqrt(F.col("_ss") / F.col("n_valid")).alias("std"), "min", "max", "missing_count",
-        "n_valid", F.element_at("quantiles", 12).alias("median"), F.element_at("quantiles", 13).alias("q25"),
+    missing = counts.groupBy(*keys).agg(F.sum(F.when(~ok, c).otherwise(0)).alias("missing_count"))
+    valid = counts.where(ok).select(*keys, "num_value", "cnt", (v * c).alias("vc"))
+    ranked = running_totals(valid, keys, "num_value", ["cnt", "vc"], ranges=ranges)
+    n = F.col("cnt_total")
+    mean = F.col("vc_total") / n
+    hits = quantile_hits(PROFILE_LEVELS, n, F.col("cnt_cum") - c, F.col("cnt_cum") - 1)
+    agg = ranked.groupBy(*keys).agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.first(n).alias("n_valid"), F.first(mean).alias("mean"),
+        F.sum(c * F.pow(v - mean, 2)).alias("_ss"),
+        F.map_from_entries(F.flatten(F.collect_list(F.when(F.size(hits) > 0, F.transform(
+            hits, lambda h: F.struct(h["j"], v)))))).alias("_m"))
+    q = quantile_lerp(PROFILE_LEVELS, F.col("n_valid"), F.col("_m"))
+    prof = agg.select(*keys, "mean", F.sqrt(F.col("_ss") / F.col("n_valid")).alias("std"), "min", "max",
+                      "n_valid", q.alias("quantiles"))
+    prof = missing.join(prof, keys, "left").select(
+        *keys, "mean", "std", "min", "max", "missing_count", F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
+        F.element_at("quantiles", 12).alias("median"), F.element_at("quantiles", 13).alias("q25"),
         F.element_at("quantiles", 14).alias("q75"),
         learned_edges(F.slice("quantiles", 1, 11), "min", "max").alias("bins"))
     prof = materialize_small(prof)
-    hist = reference_histogram(valid, keys, prof.select(*keys, "bins"), "num_value", "cnt",
-                               edges_bound=counts.groupBy(*keys).agg(F.count(F.lit(1))))
+    edges = prof.select(*keys, "bins")
+    binned = join_small(valid, edges, keys, bounded_by=missing)
+    hist = _histogram(binned, keys, bin_index("num_value", "bins"), c, F.size("bins") - 1)
     return prof.join(hist, keys, "left").select(
         *prof.columns,
         F.when(F.col("n_valid") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("reference_distribution"))
@@ -191,11 +190,8 @@ def _categorical_from_counts(counts: DataFrame, keys) -> DataFrame:
 
 def _output_from_counts(counts: DataFrame, keys) -> DataFrame:
     edges = F.array(*[F.lit(e) for e in PROBABILITY_EDGES])
-    binned = counts.select(*keys, bin_index("num_value", edges).alias("_bin"), "cnt")
-    per_bin = binned.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.sum("cnt").alias("_n"))
-    sizes = counts.select(*keys).distinct().withColumn("_k", F.lit(len(PROBABILITY_EDGES) - 1))
-    return zero_filled(per_bin, sizes, keys, "_bin", "_n", "reference_distribution").withColumn(
-        "bins", edges)
+    hist = _histogram(counts, keys, bin_index("num_value", edges), F.col("cnt"), F.lit(len(PROBABILITY_EDGES) - 1))
+    return hist.withColumn("bins", edges)
 
 
 def reference_stats(df: DataFrame, group_cols, numeric=(), categorical=(), prob_col: str | None = "probability",
