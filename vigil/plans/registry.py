@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -15,11 +16,19 @@ MODULES = ["drift_q", "ml_q", "decide_q", "ledger_q", "validate_q", "replay_q",
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with an optional oracle SQL."""
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with an optional oracle SQL.
+
+    Times are UTC throughout (as in the monitored system), so the session zone is pinned before planning.
+    """
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
