@@ -375,7 +375,11 @@ def versioned_stats(spark, sf_dir):
     return read_newest(spark, path, ["model_name"]).select("model_name", "version", "n_rows", "mean_value")
 
 
-@query("retrain_payload")
+@query("retrain_payload", sql=f"""WITH {INV_SQL}, {APR_SQL}
+SELECT 'retrain:' || a.investigation_id || ':' || strftime(a.created_at, '%Y') AS idempotency_key, a.approval_id,
+  coalesce(i.model_name, 'unknown') AS model_name, strftime(a.created_at, '%Y') AS model_version,
+  i.status AS investigation_status
+FROM apr a LEFT JOIN inv i USING (investigation_id) WHERE a.requested_action = 'retrain' AND a.status = 'approved'""")
 def retrain_payload(spark, sf_dir):
     """Retrain job payloads for approved retrain approvals: state values first, the approval request second."""
     apr = approvals_ledger(spark, sf_dir).where((F.col("requested_action") == "retrain")
@@ -389,8 +393,10 @@ def retrain_payload(spark, sf_dir):
         F.coalesce(F.lit(None).cast("string"), F.date_format("created_at", "yyyy")).alias("model_version"),
         F.lit("retrain").alias("recommended_action"), F.col("state_status").alias("investigation_status"))
     from vigil.functions.text import job_key
-    return j.select(job_key(F.lit("retrain"), F.col("investigation_id"), payload["model_version"]).alias(
+    out = j.select(job_key(F.lit("retrain"), F.col("investigation_id"), payload["model_version"]).alias(
         "idempotency_key"), payload.alias("payload"))
+    return out.select("idempotency_key", "payload.approval_id", "payload.model_name", "payload.model_version",
+                      "payload.investigation_status")
 
 
 @query("job_dispatch", sql=f"""WITH {JR_SQL}

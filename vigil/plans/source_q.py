@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from vigil.operators import ml as M
 from vigil.operators import stats as S
 from vigil.plans.registry import query, r6
+from vigil.plans.sqlparts import LOG_CTE, events_cte, reference_cte
 from vigil.sources import files as FS
 from vigil.sources.standins import (LOG_CATEGORICAL, LOG_NUMERIC, TRAIN_KEY, prediction_log, reference_rows,
                                     training_frame)
@@ -54,7 +55,9 @@ def reference_stats(spark, sf_dir):
     return doc.join(n, "model_name")
 
 
-@query("read_reference")
+@query("read_reference", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')} SELECT model_name, feature, kind, "
+       "array_to_string(categories, ',') AS categories, array_to_string(expected, ',') AS reference_distribution "
+       "FROM ref_dict")
 def read_reference(spark, sf_dir):
     """Reference statistics written as JSON artifacts and read back with an explicit schema
     (a missing path reads as an empty table)."""
@@ -64,7 +67,10 @@ def read_reference(spark, sf_dir):
     ref.select(*[f.name for f in REF_SCHEMA.fields]).write.json(path)
     got = FS.read_json_artifact(spark, path, REF_SCHEMA, multi_line=False)
     missing = FS.read_json_artifact(spark, path + "-absent", REF_SCHEMA)
-    return got.unionByName(missing)
+    both = got.unionByName(missing)
+    return both.select("model_name", "feature", "kind", F.array_join("categories", ",").alias("categories"),
+                       F.array_join(F.transform("reference_distribution", lambda x: x.cast("string")), ",")
+                       .alias("reference_distribution"))
 
 
 @query("fixture_rows", sql="""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -115,7 +121,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("overall_score", T.DoubleType()), T.StructField("sample_size", T.LongType())])
 
 
-@query("drift_event_ingest")
+@query("drift_event_ingest", sql=f"WITH {events_cte()} SELECT CASE WHEN model_name = 'error' THEN NULL ELSE "
+       "event_id END AS event_id, model_name = 'error' AS malformed FROM ev")
 def drift_event_ingest(spark, sf_dir):
     """Drift events as JSON lines (events of model 'error' arrive cut short) ingested as a stream;
     malformed lines are kept and flagged, not lost."""
@@ -126,7 +133,7 @@ def drift_event_ingest(spark, sf_dir):
     ev.select(line.alias("value")).write.text(src)
     out = run_to_table(FS.ingest_json_lines(FS.read_text_stream(spark, src), EVENT_SCHEMA), "event-ingest")
     got = spark.read.parquet(out + "/data")
-    return got.select(F.col("parsed.event_id").alias("event_id"), "malformed", F.length("value").alias("n_chars"))
+    return got.select(F.col("parsed.event_id").alias("event_id"), "malformed")
 
 
 ENVELOPE_SCHEMA = T.StructType([
@@ -136,7 +143,9 @@ ENVELOPE_SCHEMA = T.StructType([
     T.StructField("max_attempts", T.IntegerType()), T.StructField("queued_at", T.StringType())])
 
 
-@query("job_envelope_ingest")
+@query("job_envelope_ingest", sql="SELECT CASE WHEN value > 300 THEN NULL ELSE 'job_' || CAST(event_id AS VARCHAR) "
+       "END AS job_id, CASE WHEN value > 300 THEN NULL ELSE 'retrain' END AS job_type, value > 300 AS malformed "
+       "FROM events WHERE event_type = 'error'")
 def job_envelope_ingest(spark, sf_dir):
     """Job envelopes (one per error event) as JSON lines with some non-JSON lines, ingested as a stream."""
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")

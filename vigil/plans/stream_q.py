@@ -10,7 +10,7 @@ from vigil.operators import stats as S
 from vigil.operators import validate as V
 from vigil.plans.drift_q import G, checks
 from vigil.plans.registry import query, r6
-from vigil.plans.sqlparts import checks_cte
+from vigil.plans.sqlparts import LOG_CTE, checks_cte, drift_cte, events_cte, reference_cte
 from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, PROBABILITY_SHIFT, prediction_log, reference_rows
 from vigil.streaming import ops as SO
 from vigil.streaming.runner import epoch_writer, read_latest, run_to_table
@@ -25,12 +25,13 @@ def _log_stream(spark, sf_dir):
                      (F.col("user_id") % 10).cast("string").alias("user_segment"), p.alias("probability"))
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", sql="SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
-    """First event per (user, event type) within a 24 h watermark (idempotency keys with a TTL)."""
+    """One event per (user, event type) within a 24 h watermark (idempotency keys with a TTL). Which copy is kept
+    depends on arrival order, so the comparison is on the surviving keys."""
     ev = SO.event_stream(spark, sf_dir, "events")
     out = run_to_table(SO.stream_dedupe(ev, ["user_id", "event_type"], "ts"), "dedupe")
-    return spark.read.parquet(out + "/data").select("event_id", "user_id", "event_type")
+    return spark.read.parquet(out + "/data").select("user_id", "event_type")
 
 
 @query("stream_windowed_drift", sql=f"WITH {checks_cte()} SELECT model_name, window_label, sample_size, severity, "
@@ -94,7 +95,8 @@ def stream_dlq_route(spark, sf_dir):
     return r.groupBy("job_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_contract_check")
+@query("stream_contract_check", sql=f"WITH {events_cte()} SELECT event_id, CASE WHEN model_name = 'error' THEN "
+       "'quarantine' ELSE 'valid' END AS route FROM ev")
 def stream_contract_check(spark, sf_dir):
     """Drift events as a stream, checked against the contract; violations go to a quarantine table."""
     from vigil.plans.decide_q import drift_event_table
@@ -110,7 +112,8 @@ def stream_contract_check(spark, sf_dir):
     return valid.unionByName(bad)
 
 
-@query("stream_drift")
+@query("stream_drift", sql="WITH " + LOG_CTE + ", " + reference_cte("model_name") + ", " + drift_cte("model_name", 200, 30, source="log")
+       + " SELECT 0 AS epoch, model_name, sample_size, severity, round(overall_score, 6) AS overall_score FROM summary")
 def stream_drift(spark, sf_dir):
     """Continuous drift check: each micro-batch is appended to the prediction log (partitioned by day) and the
     newest 200 rows per model of the log are checked against the reference; one check row per model per batch."""

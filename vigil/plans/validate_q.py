@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigil.operators import validate as V
 from vigil.plans.decide_q import drift_event_table
 from vigil.plans.registry import query
+from vigil.plans.sqlparts import events_cte
 from vigil.sources.tables import read_table
 
 # Raw label stand-in: returnflag R → ' Yes', N → 'no ', A → 'A' (an unexpected label).
@@ -121,7 +122,9 @@ def feature_validate(spark, sf_dir):
     return v.select("l_orderkey", "l_linenumber", "first_error", F.size("errors").alias("n_errors"), "valid")
 
 
-@query("event_contract")
+@query("event_contract", sql=f"WITH {events_cte()} SELECT event_id, CASE WHEN model_name = 'error' THEN 1 ELSE 0 END "
+       "AS n_violations, CASE WHEN model_name = 'error' THEN 'model_name: empty' END AS first_violation, "
+       "model_name <> 'error' AS valid FROM ev")
 def event_contract(spark, sf_dir):
     """Drift events with header columns; events of model 'error' lose their name (a contract violation)."""
     ev = drift_event_table(spark, sf_dir)
@@ -132,7 +135,9 @@ def event_contract(spark, sf_dir):
                       F.try_element_at("violations", F.lit(1)).alias("first_violation"), "valid")
 
 
-@query("promotion_contract")
+@query("promotion_contract", sql="SELECT 'promote_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || "
+       "strftime(o_orderdate, '%Y') AS request_id, 0 AS n_violations, true AS valid FROM orders "
+       "WHERE o_orderstatus = 'F'")
 def promotion_contract(spark, sf_dir):
     """Promotion requests built from approved approvals (rows-only check)."""
     from vigil.operators.promotion import promotion_requests
