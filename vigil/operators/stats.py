@@ -232,6 +232,17 @@ def reference_stats(df: DataFrame, group_cols, numeric=(), categorical=(), prob_
     return out
 
 
+def reference_document(ref: DataFrame, rows: DataFrame, group_cols) -> DataFrame:
+    """Whole reference document per group: row count and the features (sorted by name) as a nested list."""
+    g = list(group_cols)
+    n = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n_rows"))
+    item = F.struct("feature", "kind", "bins", "categories", "reference_distribution", "mean", "std", "min", "max",
+                    "median", "q25", "q75", "missing_count", "n_unique")
+    doc = ref.groupBy(*g).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(
+        a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0)).alias("features"))
+    return doc.join(n, g)
+
+
 def class_distribution(df: DataFrame, group_cols, pred_col: str = "predicted_class") -> DataFrame:
     """Predicted-class counts per group."""
     return df.groupBy(*group_cols, F.col(pred_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -43,16 +43,23 @@ REF_SCHEMA = T.StructType([
     T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
 
 
-@query("reference_stats")
+@query("reference_stats", sql=f"""WITH {LOG_CTE}, {reference_cte('model_name')},
+n AS (SELECT model_name, count(*) AS n_rows FROM ref GROUP BY ALL)
+SELECT model_name, n_rows, count(*) AS n_features,
+  string_agg(feature || ':' || kind || ':' || coalesce(array_to_string(categories, ','), '') || ':' ||
+             array_to_string(expected, ','), ';' ORDER BY feature) AS signature
+FROM ref_dict JOIN n USING (model_name) GROUP BY model_name, n_rows""")
 def reference_stats(spark, sf_dir):
-    """The whole reference document per model: features as a nested list plus the output histogram."""
+    """The whole reference document per model (features as a nested list plus the output histogram); compared
+    through a per-model signature of every feature's kind, categories and distribution."""
     log = prediction_log(spark, sf_dir)
     ref = S.reference_stats(reference_rows(log), ["model_name"], LOG_NUMERIC, LOG_CATEGORICAL, "probability")
-    n = reference_rows(log).groupBy("model_name").agg(F.count(F.lit(1)).alias("n_rows"))
-    doc = ref.groupBy("model_name").agg(F.sort_array(F.collect_list(F.struct(
-        "feature", "kind", "bins", "categories", "reference_distribution", "mean", "std", "min", "max", "median",
-        "q25", "q75", "missing_count", "n_unique"))).alias("features"))
-    return doc.join(n, "model_name")
+    doc = S.reference_document(ref, reference_rows(log), ["model_name"])
+    sig = F.array_join(F.transform("features", lambda f: F.concat_ws(
+        ":", f["feature"], f["kind"], F.coalesce(F.array_join(f["categories"], ","), F.lit("")),
+        F.array_join(F.transform(f["reference_distribution"], lambda x: x.cast("string")), ","))), ";")
+    return doc.select("model_name", "n_rows", F.size("features").cast("long").alias("n_features"),
+                      sig.alias("signature"))
 
 
 @query("read_reference", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')} SELECT model_name, feature, kind, "
