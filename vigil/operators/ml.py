@@ -184,7 +184,8 @@ def impute_stats(df: DataFrame, numeric=(), categorical=()) -> DataFrame:
 
     Rows: feature, kind, value (as string for categorical, double for numeric).
     """
-    from vigil.operators.stats import quantiles_from_counts, to_long, value_counts
+    from vigil.operators.ordered import quantiles_from_counts
+    from vigil.operators.stats import to_long, value_counts
     parts = []
     if numeric:
         long_df = to_long(df, [], numeric, [])

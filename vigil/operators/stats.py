@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.drift import DECILE_LEVELS, PROBABILITY_EDGES, bin_index, learned_edges
 from vigil.operators.joins import cut_lineage, join_small, materialize_small
-from vigil.operators.ordered import DEFAULT_RANGES, quantiles_from_counts, running_totals
+from vigil.operators.ordered import DEFAULT_RANGES, running_totals
 
 MISSING = "__missing__"
 PROFILE_LEVELS = DECILE_LEVELS + [0.5, 0.25, 0.75]
@@ -51,30 +51,6 @@ def numeric_profile(long_df: DataFrame, group_cols, ranges: int = DEFAULT_RANGES
     return _numeric_from_counts(materialize_small(counts), keys, ranges)
 
 
-def reference_histogram(counts: DataFrame, keys, edges: DataFrame, value_col: str, count_col: str,
-                        edges_bound: DataFrame | None = None) -> DataFrame:
-    """Counts per bin of learned edges, zero-filled: ``keys + [reference_distribution array<long>]``.
-
-    ``edges_bound``: a join-free table with one row per key that bounds the edges' size."""
-    binned = join_small(counts, edges, keys, bounded_by=edges_bound).withColumn("_bin", bin_index(value_col, "bins"))
-    per_bin = binned.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.sum(count_col).alias("_n"))
-    return zero_filled(per_bin, edges.select(*keys, (F.size("bins") - 1).alias("_k")), keys, "_bin", "_n",
-                       "reference_distribution")
-
-
-def zero_filled(per_slot: DataFrame, sizes: DataFrame, keys, slot_col: str, n_col: str, out_col: str) -> DataFrame:
-    """Sparse (keys, slot, n) + (keys, k) → dense ``array<long>`` of length k (missing slots are 0).
-
-    Every key of ``sizes`` gets a row. The sparse side is at most k rows per key.
-    """
-    dense = per_slot.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(slot_col, n_col))).alias("_m"))
-    return sizes.join(dense, keys, "left").select(
-        *keys,
-        F.transform(F.sequence(F.lit(0), F.col("_k") - 1),
-                    lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long")).alias(out_col),
-    )
-
-
 def categorical_profile(long_df: DataFrame, group_cols) -> DataFrame:
     """Per (group, feature): categories by frequency (desc count, then category), counts, missing, n_unique.
 
@@ -99,13 +75,12 @@ def categorical_profile(long_df: DataFrame, group_cols) -> DataFrame:
 
 def probability_histogram(df: DataFrame, group_cols, prob_col: str = "probability",
                           out_col: str = "reference_distribution") -> DataFrame:
-    """Counts of probabilities on ten equal bins of [0, 1] (edges built like a linear space)."""
+    """Counts of probabilities on ten equal bins of [0, 1] (edges built like a linear space), one aggregate."""
     edges = F.array(*[F.lit(e) for e in PROBABILITY_EDGES])
-    binned = df.select(*group_cols, bin_index(F.col(prob_col).cast("double"), edges).alias("_bin"))
-    per_bin = binned.where(F.col("_bin").isNotNull()).groupBy(*group_cols, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = df.select(*group_cols).distinct().withColumn("_k", F.lit(len(PROBABILITY_EDGES) - 1))
-    return zero_filled(per_bin, sizes, list(group_cols), "_bin", "_n", out_col).withColumn(
-        "probability_bins", edges)
+    g = list(group_cols)
+    hist = _histogram(df, g, bin_index(F.col(prob_col).cast("double"), edges), F.lit(1),
+                      F.lit(len(PROBABILITY_EDGES) - 1), out_col)
+    return hist.withColumn("probability_bins", edges)
 
 
 def profile_counts(df: DataFrame, group_cols, numeric=(), categorical=(), prob_col: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from vigil.operators import drift as D
 from vigil.operators import stats as S
 from vigil.plans.registry import query, r6
 from vigil.plans import sqlparts
-from vigil.plans.sqlparts import (DECILES_SQL, LOG_CTE, PROB_EDGES_SQL, drift_cte, reference_cte, sql_bin,
+from vigil.plans.sqlparts import (LOG_CTE, drift_cte, reference_cte, sql_bin,
                                   sql_chi, sql_lstr)
 from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, prediction_log, recent_rows, reference_rows
 

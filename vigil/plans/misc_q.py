@@ -290,9 +290,8 @@ def max_version(spark, sf_dir):
     """Highest registered version per model, comparing versions as numbers, not strings."""
     p = read_table(spark, sf_dir, "part")
     v = F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string")).otherwise(F.col("p_size").cast("string"))
-    return p.groupBy(F.col("p_brand").alias("model_name")).agg(F.max(F.expr("try_cast(v AS INT)")).alias(
-        "max_version")) if False else p.select(F.col("p_brand").alias("model_name"), v.alias("v")).groupBy(
-        "model_name").agg(F.max(F.col("v").cast("int")).alias("max_version"))
+    versions = p.select(F.col("p_brand").alias("model_name"), v.alias("version"))
+    return versions.groupBy("model_name").agg(F.max(F.col("version").cast("int")).alias("max_version"))
 
 
 @query("stale_approvals", sql=f"""WITH {APR_SQL}
