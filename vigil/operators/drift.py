@@ -146,6 +146,8 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
     enough = sizes.where(F.col("sample_size") >= min_samples).select(*g)
     feats = feature_drift(recent, reference, g, numeric, categorical, prob_col, warning, critical, groups=enough,
                           ref_group_cols=ref_group_cols)
+    # small (groups x features) and read by the summary and by every caller that also wants the rows
+    feats = materialize_small(feats)
     best = feats.groupBy(*g).agg(
         F.max("score").alias("_max"),
         F.count_if(F.col("feature") != "__output__").alias("n_features"),
