@@ -37,9 +37,10 @@ def recent_window(log: DataFrame, group_cols, n: int | None = RECENT_WINDOW_SIZE
 
 
 def slot_rows(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
-              prob_col: str | None = "probability", ref_group_cols=None, keep=()) -> DataFrame:
+              prob_col: str | None = "probability", ref_group_cols=None, keep=(), how: str = "inner") -> DataFrame:
     """Long form of the recent rows with each value's slot: its bin (numeric / output) or category index
-    (categorical, -1 = unknown or null). Narrow: a broadcast join with the reference dictionary."""
+    (categorical, -1 = unknown or null). Narrow: a broadcast join with the reference dictionary (``how='left'``
+    keeps rows of features the reference lacks, with a null slot)."""
     g = list(group_cols)
     rg = g if ref_group_cols is None else list(ref_group_cols)
     rkeys = [*rg, "feature"]
@@ -52,10 +53,11 @@ def slot_rows(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), c
                             F.lit(None).cast("string").alias("str_value"))
         long_df = long_df.unionByName(out)
     ref_slots = reference.select(*rkeys, F.col("kind").alias("ref_kind"), "bins", "categories")
-    tagged = join_small(long_df, ref_slots, rkeys)
+    tagged = join_small(long_df, ref_slots, rkeys, how)
     numeric_like = F.col("ref_kind").isin("numeric", "output_probability")
-    slot = F.when(numeric_like, bin_index("num_value", "bins")).when(F.col("str_value").isNull(), F.lit(-1)).otherwise(
-        F.array_position("categories", F.col("str_value")).cast("int") - 1)
+    slot = (F.when(F.col("ref_kind").isNull(), F.lit(None).cast("int"))
+            .when(numeric_like, bin_index("num_value", "bins")).when(F.col("str_value").isNull(), F.lit(-1))
+            .otherwise(F.array_position("categories", F.col("str_value")).cast("int") - 1))
     return tagged.select(*g, *keep, "feature", slot.alias("_slot"))
 
 
@@ -139,13 +141,18 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
         summary, feats = drift_analyze(log, reference, ["_all"], numeric, categorical, prob_col, window,
                                        min_samples, ts_col, id_col, warning, critical, ref_group_cols=["_all"])
         return summary.drop("_all"), feats.drop("_all")
+    rg = g if ref_group_cols is None else list(ref_group_cols)
     recent = recent_window(log, g, window, ts_col, id_col)
-    if window is not None:  # bounded (n rows per group): computed once for the branches that read it
-        recent = materialize_small(recent)
-    sizes = recent.groupBy(*g).agg(F.count(F.lit(1)).alias("sample_size"))
+    ref = materialize_small(reference.select(*rg, "feature", "kind", "bins", "categories", "reference_distribution"))
+    # one pass over the recent rows: every row gives exactly one long row per feature, so the slot counts of
+    # any one feature also give the group's sample size (no second scan of the log)
+    rows = slot_rows(recent, ref, g, numeric, categorical, prob_col, ref_group_cols=rg, how="left")
+    per_slot = materialize_small(rows.groupBy(*g, "feature", "_slot").agg(F.count(F.lit(1)).alias("_n")))
+    probe = (list(numeric) + list(categorical) + (["__output__"] if prob_col else []))[0]
+    sizes = (per_slot.where(F.col("feature") == probe).groupBy(*g)
+             .agg(F.sum("_n").cast("long").alias("sample_size")))
     enough = sizes.where(F.col("sample_size") >= min_samples).select(*g)
-    feats = feature_drift(recent, reference, g, numeric, categorical, prob_col, warning, critical, groups=enough,
-                          ref_group_cols=ref_group_cols)
+    feats = drift_from_counts(per_slot, ref, enough, g, warning, critical, ref_group_cols=rg)
     # small (groups x features) and read by the summary and by every caller that also wants the rows
     feats = materialize_small(feats)
     best = feats.groupBy(*g).agg(
