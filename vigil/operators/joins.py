@@ -50,6 +50,11 @@ def materialize_small(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def persist_shared(df: DataFrame) -> DataFrame:
+    """Persist a table several branches of one plan read (memory, spilling to disk); not assumed small."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS,
                bounded_by: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to a side that is expected to be small: broadcast within the checked bound, else a plain

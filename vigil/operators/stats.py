@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.drift import DECILE_LEVELS, PROBABILITY_EDGES, bin_index, learned_edges
-from vigil.operators.joins import cut_lineage, join_small, materialize_small
+from vigil.operators.joins import cut_lineage, join_small, materialize_small, persist_shared
 from vigil.operators.ordered import DEFAULT_RANGES, running_totals
 
 MISSING = "__missing__"
@@ -48,7 +48,7 @@ def numeric_profile(long_df: DataFrame, group_cols, ranges: int = DEFAULT_RANGES
     """
     keys = [*group_cols, "feature"]
     counts = long_df.groupBy(*keys, "num_value").agg(F.count(F.lit(1)).alias("cnt"))
-    return _numeric_from_counts(materialize_small(counts), keys, ranges)
+    return _numeric_from_counts(persist_shared(counts), keys, ranges)
 
 
 def categorical_profile(long_df: DataFrame, group_cols) -> DataFrame:
@@ -178,7 +178,8 @@ def reference_stats(df: DataFrame, group_cols, numeric=(), categorical=(), prob_
     """
     g = list(group_cols)
     keys = [*g, "feature"]
-    counts = materialize_small(profile_counts(df, g, numeric, categorical, prob_col))
+    # distinct (group, feature, value) counts: read by the numeric, categorical and output branches
+    counts = persist_shared(profile_counts(df, g, numeric, categorical, prob_col))
     none_d = [F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "max", "median", "q25", "q75")]
     parts = []
     if numeric:
