@@ -63,3 +63,13 @@ def test_severity_changes_first_emits_nothing(spark):
     ch = D.severity_changes(df, ["model_name"]).orderBy("window_start").collect()
     assert [(r.previous_severity, r.new_severity) for r in ch] == [("insufficient_data", "normal"),
                                                                    ("normal", "critical")]
+
+
+def test_empty_reference_distribution_gives_empty_actuals(spark):
+    ref = spark.createDataFrame([("m", "x", "numeric", [], None, [])],
+                                "model_name string, feature string, kind string, bins array<double>, "
+                                "categories array<string>, reference_distribution array<bigint>")
+    base = dt.datetime(2024, 2, 1)
+    rec = _log(spark, [(i, "m", base + dt.timedelta(minutes=i), 1.0, "a", 0.5) for i in range(40)])
+    _, f = D.drift_analyze(rec, ref, ["model_name"], ["x"], [], None)
+    assert f.first().actual_distribution == []

@@ -76,9 +76,11 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
         F.map_from_entries(F.collect_list(F.when(F.col("_slot") >= 0, F.struct("_slot", "_n")))).alias("_m"),
         F.sum(F.when(F.col("_slot") == -1, F.col("_n")).otherwise(0)).alias("unknown_count"))
     res = (ref.join(groups, rg).join(dense, keys, "left")
-           .withColumn("actual_distribution", F.transform(
-               F.sequence(F.lit(0), F.size("expected_distribution") - 1),
-               lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long")))
+           .withColumn("actual_distribution", F.when(
+               F.coalesce(F.size("expected_distribution"), F.lit(0)) > 0, F.transform(
+                   F.sequence(F.lit(0), F.size("expected_distribution") - 1),
+                   lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long"))).otherwise(
+               F.array().cast("array<bigint>")))
            .withColumn("_empty", (F.coalesce(F.when(F.col("bins").isNotNull(), F.size("bins"))
                                              .otherwise(F.size("categories")), F.lit(0)) <= 0)
                        | (F.coalesce(F.size("expected_distribution"), F.lit(0)) <= 0)))

@@ -142,6 +142,7 @@ def job_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id"), F.col("event_id"), F.col("ts"),
         (F.col("event_type") != "error").alias("ok"),
         F.col("event_type").alias("job_type"),
+        F.col("value"),
     )
 
 
@@ -154,8 +155,7 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from vigil.operators.queue import route_attempts
     r = route_attempts(job_attempts(spark, sf_dir))
-    ev = read_table(spark, sf_dir, "events").select("event_id", "value")
-    term = r.where(F.col("outcome").isin("completed", "dlq")).join(ev, "event_id")
+    term = r.where(F.col("outcome").isin("completed", "dlq"))
     jt = F.when(F.col("user_id") % 3 == 0, "replay_test").when(F.col("user_id") % 3 == 1, "retrain").otherwise(
         "rollback")
     v = F.col("value")
