@@ -16,7 +16,7 @@ from vigil.functions.chisq import chi2_sf
 from vigil.functions.drift import (
     CRITICAL_THRESHOLD, MIN_SAMPLES, RECENT_WINDOW_SIZE, WARNING_THRESHOLD, bin_index, chi_square_defined,
     chi_square_stat, psi, severity_from_score, severity_rank)
-from vigil.operators.joins import join_small, materialize_small
+from vigil.operators.joins import attach, join_small, materialize_small
 from vigil.operators.stats import to_long
 
 
@@ -193,7 +193,7 @@ def drift_report(summary: DataFrame, features: DataFrame, group_cols) -> DataFra
         F.max(F.when(F.col("feature") == "__output__", F.struct(
             F.col("kind"), F.col("score"), F.col("severity"), F.col("bins").alias("probability_bins"),
             F.col("actual_distribution"), F.col("expected_distribution")))).alias("output_drift"))
-    joined = summary.join(per, g, "left") if g else summary.crossJoin(per)
+    joined = summary.join(per, g, "left") if g else attach(summary, per)
     return joined.select(*g, F.struct(
         "sample_size", "min_required_samples", "severity", "overall_score",
         F.coalesce(F.transform("_fs", lambda x: x["f"]), F.array().cast(

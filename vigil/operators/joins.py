@@ -72,3 +72,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from vigil.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (a global aggregate: a threshold, a latest check, a total) to every
+    row of ``df``: a broadcast equi-join on a constant key, linear in ``df``."""
+    k = "_attach_key"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)

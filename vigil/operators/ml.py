@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.joins import attach
 from vigil.operators.ordered import running_totals
 
 # Fixed values of the training setup.
@@ -94,7 +95,7 @@ def threshold_for_recall(df: DataFrame, group_cols=(), label_col: str = "y", sco
         *[F.count_if(y & (s >= c)).alias(f"_p{i}") for i, c in enumerate((0.0, 0.5, 1.0))],
         F.min(s).alias("_min"))
     cands = [F.when(F.col(f"_p{i}") / F.col("_P") >= r, F.lit(c)) for i, c in enumerate((0.0, 0.5, 1.0))]
-    joined = fixed.join(best_score, g, "left") if g else fixed.crossJoin(best_score)
+    joined = fixed.join(best_score, g, "left") if g else attach(fixed, best_score)
     best = F.greatest(F.col("_s"), *cands)
     return joined.select(*g, F.when(F.col("_P") == 0, F.lit(DEFAULT_THRESHOLD))
                          .when(best.isNotNull(), best)
@@ -106,7 +107,7 @@ def evaluate(df: DataFrame, group_cols=(), label_col: str = "y", score_col: str
     g = list(group_cols)
     m = binary_metrics(df, g, label_col, score_col, threshold).drop("tp", "fp", "tn", "fn")
     a = roc_auc(df, g, label_col, score_col)
-    return m.join(a, g, "left") if g else m.crossJoin(a)
+    return m.join(a, g, "left") if g else attach(m, a)
 
 
 def metrics_by_split(df: DataFrame, split_col: str = "split", label_col: str = "y", score_col: str = "score",
@@ -173,7 +174,7 @@ def replay_sample(df: DataFrame, id_cols, label_col: str = "y", n: int = REPLAY_
     qp = F.least(F.col("_P"), F.lit(max(1, n // 2)))
     qn = F.least(F.col("_N"), F.lit(n) - qp)
     take_pos = F.least(F.col("_P"), F.lit(n) - qn)
-    picked = top.crossJoin(F.broadcast(counts)).where(
+    picked = attach(top, counts).where(
         F.when(F.col("_cls"), F.col("_rk") <= take_pos).otherwise(F.col("_rk") <= qn))
     ow = Window.orderBy(hash_order(*ids, seed=seed + 1), *ids)
     return picked.withColumn("sample_order", F.row_number().over(ow) - 1).drop("_h", "_cls", "_rk", "_P", "_N")

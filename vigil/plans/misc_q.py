@@ -127,7 +127,7 @@ def gate_latest_drift(spark, sf_dir):
         F.col("severity").alias("latest_drift_severity"))
     versions = training_frame(spark, sf_dir).select(F.year("l_shipdate").cast("string").alias("model_version")) \
         .distinct()
-    return versions.crossJoin(F.broadcast(latest)).withColumn(
+    return attach(versions, latest).withColumn(
         "passed", F.col("latest_drift_severity").isin(*P.ALLOWED_DRIFT))
 
 
@@ -146,11 +146,12 @@ def _runs(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
     run = F.year("l_shipdate").cast("string").alias("run_id")
     req = li.groupBy(run).agg((F.min("l_shipdate") + F.expr("INTERVAL 300 DAYS")).alias("started_at"))
-    names = read_table(spark, sf_dir, "lineitem").sparkSession.createDataFrame(
-        [(i, a) for i, a in enumerate(P.ARTIFACTS)], "i int, artifact string")
-    required = req.crossJoin(F.broadcast(names))
+    arts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("artifact")) for i, a in enumerate(P.ARTIFACTS)])
+    required = req.select("*", F.inline(arts))  # each run requires the fixed list of artifacts
     produced = li.groupBy(run, (F.col("l_linenumber") - 1).alias("i")).agg(F.max("l_shipdate").alias("produced_at"))
-    produced = produced.join(F.broadcast(names), "i").drop("i")
+    names = F.element_at(F.transform(arts, lambda x: x["artifact"]), F.col("i") + 1)
+    produced = produced.where((F.col("i") >= 0) & (F.col("i") < len(P.ARTIFACTS))).select(
+        "run_id", "i", names.alias("artifact"), "produced_at").drop("i")
     return required, produced
 
 
@@ -179,6 +180,7 @@ def run_acceptance(spark, sf_dir):
 
 # ---- scalar families over the tables -------------------------------------------------------------------------
 from vigil.functions import text as TX  # noqa: E402
+from vigil.operators.joins import attach
 from vigil.operators.queue import backoff_seconds  # noqa: E402
 
 
@@ -301,7 +303,7 @@ def stale_approvals(spark, sf_dir):
     """Pending approvals older than 60 minutes at the newest time in the table."""
     apr = approvals_ledger(spark, sf_dir)
     now = apr.agg(F.max("created_at").alias("_now"))
-    return (apr.where(F.col("status") == "pending").crossJoin(F.broadcast(now))
+    return (attach(apr.where(F.col("status") == "pending"), now)
             .where(F.col("created_at") < F.col("_now") - F.expr("INTERVAL 60 MINUTES")).select("approval_id"))
 
 

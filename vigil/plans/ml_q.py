@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import ml as M
 from vigil.operators import stats as S
+from vigil.operators.joins import attach
 from vigil.plans.registry import query, r6
 from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
 
@@ -111,10 +112,10 @@ def metrics_by_split(spark, sf_dir):
     """Threshold chosen for recall 0.74 on the validation split; metrics per split, test unprefixed."""
     t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42).persist()  # read three times
     thr = M.threshold_for_recall(t.where(F.col("split") == "val"), [], min_recall=0.74)
-    scored = t.crossJoin(F.broadcast(thr))
+    scored = attach(t, thr)
     wide = M.metrics_by_split(scored, "split", threshold=F.col("threshold"))
-    return wide.select(*[r6(c).alias(c) for c in wide.columns]).crossJoin(
-        thr.select(F.col("threshold").alias("selected_threshold")))
+    return attach(wide.select(*[r6(c).alias(c) for c in wide.columns]),
+                  thr.select(F.col("threshold").alias("selected_threshold")))
 
 
 @query("class_weights", sql=f"WITH {T_SQL} SELECT y, count(*) AS n_c, round(sum(count(*)) OVER () / "
@@ -211,8 +212,8 @@ def train_summary(spark, sf_dir):
     scored = TRN.score(t, model)
     thr = M.threshold_for_recall(scored.where(F.col("split") == "val"), [], score_col="probability",
                                  min_recall=0.74)
-    wide = M.metrics_by_split(scored.crossJoin(F.broadcast(thr)), "split", score_col="probability",
+    wide = M.metrics_by_split(attach(scored, thr), "split", score_col="probability",
                               threshold=F.col("threshold"))
     counts = t.groupBy().pivot("split", ["train", "val", "test"]).count()
-    return wide.crossJoin(thr.select(F.col("threshold").alias("selected_threshold"))).crossJoin(
-        counts.select(*[F.col(s).alias(f"{s}_rows") for s in ("train", "val", "test")]))
+    return attach(attach(wide, thr.select(F.col("threshold").alias("selected_threshold"))),
+                  counts.select(*[F.col(s).alias(f"{s}_rows") for s in ("train", "val", "test")]))

@@ -14,6 +14,7 @@ from vigil.operators import drift as D
 from vigil.operators import ml as M
 from vigil.operators import promotion as P
 from vigil.operators import replay as RP
+from vigil.operators.joins import attach
 from vigil.plans.drift_q import checks
 from vigil.plans.registry import query, r6
 from vigil.plans.sqlparts import checks_cte
@@ -80,7 +81,7 @@ def candidates(spark, sf_dir):
     latest = D.latest_per_group(summary.withColumn("_one", F.lit(1)), ["_one"], ["window_start", "model_name"]).select(
         F.col("severity").alias("latest_drift_severity"))
     newest = t.agg(F.max("model_version").alias("loaded_model_version"))
-    c = metrics.join(rs, "model_version", "left").crossJoin(F.broadcast(latest)).crossJoin(F.broadcast(newest))
+    c = attach(attach(metrics.join(rs, "model_version", "left"), latest), newest)
     art = F.create_map(*[x for a in P.ARTIFACTS for x in (
         F.lit(a), (F.lit(a) != "model_card_artifact_exists") | (F.col("model_version") != F.col("loaded_model_version")))])
     return c.select(
@@ -176,7 +177,7 @@ def _rollback_requests(spark, sf_dir):
         F.lit("rollback_production").alias("requested_action"), F.lit("production").alias("target_environment"),
         F.lit(MODEL).alias("model_name"),
         F.when(F.col("status") == "approved", F.year("created_at").cast("string")).alias("model_version"))
-    req = req.crossJoin(F.broadcast(loaded)).withColumn("loaded_model_name", F.lit(MODEL))
+    req = attach(req, loaded).withColumn("loaded_model_name", F.lit(MODEL))
     years = training_frame(spark, sf_dir).select(F.year("l_shipdate").alias("y")).distinct()
     registry = years.select(F.lit(MODEL).alias("model_name"), F.col("y").cast("string").alias("model_version"),
                             F.when(F.col("y") % 2 == 0, "archived").otherwise("candidate").alias("model_stage"))
