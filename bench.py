@@ -31,8 +31,13 @@ def main() -> None:
     load_all()
     spark = local_session(cpus, app="vigil-bench")
     times = {}
-    # warm the JVM and the Python workers once (not timed)
-    QUERIES["class_distribution"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm the JVM (class loading, JIT, codegen caches) once on the smoke tables; not timed
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(warm_dir):
+        warm_dir = sf_dir
+    for name in ("class_distribution", "drift_analyze"):
+        QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    spark.catalog.clearCache()
     for name in names:
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)
