@@ -26,7 +26,9 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark, sf_dir):
+            from vigil.session import ship_package
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)  # executors' Python workers import the package (UDFs, stream state functions)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if sql is not None:
