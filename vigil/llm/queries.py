@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from vigil.llm import bpe, fertility, linededup, minhash, mixing
+from vigil.llm import bpe, fertility, linededup, minhash, mixing, perspective, prefixhash, tokenfile, urlfilter
 from vigil.session import ship_package
 from vigil.sources.tables import read_table
 
@@ -46,6 +46,26 @@ def op3(spark, sf_dir):
     return minhash.op3_minhash(read_table(spark, sf_dir, "documents"))
 
 
+@query("op4_tokens")
+def op4(spark, sf_dir):
+    return tokenfile.op4_tokens(spark, read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_urls", urlfilter.ORACLE)
+def op5(spark, sf_dir):
+    return urlfilter.op5_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query("op7_fingerprints")
+def op7(spark, sf_dir):
+    return prefixhash.op7_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_chat", perspective.ORACLE)
+def op10(spark, sf_dir):
+    return perspective.op10_chat(read_table(spark, sf_dir, "conversations"))
+
+
 @query("op6_lines", linededup.ORACLE)
 def op6(spark, sf_dir):
     return linededup.op6_lines(read_table(spark, sf_dir, "documents"))
