@@ -1,8 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of byte spans. Each mergeable neighbour pair waits in the bucket of its merge
-rank; a bucket holds list positions, leftmost first. Three levels of 64-bit words mark the buckets in use, so
-find-first-set on three words gives the next rank. A merge only removes and adds the pairs beside it; entries whose
+rank; a bucket holds list positions, leftmost first. A bitmap of two levels marks the buckets in use, so
+find-first-set on two words gives the next rank. A merge only removes and adds the pairs beside it; entries whose
 pair has changed since are stale and are skipped when they come up. A pre-token of n bytes costs O(n log n), also
 when it has millions of bytes.
 """
@@ -10,9 +10,9 @@ when it has millions of bytes.
 from __future__ import annotations
 
 import base64
-import heapq
 import struct
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from vigil.llm.common import Cache2, arrow_map
 
 #: Entries a worker keeps of each lookup table (pieces between spaces, pre-tokens).
-CACHE_ENTRIES = 1 << 17
+PIECES, PRE_TOKENS = 1 << 17, 1 << 19
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
 
@@ -33,45 +33,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Buckets by rank with a three-level bitmap over them."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        b = self.buckets.get(rank)
-        if b is not None:
-            heapq.heappush(b, at)
-            return
-        self.buckets[rank] = [at]
-        w = rank >> 6
-        self.low[w] |= 1 << (rank & 63)
-        self.mid[w >> 6] |= 1 << (w & 63)
-        self.top |= 1 << (w >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position, or None."""
-        if not self.top:
-            return None
-        t = (self.top & -self.top).bit_length() - 1
-        m = self.mid[t]
-        w = (t << 6) + (m & -m).bit_length() - 1
-        x = self.low[w]
-        rank = (w << 6) + (x & -x).bit_length() - 1
-        b = self.buckets[rank]
-        at = heapq.heappop(b)
-        if not b:
-            del self.buckets[rank]
-            self.low[w] = x = x & (x - 1)
-            if not x:
-                self.mid[t] = m = m & (m - 1)
-                if not m:
-                    self.top &= self.top - 1
-        return rank, at
+#: Ranks in a word of the lower bitmap level.
+WORD_BITS = 8
+LOW = (1 << WORD_BITS) - 1
+_BIT = [1 << i for i in range(LOW + 1)]
 
 
 class Encoder:
@@ -81,41 +46,75 @@ class Encoder:
         self.ranks = ranks
         self.find: Callable = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=1)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.tokens = Cache2(self.pre_token, CACHE_ENTRIES)
-        self.first = Cache2(lambda piece: self.pieces(piece), CACHE_ENTRIES)
-        self.later = Cache2(lambda piece: self.pieces(" " + piece), CACHE_ENTRIES)
+        n = max(ranks.values(), default=0) + 1
+        # the rank queue, empty between calls: buckets by rank, a bitmap of the ranks in use; merge keeps the upper level
+        self.buckets: dict[int, int | list[int]] = {}
+        self.in_use = [0] * ((n >> WORD_BITS) + 1)
+        self.byte_pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.tokens = Cache2(self.pre_token, PRE_TOKENS)
+        self.first = Cache2(lambda piece: self.pieces(piece), PIECES)
+        self.later = Cache2(lambda piece: self.pieces(" " + piece), PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest-ranked neighbour pair merges first, the leftmost of equals."""
-        ranks, n, longest, push = self.ranks, len(piece), self.longest, self.queue.push
+        ranks, n, longest = self.ranks, len(piece), self.longest
+        get, buckets, in_use, bit = ranks.get, self.buckets, self.in_use, _BIT
+        get_bucket = buckets.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the span at i with the one after it; -1: none, or i is no span's start
-        for i in range(n - 1):
-            r = ranks.get(piece[i:i + 2], -1)
-            if r >= 0:
-                pair[i] = r
-                push(r, i)
-        pop = self.queue.pop
-        while (got := pop()) is not None:
-            r, i = got
-            if pair[i] != r:
-                continue  # stale
+        # rank of the span at i with the one after it; -1: none, or i is no span's start
+        byte_pairs = self.byte_pairs
+        pair = [byte_pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        pair.append(-1)
+        top = 0  # bitmap of the words of in_use that are not 0
+        new = [(r, i) for i, r in enumerate(pair) if r >= 0]
+        while True:
+            for r, at in new:
+                b = get_bucket(r)
+                if b is None:
+                    buckets[r] = at
+                    w = r >> WORD_BITS
+                    in_use[w] |= bit[r & LOW]
+                    top |= bit[w] if w <= LOW else 1 << w
+                elif type(b) is int:  # most buckets hold one position
+                    buckets[r] = [b, at] if b < at else [at, b]
+                else:
+                    heappush(b, at)
+            while top:
+                # find-first-set on both levels: the lowest rank in use, and its leftmost position
+                w = (top & -top).bit_length() - 1
+                x = in_use[w]
+                rank = (w << WORD_BITS) + (x & -x).bit_length() - 1
+                i = buckets[rank]
+                if type(i) is not int:
+                    b = i
+                    i = heappop(b)
+                    if len(b) == 1:
+                        buckets[rank] = b[0]
+                else:
+                    del buckets[rank]
+                    in_use[w] = x = x & (x - 1)
+                    if not x:
+                        top &= top - 1
+                if pair[i] == rank:
+                    break  # others are stale
+            else:
+                break
             j = after[i]
-            k = after[j]
-            after[i] = k
+            after[i] = k = after[j]
             pair[j] = pair[i] = -1
+            new = []
             if k < n:
                 before[k] = i
                 end = after[k]
-                if end - i <= longest and (r := ranks.get(piece[i:end], -1)) >= 0:
+                if end - i <= longest and (r := get(piece[i:end], -1)) >= 0:
                     pair[i] = r
-                    push(r, i)
-            if (h := before[i]) >= 0:
+                    new.append((r, i))
+            h = before[i]
+            if h >= 0:
                 pair[h] = -1
-                if k - h <= longest and (r := ranks.get(piece[h:k], -1)) >= 0:
+                if k - h <= longest and (r := get(piece[h:k], -1)) >= 0:
                     pair[h] = r
-                    push(r, h)
+                    new.append((r, h))
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i:after[i]]])
