@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from vigil.llm import bpe, fertility, linededup, minhash, mixing, perspective, prefixhash, tokenfile, urlfilter
+from vigil.llm import bpe, fertility, linededup, minhash, mixing, perspective, prefixhash, tokenfile, urlfilter, zquality
 from vigil.session import ship_package
 from vigil.sources.tables import read_table
 
@@ -41,6 +41,11 @@ def op1(spark, sf_dir):
     return bpe.op1_bpe(spark, read_table(spark, sf_dir, "documents"))
 
 
+@query("op2_zstd")
+def op2(spark, sf_dir):
+    return zquality.op2_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op3_minhash")
 def op3(spark, sf_dir):
     return minhash.op3_minhash(read_table(spark, sf_dir, "documents"))
