@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 # UI status buckets, ellipsis, id length.
 STATUS_BUCKETS = {
-    "ok": ["completed", "resolved", "approved", "passed", "success", "production", "normal"],
-    "waiting": ["pending", "waiting_for_approval", "waiting_for_job", "queued", "retrying"],
-    "bad": ["failed", "dlq", "rejected", "critical", "error", "expired"],
-    "running": ["running", "processing", "open"],
-    "candidate": ["candidate", "warning", "staging"],
+    "ok": ["healthy", "ok", "normal", "completed", "resolved", "approved", "passed", "true"],
+    "waiting": ["warning", "pending", "waiting_for_approval", "waiting_for_job", "queued"],
+    "bad": ["critical", "failed", "blocked", "promotion_blocked", "rejected", "dlq", "false"],
+    "running": ["running", "processing", "in_progress"],
+    "candidate": ["candidate", "promote_to_production", "retrain"],
 }
 ELLIPSIS = "…"
 SHORT_ID_HEX = 12
@@ -51,8 +51,8 @@ def job_key(action, investigation_id, version) -> Column:
 
 
 def promotion_request_id(investigation_id, version) -> Column:
-    return F.concat(F.lit("promote_"), _c(investigation_id), F.lit("_"),
-                    F.coalesce(_c(version), F.lit("unknown")))
+    return F.concat(F.lit("promotion_"), _c(investigation_id), F.lit("_"),
+                    F.coalesce(F.nullif(_c(version), F.lit("")), F.lit("unknown")), F.lit("_production"))
 
 
 def last_chars(text, n: int) -> Column:

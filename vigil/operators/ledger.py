@@ -131,7 +131,10 @@ def approval_state(events: DataFrame, key: str = "approval_id", order_cols=("ts"
 
 
 def clamp_limit(limit: int) -> int:
-    return max(PAGE_MIN, min(PAGE_MAX, int(limit)))
+    """The page limit; one out of bounds is an error, never cut in silence."""
+    if not PAGE_MIN <= int(limit) <= PAGE_MAX:
+        raise ValueError(f"limit must be from {PAGE_MIN} to {PAGE_MAX}, not {limit}")
+    return int(limit)
 
 
 def recent_page(df: DataFrame, ts_col: str, id_col: str, offset: int = 0, limit: int = PAGE_DEFAULT,

@@ -70,7 +70,13 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{c}_r").over(before), F.lit(0)).alias(f"_{c}_off") for c in w],
         *[F.sum(f"_{c}_r").over(over_g).alias(f"{c}_total") for c in w],
     )
-    out = join_small(ranged, totals, [*g, "_rng"])
+    # a row's range and group meet their totals null-safely: a null group is a group in this form too
+    totals = totals.select(F.col("_rng").alias("_t_rng"), *[F.col(c).alias(f"_t_{c}") for c in g],
+                           *[F.col(x) for c in w for x in (f"_{c}_off", f"{c}_total")])
+    same = F.col("_rng") == F.col("_t_rng")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    out = join_small(ranged, totals, same)
     local = Window.partitionBy(*g, "_rng").orderBy("_ord", *tb).rowsBetween(Window.unboundedPreceding, 0)
     return out.select(
         *[c for c in df.columns if c != "_ord"],

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.text import promotion_request_id
+
 from vigil.operators.ledger import insert_if_absent_agg, upsert
 from vigil.operators.replay import MAX_PROBABILITY_DIFFERENCE, MAX_REPLAY_MISMATCHES
 
@@ -181,7 +183,7 @@ def promotion_requests(approvals: DataFrame) -> DataFrame:
     version = F.date_format("created_at", "yyyy")
     return a.select(
         F.lit("v1").alias("contract_version"), F.lit("promotion.production.requested").alias("request_type"),
-        F.concat(F.lit("promote_"), F.col("investigation_id"), F.lit("_"), version).alias("request_id"),
+        promotion_request_id("investigation_id", version).alias("request_id"),
         F.col("created_at"), F.lit("agent").alias("source_service"), "investigation_id", "approval_id",
         F.lit("promote_to_production").alias("requested_action"), F.lit("production").alias("target_environment"),
         F.lit("model").alias("model_name"), version.alias("model_version"),

@@ -201,8 +201,8 @@ def fn_scoring(spark, sf_dir):
   'inv_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12) AS investigation_id,
   'retrain:inv_' || CAST(o_orderkey AS VARCHAR) || ':' || CASE WHEN o_orderstatus = 'P' THEN 'unknown'
      ELSE o_orderstatus END AS job_key,
-  'promote_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || CASE WHEN o_orderstatus = 'P' THEN 'unknown'
-     ELSE o_orderstatus END AS request_id,
+  'promotion_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || CASE WHEN o_orderstatus = 'P' THEN 'unknown'
+     ELSE o_orderstatus END || '_production' AS request_id,
   'rollback_inv_' || CAST(o_orderkey AS VARCHAR) || '_apr_' || CAST(o_orderkey AS VARCHAR) || '_' ||
      CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE o_orderstatus END || '_production' AS rollback_request_id,
   2 * (1 << greatest(CAST(o_orderkey % 5 AS INTEGER) - 1, 0)) AS backoff_seconds
@@ -234,11 +234,11 @@ def fn_text(spark, sf_dir):
 
 
 @query("fn_status_bucket", sql="""SELECT bucket, count(*) AS n FROM (SELECT CASE
-  WHEN lower(s) IN ('completed', 'resolved', 'approved', 'passed', 'success', 'production', 'normal') THEN 'ok'
-  WHEN lower(s) IN ('pending', 'waiting_for_approval', 'waiting_for_job', 'queued', 'retrying') THEN 'waiting'
-  WHEN lower(s) IN ('failed', 'dlq', 'rejected', 'critical', 'error', 'expired') THEN 'bad'
-  WHEN lower(s) IN ('running', 'processing', 'open') THEN 'running'
-  WHEN lower(s) IN ('candidate', 'warning', 'staging') THEN 'candidate' ELSE 'other' END AS bucket
+  WHEN lower(s) IN ('healthy', 'ok', 'normal', 'completed', 'resolved', 'approved', 'passed', 'true') THEN 'ok'
+  WHEN lower(s) IN ('warning', 'pending', 'waiting_for_approval', 'waiting_for_job', 'queued') THEN 'waiting'
+  WHEN lower(s) IN ('critical', 'failed', 'blocked', 'promotion_blocked', 'rejected', 'dlq', 'false') THEN 'bad'
+  WHEN lower(s) IN ('running', 'processing', 'in_progress') THEN 'running'
+  WHEN lower(s) IN ('candidate', 'promote_to_production', 'retrain') THEN 'candidate' ELSE 'other' END AS bucket
   FROM (SELECT event_type AS s FROM events UNION ALL SELECT CASE o_orderstatus WHEN 'O' THEN 'running'
         WHEN 'P' THEN 'waiting_for_approval' ELSE 'resolved' END FROM orders)) GROUP BY ALL""")
 def fn_status_bucket(spark, sf_dir):

@@ -135,8 +135,8 @@ def event_contract(spark, sf_dir):
                       F.try_element_at("violations", F.lit(1)).alias("first_violation"), "valid")
 
 
-@query("promotion_contract", sql="SELECT 'promote_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || "
-       "strftime(o_orderdate, '%Y') AS request_id, 0 AS n_violations, true AS valid FROM orders "
+@query("promotion_contract", sql="SELECT 'promotion_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || "
+       "strftime(o_orderdate, '%Y') || '_production' AS request_id, 0 AS n_violations, true AS valid FROM orders "
        "WHERE o_orderstatus = 'F'")
 def promotion_contract(spark, sf_dir):
     """Promotion requests built from approved approvals (rows-only check)."""

@@ -29,11 +29,14 @@ DEDUPE_TTL = "24 hours"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", ts_col: str = "ts",
-                 max_files: int = 1) -> DataFrame:
+                 max_files: int | None = None) -> DataFrame:
     """Stream of a table's rows; ``ts`` (stored without zone) becomes a TIMESTAMP so watermarks apply."""
     schema = read_table(spark, sf_dir, table).schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-         .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # the glob matches the table's own path, be it one file or a folder of files
+    s = reader.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet*")
     return s.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if ts_col in schema.fieldNames() else s
 
 
