@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int | No
     for k in sorted(totals):
         starts[k] = at
         at += totals[k]
-    _put(folder, "ranks.bin", by_rank.tobytes())
+    _put(folder, "ranks.bin", MAGIC + by_rank.tobytes())  # never empty: Spark's reader passes over empty files
     given = spark.sparkContext.broadcast((rank, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,8 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     """(doc_id, start, n_tokens, ids_crc32[, ids array<int>]) from the files of ``folder``, with Spark's reader."""
     binary = "path string, modificationTime timestamp, length bigint, content binary"
     load = spark.read.format("binaryFile").schema(binary)
-    by_rank = np.frombuffer(load.option("pathGlobFilter", "ranks.bin").load(folder).first()["content"], dtype="<u4")
+    ranks = load.option("pathGlobFilter", "ranks.bin").load(folder).first()["content"]
+    by_rank = np.frombuffer(bytes(ranks)[len(MAGIC):], dtype="<u4")
     given = spark.sparkContext.broadcast(by_rank)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
