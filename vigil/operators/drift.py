@@ -65,7 +65,7 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
                       warning: float = WARNING_THRESHOLD, critical: float = CRITICAL_THRESHOLD,
                       ref_group_cols=None) -> DataFrame:
     """Feature drift rows from slot counts ``(group..., feature, _slot, _n)``; ``groups`` lists the groups to
-    report (every reference feature of such a group gets a row, zero-filled)."""
+    report (every reference feature that the log has gets a row, its missing slots zero-filled)."""
     g = list(group_cols)
     rg = g if ref_group_cols is None else list(ref_group_cols)
     keys = [*g, "feature"]
@@ -75,7 +75,8 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
     dense = per_slot.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_slot") >= 0, F.struct("_slot", "_n")))).alias("_m"),
         F.sum(F.when(F.col("_slot") == -1, F.col("_n")).otherwise(0)).alias("unknown_count"))
-    res = (ref.join(groups, rg).join(dense, keys, "left")
+    # a reference feature that the log lacks has no slots and is skipped; null values have slots of their own
+    res = (ref.join(groups, rg).join(dense, keys)
            .withColumn("actual_distribution", F.when(
                F.coalesce(F.size("expected_distribution"), F.lit(0)) > 0, F.transform(
                    F.sequence(F.lit(0), F.size("expected_distribution") - 1),
