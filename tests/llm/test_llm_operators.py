@@ -383,3 +383,19 @@ def test_rotation(spark):
     assert [ann["text"][s["start"]:s["end"]] for s in ann["spans"]] == ["hi <| im_end|><|im_end|>"] and ann["mask"] == "0100"
     assert by[(1, "ann", 2)]["mask"] == "1" and by[(1, "bob", 2)]["mask"] == "0"
     assert {k[:2] for k in by} == {(1, "ann"), (1, "bob"), (2, "eve"), (None, "eve")}
+
+
+def test_cuts_at_spaces_never_split_white_space_runs():
+    """Both encoders equal their libraries on runs of mixed white space, no-break spaces included."""
+    import tiktoken
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    theirs = tiktoken.Encoding("all", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine = bpe.Encoder(ranks, P.PATTERN)
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        files = tokenfile.Tokens(f.read(), True)
+    r = random.Random(3)
+    marks = ["a", "b", "'s", " ", " ", "\n", "\t", "\xa0", "　", "\x1c", "1", ".", "é"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [" \xa0 \xa0"]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), dtype="<u4").tolist() == theirs.encode_ordinary(t), repr(t)
+        assert files.encode(t) == files.whole(t), repr(t)

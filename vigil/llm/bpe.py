@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import Cache2, arrow_map
+from vigil.llm.common import CUT, Cache2, arrow_map
 
 #: Entries a worker keeps of each lookup table (pieces between spaces, pre-tokens).
 PIECES, PRE_TOKENS = 1 << 17, 1 << 19
@@ -131,25 +131,11 @@ class Encoder:
         tokens = self.tokens
         return b"".join([tokens[t] if len(t) <= CACHE_CHARS else self.pre_token(t) for t in self.find(text)])
 
-    def split(self, text: str) -> list[str]:
-        """Cut before each space that a non-space follows. The pattern never matches across such a place (a run of
-        white space leaves its last space to what follows), so the parts can be encoded by themselves."""
-        parts = text.split(" ")
-        if "" not in parts:
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p:
-                out.append(p)
-            else:
-                out[-1] += " "  # a space that no word follows belongs to the run before it
-        return out
-
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a text; null counts as empty."""
         if not text:
             return b""
-        parts = self.split(text)
+        parts = CUT.split(text)
         first, later = self.first, self.later
         head = parts[0]
         if len(text) <= CACHE_CHARS or max(map(len, parts)) <= CACHE_CHARS:

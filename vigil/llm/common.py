@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from vigil.session import ensure_checkpoint_dir
 
+#: A place where the vocabularies' patterns always cut: before a space that something other than white space follows.
+#: (A run of white space leaves its last space to what follows; within a run there is no such place.)
+CUT = re.compile(r" (?=\S)")
 #: A word: a run of characters other than space and the control characters tab to carriage return (Java and RE2).
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import Cache2, range_bounds, range_of, ranges_for, shared_path, written
+from vigil.llm.common import CUT, Cache2, range_bounds, range_of, ranges_for, shared_path, written
 
 MAGIC = b"VTOK1\n"
 #: A file is closed when its streams reach so many bytes; a larger document has a file of its own.
@@ -56,8 +56,8 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """Encodes texts by a tokenizers file whose pre-tokenizer cuts before a space that a word follows. What lies
-    between such cuts is encoded once and kept; what many texts repeat costs a table lookup."""
+    """Encodes texts by a tokenizers file whose pre-tokenizer cuts before a space that no white space follows.
+    What lies between such cuts is encoded once and kept; what many texts repeat costs a table lookup."""
 
     def __init__(self, definition: str, special_as_text: bool):
         from tokenizers import Tokenizer
@@ -85,15 +85,7 @@ class Tokens:
             return b""
         if not self.by_space:
             return self.whole(text)
-        parts = text.split(" ")
-        if "" in parts:  # a space before white space or the end belongs to the run before it
-            out = [parts[0]]
-            for p in parts[1:]:
-                if p:
-                    out.append(p)
-                else:
-                    out[-1] += " "
-            parts = out
+        parts = CUT.split(text)
         if max(map(len, parts)) <= CACHE_CHARS:
             return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
         got = [self.whole(parts[0])]
