@@ -171,16 +171,16 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int | No
     """Write the ids of all documents to ``folder`` and return the manifest (name, start, docs, ids).
 
     Null and empty texts have the end id alone. Documents come by ascending doc_id, those without one first, rows
-    with one doc_id by their ids. The texts are encoded once; ids and counts are written to the shared folder, then
-    dealt into ranges of doc_id, each sorted and written by one task. Only the counts by id and the totals by range
+    with one doc_id by their packed ids. The texts are encoded once; ids and counts are written to the shared folder,
+    renamed and packed, then dealt into ranges of doc_id, each sorted and written by one task. Only the counts by id and the totals by range
     pass through the driver; their number is the vocabulary's and the ranges'. ``folder`` is a URI (or path) that
     executors can write to; a folder without files is what an empty table gives.
     """
     spark = docs.sparkSession
     tok = tokens_of(definition, special_as_text)
-    kind, width = tok.kind, np.dtype(tok.kind).itemsize
+    kind = tok.kind
     bounds = range_bounds(docs, "doc_id", ranges_for(spark))
-    rows = written(tokenised(docs, definition, end_id, bounds, special_as_text), "token-ids")
+    rows = written(tokenised(docs, definition, end_id, bounds, special_as_text), "token-ids", "zstd")
     counts = sorted((-r["n"], r["id"]) for r in _counted(rows, kind).collect())
     by_rank = np.array([i for _, i in counts], dtype="<u4")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype="<u4")
@@ -193,8 +193,20 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int | No
     _put(folder, "ranks.bin", MAGIC + by_rank.tobytes())  # never empty: Spark's reader passes over empty files
     given = spark.sparkContext.broadcast((rank, starts))
 
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = given.value[0]
+        for b in batches:
+            control, data = [], []
+            for ids in b.column("ids").to_pylist():
+                c, d = pack(rank[np.frombuffer(ids, dtype=kind)])
+                control.append(c)
+                data.append(d)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("range"), b.column("doc_id"), b.column("n"), pa.array(control, type=pa.binary()),
+                 pa.array(data, type=pa.binary())], names=["range", "doc_id", "n", "control", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, starts = given.value
+        starts = given.value[1]
         now, at, nth, out, done = None, 0, 0, None, []
 
         def close():
@@ -207,12 +219,10 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int | No
             out = None
 
         for b in batches:
-            for k, doc_id, ids in zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "ids"))):
+            for k, doc_id, n, control, data in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
                 if k != now:
                     close()
                     now, at, nth = k, starts[k], 0
-                n = len(ids) // width
-                control, data = pack(rank[np.frombuffer(ids, dtype=kind)])
                 if out is not None and out.size and out.size + len(control) + len(data) > FILE_BYTES:
                     close()
                 if out is None:
@@ -224,8 +234,11 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int | No
             [pa.array([d[i] for d in done], type=t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))],
             names=["name", "start", "docs", "ids"])
 
-    dealt = rows.repartition("range").sortWithinPartitions("range", "doc_id", "ids")
-    return written(dealt.select("range", "doc_id", "ids").mapInArrow(
+    # packed before the shuffle: it carries what the files hold
+    dealt = rows.select("range", "doc_id", "n", "ids").mapInArrow(
+        renamed, "range int, doc_id bigint, n bigint, control binary, data binary")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "doc_id", "control", "data")
+    return written(dealt.mapInArrow(
         run, "name string, start bigint, docs bigint, ids bigint"), "token-manifest")
 
 
