@@ -83,7 +83,7 @@ def checklist_array(minima=METRIC_MINIMA, allowed=ALLOWED_DRIFT, with_request: C
             F.lit(f"{MAX_PROBABILITY_DIFFERENCE}."))),
     ]
     replay_failed = [_check("replay_fixture_compare", F.lit(False), F.concat(
-        F.lit("Replay fixture comparison failed: "), F.col("replay_error")))]
+        F.lit("Replay fixture comparison failed: "), F.coalesce("replay_error", F.lit("no replay result."))))]
     sev = F.col("latest_drift_severity")
     dc = F.col("drift_context")
     drift = (F.when(dc.isNotNull(), _check("promotion_has_drift_context", F.lit(True), F.concat(
@@ -97,7 +97,8 @@ def checklist_array(minima=METRIC_MINIMA, allowed=ALLOWED_DRIFT, with_request: C
                                 F.lit(f"' is not allowed. Allowed severities: {sorted(allowed)}."))))))
     req = F.col("request_id").isNotNull() if with_request is None else with_request
     metric_part = F.array(*request_checks[3:])
-    replay_part = F.when(F.col("replay_error").isNotNull(), F.array(*replay_failed)).otherwise(F.array(*replay_ok))
+    replay_part = F.when(F.col("replay_error").isNotNull() | mis.isNull() | diff.isNull(),
+                         F.array(*replay_failed)).otherwise(F.array(*replay_ok))
     return F.concat(F.array(*checks), F.when(req, F.array(*request_checks[:3])).otherwise(F.array().cast(CHECKS_TYPE)),
                     metric_part, replay_part, F.array(drift))
 
@@ -131,10 +132,14 @@ def promotion_decide(candidates: DataFrame, ledger: DataFrame | None = None, min
 
 
 def registry_after_promotion(registry: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Promoted requests become ``production`` rows of the registry (earlier production rows are not demoted)."""
+    """Promoted requests become ``production`` rows of the registry, one for each version however many requests
+    promote it (earlier production rows are not demoted). A null version is a key like any other."""
     prom = decisions.where(F.col("promoted") & ~F.col("duplicate")).select(
-        "model_name", "model_version", F.lit("production").alias("model_stage"))
-    src = prom.join(registry.drop("model_stage"), ["model_name", "model_version"], "left").select(*registry.columns)
+        F.col("model_name").alias("_n"), F.col("model_version").alias("_v")).distinct()
+    old = registry.drop("model_stage")
+    new = {"model_name": F.col("_n"), "model_version": F.col("_v"), "model_stage": F.lit("production")}
+    met = prom.join(old, F.col("_n").eqNullSafe(old["model_name"]) & F.col("_v").eqNullSafe(old["model_version"]), "left")
+    src = met.select(*[new.get(c, F.col(c)).alias(c) for c in registry.columns])
     return upsert(registry, src, ["model_name", "model_version"])
 
 

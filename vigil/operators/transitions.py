@@ -90,16 +90,23 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
 def apply_approvals(decisions: DataFrame, approvals: DataFrame) -> DataFrame:
     """Approve / reject decisions against current approvals: only pending ones change.
 
-    decisions: approval_id, decision ('approve'|'reject'), actor, reason.
+    decisions: approval_id, decision ('approve'|'reject'), actor, reason, decided_at (optional). Of several decisions
+    on one approval the first counts (by decided_at, then decision, actor, reason); later ones get the error of an
+    approval that is no longer pending. An exactly repeated row is the same decision and has the same effect.
     approvals: approval_id, investigation_id, requested_action, status, model_version.
     Returns the approval's new status, an ``error`` for missing / non-pending ones, the
     investigation effect and the side effect to run (job type or promotion call).
     """
     a = approvals.select("approval_id", "investigation_id", "requested_action", F.col("status").alias("_cur"),
                          "model_version")
-    j = decisions.join(a, "approval_id", "left")
+    order = F.struct(*[c for c in ("decided_at", "decision", "actor", "reason") if c in decisions.columns])
+    first = decisions.groupBy("approval_id").agg(F.min(order).alias("_first"))
+    j = decisions.join(first, "approval_id", "left").join(a, "approval_id", "left")
+    later = ~order.eqNullSafe(F.col("_first"))
+    j = j.withColumn("_cur", F.when((F.col("_cur") == "pending") & later, F.when(
+        F.col("_first.decision") == "approve", "approved").otherwise("rejected")).otherwise(F.col("_cur")))
     approve = F.col("decision") == "approve"
-    err = (F.when(F.col("_cur").isNull(), F.concat(F.lit("Approval not found: "), F.col("approval_id")))
+    err = (F.when(F.col("_cur").isNull(), F.concat(F.lit("Approval not found: "), F.coalesce("approval_id", F.lit("None"))))
            .when(F.col("_cur") != "pending", F.concat(F.lit("Approval "), F.col("approval_id"),
                                                       F.lit(" is not pending. Current status: "), F.col("_cur"))))
     ok = err.isNull()

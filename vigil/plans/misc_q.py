@@ -66,8 +66,7 @@ def apply_job_results(spark, sf_dir):
 
 DEC_SQL = APR_SQL + """,
 dec AS (SELECT 'apr_' || CAST(o_orderkey AS VARCHAR) AS approval_id,
-  CASE WHEN o_totalprice > 200000 THEN 'approve' ELSE 'reject' END AS decision FROM orders
-  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))"""
+  CASE WHEN o_totalprice > 200000 THEN 'approve' ELSE 'reject' END AS decision FROM orders)"""
 
 
 @query("apply_approvals", sql=f"""WITH {DEC_SQL}
@@ -84,7 +83,7 @@ SELECT d.approval_id, d.decision,
 FROM dec d LEFT JOIN apr a USING (approval_id)""")
 def apply_approvals(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    dec = o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
+    dec = o.select(
         F.concat(F.lit("apr_"), F.col("o_orderkey").cast("string")).alias("approval_id"),
         F.when(F.col("o_totalprice") > 200000, "approve").otherwise("reject").alias("decision"),
         F.lit("ops").alias("actor"), F.lit("price check").alias("reason"))

@@ -152,10 +152,10 @@ ENVELOPE_SCHEMA = T.StructType([
 
 @query("job_envelope_ingest", sql="SELECT CASE WHEN value > 300 THEN NULL ELSE 'job_' || CAST(event_id AS VARCHAR) "
        "END AS job_id, CASE WHEN value > 300 THEN NULL ELSE 'retrain' END AS job_type, value > 300 AS malformed "
-       "FROM events WHERE event_type = 'error'")
+       "FROM events")
 def job_envelope_ingest(spark, sf_dir):
-    """Job envelopes (one per error event) as JSON lines with some non-JSON lines, ingested as a stream."""
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    """Job envelopes (one per event) as JSON lines with some non-JSON lines, ingested as a stream."""
+    ev = read_table(spark, sf_dir, "events")
     env = F.to_json(F.struct(
         F.concat(F.lit("job_"), F.col("event_id").cast("string")).alias("job_id"),
         F.concat(F.lit("retrain:inv_"), F.col("user_id").cast("string"), F.lit(":unknown")).alias("idempotency_key"),

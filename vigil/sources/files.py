@@ -66,14 +66,17 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 def ingest_json_lines(df_text: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
     """Parse JSON text lines with ``from_json`` (PERMISSIVE): ``parsed`` plus ``malformed`` for unparsable lines.
 
-    A line that is not JSON keeps its text and is routed to a reject output by the caller, never lost.
+    A line that is not JSON, or has a field of another type than the schema's, keeps its text and is routed to a
+    reject output by the caller, never lost.
     """
-    parsed = F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"})
-    out = df_text.withColumn("parsed", parsed)
+    out = df_text.withColumn("parsed", F.from_json(F.col(value_col), _with_corrupt(schema), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    corrupt = F.col("parsed._corrupt_record").isNotNull()
     # a non-JSON line parses to a struct of nulls; so does '{}' — both are rejected
     all_null = F.aggregate(F.array(*[F.col(f"parsed.{f.name}").isNull() for f in schema.fields]), F.lit(True),
                            lambda a, x: a & x)
-    return out.withColumn("malformed", F.col("parsed").isNull() | all_null)
+    out = out.withColumn("malformed", F.col("parsed").isNull() | all_null | corrupt)
+    return out.withColumn("parsed", F.col("parsed").dropFields("_corrupt_record"))
 
 
 def read_text_stream(spark: SparkSession, path: str, glob: str | None = None, max_files: int | None = None

@@ -6,7 +6,7 @@ place, so a failed job never leaves a half-written table behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,17 @@ def write_versioned(df: DataFrame, path: str, version_col: str = "version") -> N
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(version_col).parquet(path)
 
 
+def natural_order(version) -> Column:
+    """A string that sorts versions by their numbers: every run of digits widened to 20 places (``w9`` < ``w10``)."""
+    widened = F.regexp_replace(F.col(version).cast("string"), r"(\d+)", "0" * 19 + "$1")
+    return F.regexp_replace(widened, r"\d*(\d{20})", "$1")
+
+
 def read_newest(spark: SparkSession, path: str, key_cols, version_col: str = "version") -> DataFrame:
-    """Rows of the newest version per key (``max(version)`` per key, then a semi join)."""
+    """Rows of the newest version per key (by natural order, then a semi join)."""
     df = spark.read.parquet(path)
-    newest = df.groupBy(*key_cols).agg(F.max(version_col).alias(version_col))
+    newest = df.groupBy(*key_cols).agg(
+        F.max_by(version_col, F.struct(natural_order(version_col), F.col(version_col))).alias(version_col))
     return df.join(newest, [*key_cols, version_col], "left_semi")
 
 
