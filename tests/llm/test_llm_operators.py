@@ -399,3 +399,16 @@ def test_cuts_at_spaces_never_split_white_space_runs():
     for t in texts:
         assert np.frombuffer(mine.encode(t), dtype="<u4").tolist() == theirs.encode_ordinary(t), repr(t)
         assert files.encode(t) == files.whole(t), repr(t)
+
+
+def test_token_runs_equal_library():
+    """Texts cut at letter runs get the library's ids: contractions, odd letters, marks, digits and white space beside them."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        mine = tokenfile.Tokens(f.read(), True)
+    assert mine.by_space
+    bits = ["a", "B", "é", "ß", "Ж", "ª", "ɐ", "中", "\u0301", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r", "\xa0",
+            "\x1c", "\x00", ".", "!?", "12", "²", "<|endoftext|>", "_", "$", "word" * 20, "😀"]
+    r = random.Random(8)
+    for _ in range(20000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        assert mine.encode(text) == mine.whole(text), repr(text)

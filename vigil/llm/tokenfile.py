@@ -11,9 +11,13 @@ the corpus it begins, so that files can be read in any order and by any task. ``
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,18 @@ FILE_BYTES = 8 << 20
 CACHE_ENTRIES = 1 << 17
 CACHE_CHARS = 48
 
+_CUT = re.compile(rf"(?={CUT.pattern})")
+#: Letters of which every Unicode version says so (Latin and Cyrillic); others are left to the library's pattern.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+#: What keeps a text from being cut at its runs of these letters: other letters and marks beyond ASCII, an apostrophe
+#: (it takes letters with it), two white-space characters in a row (the last is cut off) and other control characters.
+_HARD = re.compile(rf"[^{_LETTERS}!-&(-~ \n\t]|[ \n\t]{{2}}")
+#: A run of letters with the space before it, a pre-token as it is; or what is between two of them.
+_RUNS = re.compile(rf" ?[{_LETTERS}]+|[^{_LETTERS}]+?(?= ?[{_LETTERS}]|\Z)")
+#: The byte-level alphabet writes printable Latin-1 bytes as themselves, the others from U+0100 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 #: Bytes of the four ids of each control byte, and the mask of an id with so many bytes.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.int64) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -57,27 +73,45 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 class Tokens:
     """Encodes texts by a tokenizers file whose pre-tokenizer cuts before a space that no white space follows.
-    What lies between such cuts is encoded once and kept; what many texts repeat costs a table lookup."""
+    What lies between cuts is encoded once and kept; what many texts repeat costs a table lookup. A text of plain
+    letters and marks is cut into runs of letters, which are pre-tokens as they are and go straight to the library's
+    model, and what is between them. Any other text is cut at spaces, and its hard parts go through the whole library."""
 
     def __init__(self, definition: str, special_as_text: bool):
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = special_as_text
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.merges = self.model.model
         self.by_space = self._cuts_at_spaces(definition, special_as_text)
-        self.first = Cache2(self.whole, CACHE_ENTRIES)
-        self.later = Cache2(lambda part: self.whole(" " + part), CACHE_ENTRIES)
+        self.runs = Cache2(self.run, CACHE_ENTRIES)
+        self.hard = Cache2(self.whole, CACHE_ENTRIES >> 2)
 
     @staticmethod
     def _cuts_at_spaces(definition: str, special_as_text: bool) -> bool:
-        import json
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
         return (special_as_text and d.get("normalizer") is None and pre.get("type") == "ByteLevel"
-                and pre.get("use_regex", True) and not pre.get("add_prefix_space", True))
+                and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+                and all(a.get("special") for a in d.get("added_tokens") or []))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def run(self, run: str) -> bytes:
+        """Ids of a match of ``_RUNS``: for letters the library's merges over their bytes in the byte-level alphabet."""
+        if not run[-1].isalpha():
+            return self.whole(run)
+        shown = run.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
+    @staticmethod
+    def known(table: Cache2, parts: list[str]) -> list[bytes]:
+        """The parts' ids by a table that keeps short ones."""
+        if max(map(len, parts), default=0) <= CACHE_CHARS:
+            return list(map(table.__getitem__, parts))
+        return [table[p] if len(p) <= CACHE_CHARS else table.make(p) for p in parts]
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids (``kind`` integers) of a whole text; null counts as empty."""
@@ -85,12 +119,12 @@ class Tokens:
             return b""
         if not self.by_space:
             return self.whole(text)
-        parts = CUT.split(text)
-        if max(map(len, parts)) <= CACHE_CHARS:
-            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-        got = [self.whole(parts[0])]
-        got += [self.later[p] if len(p) <= CACHE_CHARS else self.whole(" " + p) for p in parts[1:]]
-        return b"".join(got)
+        if not _HARD.search(text):
+            return b"".join(self.known(self.runs, _RUNS.findall(text)))
+        out = []
+        for hard, parts in groupby(_CUT.split(text), lambda p: _HARD.search(p) is not None):
+            out += self.known(self.hard, list(parts)) if hard else self.known(self.runs, _RUNS.findall("".join(parts)))
+        return b"".join(out)
 
 
 _TOKENS: dict[tuple, Tokens] = {}
