@@ -12,9 +12,13 @@ def test_stream_router_equals_batch_router(spark):
     rows = [(f"j{i % 7}", i, t + dt.timedelta(seconds=i), i % 4 == 3) for i in range(80)]
     df = spark.createDataFrame(rows, "job_id string, event_id long, ts timestamp, ok boolean")
     src = scratch_path(spark, "route-test")
-    df.write.parquet(src)
+    df.orderBy(F.rand(3)).repartition(4).write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    out = run_to_table(SO.stream_route(stream), "route-test-out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = run_to_table(stream, "route-test-out", foreach_batch=SO.route_batch)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = sorted((r.event_id, r.attempt, r.outcome) for r in spark.read.parquet(out + "/data").collect())
     want = sorted((r.event_id, r.attempt, r.outcome) for r in Q.route_attempts(df).collect())
     assert got == want
@@ -29,3 +33,36 @@ def test_stream_dedupe_keeps_one_per_key(spark):
     out = run_to_table(SO.stream_dedupe(spark.readStream.schema(df.schema).parquet(src), ["user_id"]), "dd")
     assert spark.read.parquet(out + "/data").select("user_id").distinct().count() == 5
     assert spark.read.parquet(out + "/data").count() == 5
+
+
+def _batches(spark, schema, *batches):
+    return [spark.createDataFrame(list(b), schema) for b in batches]
+
+
+def test_route_state_carries_over_batches_and_replays(spark):
+    t = [dt.datetime(2024, 1, 1, 0, i) for i in range(9)]
+    bs = _batches(spark, "job_id string, event_id long, ts timestamp, ok boolean",
+                  [("a", 1, t[1], False), ("a", 0, t[0], False), ("b", 2, t[2], True), (None, 7, t[2], False)],
+                  [("a", 3, t[3], False), ("b", 4, t[4], False), ("a", 5, t[5], True), (None, 8, t[8], True)],
+                  [("b", 6, t[6], True)])
+    out = scratch_path(spark, "route-epochs")
+    for epoch in (0, 1, 1, 2):  # epoch 1 is replayed
+        SO.route_batch(bs[epoch], epoch, out)
+    got = {r.event_id: (r.attempt, r.outcome) for r in spark.read.parquet(out + "/data").collect()}
+    assert got == {0: (1, "retrying"), 1: (2, "retrying"), 2: (1, "completed"), 3: (3, "dlq"), 4: (2, "skipped_duplicate"),
+                   5: (4, "skipped_duplicate"), 6: (3, "skipped_duplicate"), 7: (1, "retrying"), 8: (2, "completed")}
+    dead = spark.read.parquet(out + "/dlq").collect()
+    assert [(r.job_id, r.event_id, r.sent_to_dlq_at) for r in dead] == [("a", 3, t[3])]
+
+
+def test_severity_state_carries_over_batches(spark):
+    t = [dt.datetime(2024, 1, i + 1) for i in range(6)]
+    bs = _batches(spark, "model_name string, window_start timestamp, severity string",
+                  [("m", t[1], "warning"), ("m", t[0], "normal"), ("k", t[0], "normal")],
+                  [("m", t[3], "normal"), ("m", t[2], "warning")], [("k", t[4], "critical")])
+    out = scratch_path(spark, "severity-epochs")
+    for epoch in (0, 1, 1, 2):
+        SO.severity_changes(bs[epoch], epoch, out)
+    got = {(r.model_name, r.window_start, r.previous_severity, r.new_severity)
+           for r in spark.read.parquet(out + "/data").collect()}
+    assert got == {("m", t[1], "normal", "warning"), ("m", t[3], "warning", "normal"), ("k", t[4], "normal", "critical")}

@@ -32,17 +32,26 @@ def number_attempts(attempts: DataFrame, key: str = "job_id", ts_col: str = "ts"
 
 
 def route_attempts(attempts: DataFrame, key: str = "job_id", ts_col: str = "ts", ok_col: str = "ok",
-                   max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+                   max_attempts: int = MAX_ATTEMPTS, prior: DataFrame | None = None) -> DataFrame:
     """Outcome of every attempt: retrying (with ``not_before``), completed, dlq, or skipped_duplicate.
 
     The first success ends the job; a failure on attempt ``max_attempts`` sends it to
-    the DLQ; later deliveries of a finished job are duplicates.
+    the DLQ; later deliveries of a finished job are duplicates. ``prior`` (key, attempts, done; one row a key)
+    says what earlier batches left: numbers go on from ``attempts``, and a ``done`` job has duplicates only.
     """
     n = number_attempts(attempts, key, ts_col)
+    done = F.lit(False)
+    if prior is not None:
+        before = prior.select(F.col(key).alias("_key"), F.col("attempts").alias("_before"), F.col("done").alias("_done"))
+        n = n.join(before, n[key].eqNullSafe(before["_key"]), "left").drop("_key")
+        n = n.withColumn("attempt", F.col("attempt") + F.coalesce("_before", F.lit(0)))
+        done = F.coalesce("_done", F.lit(False))
     first_ok = n.groupBy(key).agg(F.min(F.when(F.col(ok_col), F.col("attempt"))).alias("_first_ok"))
     term = F.least(F.coalesce(F.col("_first_ok"), F.lit(max_attempts)), F.lit(max_attempts))
     a = F.col("attempt")
-    out = n.join(first_ok, key).withColumn("_term", term)
+    first_ok = first_ok.withColumnRenamed(key, "_key")
+    out = n.join(first_ok, n[key].eqNullSafe(first_ok["_key"])).drop("_key").withColumn(
+        "_term", F.when(done, F.lit(0)).otherwise(term))
     outcome = (F.when(a < F.col("_term"), "retrying")
                .when((a == F.col("_term")) & F.col(ok_col), "completed")
                .when(a == F.col("_term"), "dlq").otherwise("skipped_duplicate"))
@@ -50,7 +59,14 @@ def route_attempts(attempts: DataFrame, key: str = "job_id", ts_col: str = "ts",
         "delay_seconds", F.when(F.col("outcome") == "retrying", backoff_seconds(a))).withColumn(
         "not_before", F.when(F.col("outcome") == "retrying",
                              F.col(ts_col) + F.make_dt_interval(secs=F.col("delay_seconds").cast("decimal(18,6)")))
-    ).drop("_first_ok", "_term")
+    ).drop("_first_ok", "_term", "_before", "_done")
+
+
+def dead_letters(routed: DataFrame, key: str = "job_id", ts_col: str = "ts") -> DataFrame:
+    """Rows of the dead-letter table: the job, its last attempt, the error and when it was given up."""
+    return routed.where(F.col("outcome") == "dlq").select(
+        key, "event_id", "attempt", F.concat(F.lit("attempt "), F.col("attempt").cast("string"), F.lit(" failed"))
+        .alias("error_message"), F.lit(DLQ_REASON).alias("reason"), F.col(ts_col).alias("sent_to_dlq_at"))
 
 
 def ledger_events(routed: DataFrame, key: str = "job_id", ts_col: str = "ts") -> DataFrame:

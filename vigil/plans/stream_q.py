@@ -71,7 +71,7 @@ def stream_severity(spark, sf_dir):
     summary.select(*G, F.col("window_start").cast("timestamp").alias("window_start"), "severity") \
         .write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    out = run_to_table(SO.stream_severity(stream), "severity")
+    out = run_to_table(stream, "severity", foreach_batch=SO.severity_changes)
     return spark.read.parquet(out + "/data").select(
         "model_name", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_label"),
         "previous_severity", "new_severity")
@@ -82,17 +82,24 @@ def stream_severity(spark, sf_dir):
 num AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS attempt FROM att),
 fo AS (SELECT job_id, min(attempt) FILTER (WHERE ok) AS first_ok FROM num GROUP BY ALL),
 rt AS (SELECT n.*, least(coalesce(fo.first_ok, 3), 3) AS term FROM num n JOIN fo USING (job_id))
-SELECT job_id, CASE WHEN attempt < term THEN 'retrying' WHEN attempt = term AND ok THEN 'completed'
-  WHEN attempt = term THEN 'dlq' ELSE 'skipped_duplicate' END AS outcome, count(*) AS n FROM rt GROUP BY ALL""")
+SELECT job_id, event_id, attempt, CASE WHEN attempt < term THEN 'retrying' WHEN attempt = term AND ok THEN 'completed'
+  WHEN attempt = term THEN 'dlq' ELSE 'skipped_duplicate' END AS outcome,
+  CASE WHEN attempt < term THEN strftime(ts + to_seconds(CAST(2 * power(2, attempt - 1) AS BIGINT)),
+  '%Y-%m-%d %H:%M:%S') END AS not_before,
+  CASE WHEN attempt = term AND NOT ok THEN 'attempt ' || CAST(attempt AS VARCHAR) || ' failed' END AS error_message,
+  CASE WHEN attempt = term AND NOT ok THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS sent_to_dlq_at FROM rt""")
 def stream_dlq_route(spark, sf_dir):
-    """Retry / DLQ routing of a stream of delivery attempts with per-job state."""
+    """Retry / DLQ routing of a stream of delivery attempts with per-job state; dead letters come from their table."""
     ev = SO.event_stream(spark, sf_dir, "events")
     att = ev.select(F.concat(F.lit("job_"), F.col("user_id").cast("string"), F.lit("_"),
                              F.date_format("ts", "yyyyMMdd")).alias("job_id"), "event_id", "ts",
                     (F.col("event_type") != "error").alias("ok"))
-    out = run_to_table(SO.stream_route(att), "route")
-    r = spark.read.parquet(out + "/data")
-    return r.groupBy("job_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    out = run_to_table(att, "route", foreach_batch=SO.route_batch)
+    dead = spark.read.parquet(out + "/dlq").select("job_id", "event_id", "error_message", "sent_to_dlq_at")
+    r = spark.read.parquet(out + "/data").join(dead, ["job_id", "event_id"], "left")
+    at = "yyyy-MM-dd HH:mm:ss"
+    return r.select("job_id", "event_id", "attempt", "outcome", F.date_format("not_before", at).alias("not_before"),
+                    "error_message", F.date_format("sent_to_dlq_at", at).alias("sent_to_dlq_at"))
 
 
 @query("stream_contract_check", sql=f"WITH {events_cte()} SELECT event_id, CASE WHEN model_name = 'error' THEN "
@@ -115,15 +122,15 @@ def stream_contract_check(spark, sf_dir):
 @query("stream_drift", sql="WITH " + LOG_CTE + ", " + reference_cte("model_name") + ", " + drift_cte("model_name", 200, 30, source="log")
        + " SELECT 0 AS epoch, model_name, sample_size, severity, round(overall_score, 6) AS overall_score FROM summary")
 def stream_drift(spark, sf_dir):
-    """Continuous drift check: each micro-batch is appended to the prediction log (partitioned by day) and the
+    """Continuous drift check: each micro-batch is added to the prediction log (a folder an epoch, by day) and the
     newest 200 rows per model of the log are checked against the reference; one check row per model per batch."""
-    from vigil.sources.sinks import append_partitioned, predictions_with_day
+    from vigil.sources.sinks import predictions_with_day, write_epoch
     log = prediction_log(spark, sf_dir)
     ref = S.reference_stats(reference_rows(log), G, LOG_NUMERIC, LOG_CATEGORICAL, "probability").persist()
 
     def check(batch, epoch, out):
-        append_partitioned(predictions_with_day(batch), f"{out}/log")
-        table = spark.read.parquet(f"{out}/log")
+        write_epoch(predictions_with_day(batch), f"{out}/log", epoch)
+        table = spark.read.parquet(f"{out}/log").where(F.col("epoch") <= epoch).drop("epoch")
         summary, _ = D.drift_analyze(table, ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", window=200)
         summary.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/checks/epoch={epoch}")
     out = run_to_table(_log_stream(spark, sf_dir), "stream-drift", foreach_batch=check)

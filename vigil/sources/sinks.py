@@ -15,6 +15,11 @@ def append_partitioned(df: DataFrame, path: str, partition_cols=("dt",), fmt: st
     df.write.mode("append").partitionBy(*partition_cols).format(fmt).save(path)
 
 
+def write_epoch(df: DataFrame, path: str, epoch: int, partition_cols=("dt",)) -> None:
+    """A micro-batch's rows in a folder of its epoch, by day within it: a replayed epoch overwrites itself."""
+    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/epoch={epoch}")
+
+
 def predictions_with_day(df: DataFrame, ts_col: str = "created_at") -> DataFrame:
     return df.withColumn("dt", F.to_date(ts_col))
 

@@ -1,29 +1,27 @@
 """Streaming operators.
 
-* ``event_stream``       — file source over a table folder (``pathGlobFilter``), event time as TIMESTAMP (UTC).
+* ``event_stream``       — file source over a table's own path, event time as TIMESTAMP (UTC).
 * ``stream_dedupe``      — idempotency: drop repeated keys within a 24 h watermark.
 * ``stream_slot_counts`` — windowed drift counts: watermark + window + (model, feature, slot) counts, append.
-* ``stream_severity``    — severity-change detector: per-model state = last severity.
-* ``stream_route``       — retry / DLQ router: per-job state = attempts so far and whether the job finished.
+* ``severity_changes``   — foreachBatch severity-change detector: per-model state = last severity.
+* ``route_batch``        — foreachBatch retry / DLQ router: per-job state = attempts so far and whether it finished.
 * ``contract_split``     — foreachBatch writer: valid events to one table, violations to a quarantine table.
 
-Stateful operators keep one small state row per key in the checkpointed state
-store; the source is replayable and sinks are idempotent per epoch, so a lost
-executor or a restart resumes without loss or duplication.
+Stateful writers keep one small state row per key in per-epoch folders beside
+their output; the source is replayable and every epoch overwrites its own
+folders and reads the state of earlier ones only, so a lost executor or a
+restart resumes without loss or duplication.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vigil.operators.drift import slot_rows
-from vigil.operators.queue import MAX_ATTEMPTS
+from vigil.operators.queue import dead_letters, route_attempts
 from vigil.sources.tables import read_table
+from vigil.streaming.runner import state_before, write_state
 
 DEDUPE_TTL = "24 hours"
 
@@ -57,58 +55,42 @@ def stream_slot_counts(stream: DataFrame, reference: DataFrame, group_cols, nume
             .agg(F.count(F.lit(1)).alias("_n")).drop("_w"))
 
 
-SEVERITY_OUT = "model_name string, window_start timestamp, previous_severity string, new_severity string"
-
-
-def _severity_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in pdfs:
-        for row in pdf.sort_values("window_start").itertuples(index=False):
-            if last is not None and last != row.severity:
-                out.append((key[0], row.window_start, last, row.severity))
-            last = row.severity
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["model_name", "window_start", "previous_severity", "new_severity"])
+def severity_changes(checks: DataFrame, epoch: int, out: str) -> None:
+    """foreachBatch writer: change events of a batch of checks (model_name, window_start, severity) go to ``<out>/data``.
 
-
-def stream_severity(checks: DataFrame, key: str = "model_name") -> DataFrame:
-    """Emit a change event when a model's check severity differs from its previous one (the first emits nothing).
-
-    Within a micro-batch rows are taken in window order; the last severity carries to the next batch.
+    Rows are taken in window order, whatever files or chunks they came in; each model's last severity carries to the
+    next batch, and a model's first check emits nothing.
+    """
+    now = checks.select("model_name", "window_start", "severity").persist()
+    last = state_before(now.sparkSession, out, ["model_name"], epoch, "model_name string, severity string").select(
+        F.col("model_name").alias("_model"), F.col("severity").alias("_last"))
+    by = Window.partitionBy("model_name").orderBy("window_start")
+    lagged = now.join(last, F.col("model_name").eqNullSafe(F.col("_model")), "left").withColumn(
+        "previous_severity", F.coalesce(F.lag("severity").over(by), F.col("_last")))
+    lagged.where("previous_severity <> severity").select(
+        "model_name", "window_start", "previous_severity", F.col("severity").alias("new_severity")) \
+        .write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
+    write_state(now.groupBy("model_name").agg(F.max_by("severity", "window_start").alias("severity")), out, epoch)
+    now.unpersist()
+
+
+def route_batch(attempts: DataFrame, epoch: int, out: str) -> None:
+    """foreachBatch writer: retry / DLQ router over delivery attempts (job_id, event_id, ts, ok).
+
+    A batch is numbered and routed as a whole by ``queue.route_attempts``, so neither the order of its rows nor the
+    size of a job matters; attempts so far and whether a job is finished carry to the next batch. Every attempt goes to
+    ``<out>/data`` with its outcome and ``not_before``, dead letters also to ``<out>/dlq``.
     """
-    return checks.select(F.col(key).alias("model_name"), "window_start", "severity").groupBy("model_name") \
-        .applyInPandasWithState(_severity_fn, SEVERITY_OUT, "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-ROUTE_OUT = "job_id string, event_id long, attempt long, outcome string"
-
-
-def _route_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    n, done = (state.get if state.exists else (0, False))
-    out = []
-    for pdf in pdfs:
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-            n += 1
-            if done:
-                outcome = "skipped_duplicate"
-            elif row.ok:
-                outcome, done = "completed", True
-            elif n >= MAX_ATTEMPTS:
-                outcome, done = "dlq", True
-            else:
-                outcome = "retrying"
-            out.append((key[0], row.event_id, n, outcome))
-    state.update((n, done))
-    if out:
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "attempt", "outcome"])
-
-
-def stream_route(attempts: DataFrame) -> DataFrame:
-    """Retry / DLQ router over a stream of delivery attempts (job_id, event_id, ts, ok)."""
-    return attempts.select("job_id", "event_id", "ts", "ok").groupBy("job_id").applyInPandasWithState(
-        _route_fn, ROUTE_OUT, "attempts long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    spark = attempts.sparkSession
+    now = attempts.select("job_id", "event_id", "ts", "ok")
+    prior = state_before(spark, out, ["job_id"], epoch, "job_id string, attempts long, done boolean")
+    folder = f"{out}/data/epoch={epoch}"
+    route_attempts(now, prior=prior).drop("ok").write.mode("overwrite").parquet(folder)
+    routed = spark.read.parquet(folder)
+    dead_letters(routed).write.mode("overwrite").parquet(f"{out}/dlq/epoch={epoch}")
+    # a batch in which a finished job has duplicates only says so, too: they follow no other outcome
+    write_state(routed.groupBy("job_id").agg(F.max("attempt").alias("attempts"), F.max(
+        F.col("outcome").isin("completed", "dlq", "skipped_duplicate")).alias("done")), out, epoch)
 
 
 def contract_split(validate):

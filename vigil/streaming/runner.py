@@ -35,13 +35,6 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", fore
     return out
 
 
-def read_table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # nothing was written (empty stream)
-        return spark.createDataFrame([], schema)
-
-
 def epoch_writer(batch: DataFrame, epoch: int, out: str) -> None:
     """foreachBatch sink for update mode: each epoch's changed rows go to their own folder (a replayed
     epoch overwrites itself, so the sink is idempotent)."""
@@ -54,3 +47,18 @@ def read_latest(spark: SparkSession, out: str, keys) -> DataFrame:
     df = spark.read.parquet(f"{out}/updates")
     rest = [c for c in df.columns if c not in list(keys) + ["epoch"]]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("epoch")).alias("_r")).select(*keys, "_r.*")
+
+
+def write_state(rows: DataFrame, out: str, epoch: int) -> None:
+    """State of the keys that an epoch touched, in its own folder (a replayed epoch overwrites itself)."""
+    rows.write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+
+
+def state_before(spark: SparkSession, out: str, keys, epoch: int, schema: str) -> DataFrame:
+    """State of every key as the epochs before ``epoch`` left it: one row a key, none before the first epoch."""
+    from pyspark.sql import functions as F
+    if epoch == 0:  # nothing is written yet
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(f"{schema}, epoch long").parquet(f"{out}/state").where(F.col("epoch") < epoch)
+    rest = [c for c in df.columns if c not in [*keys, "epoch"]]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
