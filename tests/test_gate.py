@@ -103,3 +103,29 @@ def test_sentinel_serving_truncates_numbers_but_not_strings(spark):
     assert (r[0].pdays, r[0].pdays_was_999) == (-1, 1) and (r[1].pdays, r[1].pdays_was_999) == (12, 1)
     s = spark.createDataFrame([("3.7",)], "pdays string")
     assert V.sentinel_flag_serving(s, "pdays", 999, -1, "f").first().sentinel_error is not None
+
+
+def test_scoring_checks_in_order(spark):
+    ok = {"age": "35", "pdays": "999", "job": " admin. ", "note": "x", "score": "1.5"}
+    cases = [
+        (ok | {"duration": "9"}, None), (ok | {"pdays": None, "age": None}, "Feature 'pdays' must be numeric."),
+        ({k: v for k, v in ok.items() if k != "pdays"}, "Missing required feature(s): ['pdays', 'pdays_was_999']"),
+        (ok | {"more": "1", "job": ""}, "Unexpected extra feature(s): ['more']"),
+        (ok | {"job": " ", "age": "x"}, "Feature 'job' cannot be an empty string."),
+        (ok | {"age": None}, "Feature 'age' cannot be null."), (ok | {"age": "x"}, "Feature 'age' must be numeric. Got: x"),
+        (ok | {"score": "y"}, "could not convert string to float: 'y'"),
+        (None, "Missing required feature(s): ['job', 'age', 'pdays', 'pdays_was_999', 'note', 'score']"),
+        (ok | {"pdays": "3000000000"}, None)]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "id int, raw map<string,string>")
+    got = V.validate_features(df, "raw", ["job", "age", "pdays", "pdays_was_999", "note", "score"],
+                              int_cols=["age", "pdays", "pdays_was_999"], categorical=["job"],
+                              dtypes={"note": "object", "score": "float64"}, dropped=["duration"],
+                              sentinel=("pdays", 999, -1, "pdays_was_999")).orderBy("id").collect()
+    assert [r.first_error for r in got] == [e for _, e in cases]
+    assert tuple(got[0].features) == ("admin.", 35, -1, 1, "x", 1.5)
+    assert tuple(got[9].features)[2:4] == (3000000000, 0)
+
+
+def test_null_labels_are_unexpected(spark):
+    df = spark.createDataFrame([("yes",), (None,), (" No ",), ("maybe",)], "label string")
+    assert [r.label for r in V.unexpected_labels(df, "label").collect()] == ["maybe", "nan"]

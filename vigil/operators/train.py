@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.ml import class_weights, impute_stats, scaler_stats
+from vigil.operators.validate import validate_features
 
 MAX_ITER = 100
 
@@ -85,9 +86,19 @@ def coefficients(t: Trained) -> list[tuple[str, float]]:
     return [("intercept", float(lr.intercept))] + list(zip(names, coefs))
 
 
-def predict_batch(df: DataFrame, t: Trained, threshold: float, model_version: str, id_col: str) -> DataFrame:
-    """Prediction rows: id, probability, predicted_class, threshold, model_version."""
-    s = score(df, t)
-    return s.select(F.col(id_col).alias("request_id"), "probability",
+def predict_batch(df: DataFrame, t: Trained, threshold: float, model_version: str, id_col: str, map_col: str = "raw",
+                  **checks) -> DataFrame:
+    """Prediction rows of raw requests (``map_col``: map<string,string>), all of them: request_id, features (JSON),
+    probability, predicted_class, threshold, model_version, error.
+
+    Requests pass ``validate_features`` (``checks`` go to it) before they are scored. One that fails has its first
+    error and neither features nor a probability: callers route it to quarantine on ``error IS NOT NULL``.
+    """
+    checked = validate_features(df.select(F.col(id_col).alias("request_id"), F.col(map_col).alias("_raw")), "_raw",
+                                [*t.numeric, *t.categorical], float_cols=t.numeric, categorical=t.categorical, **checks)
+    rows = checked.select("request_id", "features.*", F.when(F.col("valid"), F.to_json("features")).alias("_json"),
+                          F.col("first_error").alias("error"))
+    s = score(rows, t).withColumn("probability", F.when(F.col("error").isNull(), F.col("probability")))
+    return s.select("request_id", F.col("_json").alias("features"), "probability",
                     (F.col("probability") >= threshold).cast("int").alias("predicted_class"),
-                    F.lit(float(threshold)).alias("threshold"), F.lit(model_version).alias("model_version"))
+                    F.lit(float(threshold)).alias("threshold"), F.lit(model_version).alias("model_version"), "error")

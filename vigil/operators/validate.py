@@ -129,8 +129,8 @@ def target_map(df: DataFrame, col: str, out: str = "y") -> DataFrame:
 
 
 def unexpected_labels(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct normalised labels outside {yes, no} (a distinct-except)."""
-    labels = df.select(normalized_label(col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    """Sorted distinct normalised labels outside {yes, no} (a distinct-except); a null label is ``nan``, as in text."""
+    labels = df.select(F.coalesce(normalized_label(col), F.lit("nan")).alias("label")).distinct()
     allowed = df.sparkSession.createDataFrame([(k,) for k in TARGET_LABELS], "label string")
     return labels.subtract(allowed).orderBy("label")
 
@@ -149,13 +149,12 @@ def sentinel_flag(df: DataFrame, col: str, sentinel, replacement, flag: str) ->
 def sentinel_flag_serving(df: DataFrame, col: str, sentinel, replacement, flag: str) -> DataFrame:
     """Scoring-time sentinel on raw (string) input: int cast (``'3.7'`` fails, ``3.7`` truncates); sentinel →
     replacement with flag 1; otherwise the caller's flag is kept, defaulting to 0. ``sentinel_error`` marks
-    values that are not integers."""
-    raw = F.col(col)
-    as_int = F.expr(f"try_cast(`{col}` AS INT)")
+    values that are not integers, nulls included."""
+    as_int = F.expr(f"try_cast(`{col}` AS BIGINT)")
     is_s = as_int == sentinel
     keep_flag = F.coalesce(F.col(flag).cast("int"), F.lit(0)) if flag in df.columns else F.lit(0)
     return df.withColumns({
-        "sentinel_error": F.when(raw.isNotNull() & as_int.isNull(), F.lit(f"Feature '{col}' must be numeric.")),
+        "sentinel_error": F.when(as_int.isNull(), F.lit(f"Feature '{col}' must be numeric.")),
         col: F.when(is_s, F.lit(replacement)).otherwise(as_int),
         flag: F.when(is_s, F.lit(1)).otherwise(keep_flag),
     })
@@ -174,30 +173,39 @@ def feature_contract(df: DataFrame, map_col: str, required, dropped=(), allow_ex
     return df.withColumn("contract_ok", ok)
 
 
-def feature_validate(df: DataFrame, map_col: str, int_cols=(), float_cols=(), categorical=()) -> DataFrame:
-    """Typed features from raw strings with every error collected (order: columns as given).
+def feature_validate(df: DataFrame, map_col: str, int_cols=(), float_cols=(), categorical=(), dtypes=None,
+                     order=None) -> DataFrame:
+    """Typed features from raw strings with every error collected, in the ``order`` of the input columns (default:
+    integers, floats, categories, then ``dtypes``).
 
     Numeric: null → "cannot be null", no number → "must be numeric". Categorical: trimmed,
-    empty → "cannot be an empty string". Adds a typed struct (``features``, or ``validated`` when the input map
+    empty → "cannot be an empty string". ``dtypes`` (name → type) has the columns of neither group: ``int*`` and
+    ``float*`` are cast, others stay as they are. Adds a typed struct (``features``, or ``validated`` when the input map
     is itself called ``features``), ``errors``, ``first_error``, ``valid``.
     """
     m = F.col(map_col)
-    vals, errs = [], []
-    for c in int_cols:
-        v = F.expr(f"try_cast(trim(`{map_col}`['{c}']) AS BIGINT)")
-        vals.append(v.alias(c))
-        errs.append(F.when(m[c].isNull(), F.lit(f"Feature '{c}' cannot be null."))
-                    .when(v.isNull(), F.concat(F.lit(f"Feature '{c}' must be numeric. Got: "), m[c])))
-    for c in float_cols:
-        v = F.expr(f"try_cast(trim(`{map_col}`['{c}']) AS DOUBLE)")
-        vals.append(v.alias(c))
-        errs.append(F.when(m[c].isNull(), F.lit(f"Feature '{c}' cannot be null."))
-                    .when(v.isNull(), F.concat(F.lit(f"Feature '{c}' must be numeric. Got: "), m[c])))
+    vals, errs = {}, {}
+
+    def number(c, kind, message):
+        vals[c] = F.expr(f"try_cast(trim(`{map_col}`['{c}']) AS {kind})")
+        errs[c] = F.when(vals[c].isNull(), message)
+
+    for c, kind in [*[(c, "BIGINT") for c in int_cols], *[(c, "DOUBLE") for c in float_cols]]:
+        number(c, kind, F.concat(F.lit(f"Feature '{c}' must be numeric. Got: "), m[c]))
     for c in categorical:
         v = F.trim(m[c])
-        vals.append(F.when(v != "", v).alias(c))
-        errs.append(F.when(m[c].isNull(), F.lit(f"Feature '{c}' cannot be null."))
-                    .when(v == "", F.lit(f"Feature '{c}' cannot be an empty string.")))
+        vals[c] = F.when(v != "", v)
+        errs[c] = F.when(v == "", F.lit(f"Feature '{c}' cannot be an empty string."))
+    for c, kind in (dtypes or {}).items():
+        if kind.startswith("int"):
+            number(c, "BIGINT", F.concat(F.lit("invalid literal for int() with base 10: '"), m[c], F.lit("'")))
+        elif kind.startswith("float"):
+            number(c, "DOUBLE", F.concat(F.lit("could not convert string to float: '"), m[c], F.lit("'")))
+        else:
+            vals[c], errs[c] = m[c], F.lit(None).cast("string")
+    names = list(order) if order is not None else list(vals)
+    errs = [F.when(m[c].isNull(), F.lit(f"Feature '{c}' cannot be null.")).otherwise(errs[c]) for c in names]
+    vals = [vals[c].alias(c) for c in names]
     e = violations(*errs)
     out = "validated" if map_col == "features" else "features"
     return (df.withColumns({out: F.struct(*vals), "errors": e})
@@ -205,6 +213,49 @@ def feature_validate(df: DataFrame, map_col: str, int_cols=(), float_cols=(), ca
             .withColumn("valid", F.size("errors") == 0))
 
 
+def _name_list(names: Column) -> Column:
+    """Names as the error texts list them: ``['a', 'b']``."""
+    return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
+
+
+def validate_features(df: DataFrame, map_col: str, input_cols, int_cols=(), float_cols=(), categorical=(), dtypes=None,
+                      dropped=(), sentinel=None, allow_extra: bool = False) -> DataFrame:
+    """A request's raw features (map<string,string>) checked in the scoring order: drop trained-away names, sentinel
+    handling, missing names, extra names, then every input column in turn.
+
+    ``sentinel``: (column, value, replacement, flag column); an absent column is left alone, a present null is not
+    numeric. Adds the typed struct, ``first_error`` (the first in that order; null: none) and ``valid``. A null map
+    has no features, so all are missing.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    m = F.coalesce(F.map_filter(F.col(map_col), lambda k, v: ~k.isin(*dropped)) if dropped else F.col(map_col), empty)
+    df = df.withColumn("_m", m)
+    sentinel_error = F.lit(None).cast("string")
+    if sentinel is not None:
+        c, value, replacement, flag = sentinel
+        there = F.map_contains_key("_m", F.lit(c))
+        number = F.expr(f"try_cast(trim(_m['{c}']) AS BIGINT)")
+        hit = number == value
+        sentinel_error = F.when(there & number.isNull(), F.lit(f"Feature '{c}' must be numeric."))
+        kept = F.when(F.map_contains_key("_m", F.lit(flag)), F.col("_m")[flag]).otherwise(F.lit("0"))
+        handled = F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin(c, flag)), F.create_map(
+            F.lit(c), F.when(hit, F.lit(str(replacement))).otherwise(number.cast("string")),
+            F.lit(flag), F.when(hit, F.lit("1")).otherwise(kept)))
+        df = df.withColumns({"_sentinel_error": sentinel_error, "_m": F.when(there, handled).otherwise(F.col("_m"))})
+        sentinel_error = F.col("_sentinel_error")
+    wanted, keys = F.array(*[F.lit(c) for c in input_cols]), F.map_keys("_m")
+    missing, extra = F.array_except(wanted, keys), F.array_except(keys, wanted)
+    df = feature_validate(df.withColumns({"_missing": missing, "_extra": extra}), "_m", int_cols, float_cols,
+                          categorical, dtypes, input_cols)
+    first = F.coalesce(
+        sentinel_error, F.when(F.size("_missing") > 0, F.concat(F.lit("Missing required feature(s): "),
+                                                                _name_list(F.col("_missing")))),
+        F.when((F.size("_extra") > 0) & (not allow_extra), F.concat(F.lit("Unexpected extra feature(s): "),
+                                                                     _name_list(F.col("_extra")))), F.col("first_error"))
+    return (df.withColumn("first_error", first).withColumn("valid", F.col("first_error").isNull())
+            .drop("_m", "_missing", "_extra", "_sentinel_error", "errors"))
+
+
 def schema_profile(df: DataFrame) -> DataFrame:
     """One scan: per column its type, numeric/categorical group, null count and approximate distinct count."""
     numeric_types = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")

@@ -195,12 +195,14 @@ def score(spark, sf_dir):
 
 @query("predict_batch")
 def predict_batch(spark, sf_dir):
-    """Validated raw requests scored into prediction-log rows at the selected threshold."""
+    """Every training-table row as a raw request, validated and scored into prediction-log rows at the selected
+    threshold."""
     from vigil.operators import train as TRN
     t, model = _trained(spark, sf_dir)
     val = TRN.score(t.where(F.col("split") == "val"), model)
     thr = M.threshold_for_recall(val, [], score_col="probability", min_recall=0.74).first()["threshold"]
-    req = t.where(F.col("split") == "test").withColumn("request_id", F.concat_ws("-", *TRAIN_KEY))
+    raw = [x for c in (*TRAIN_NUMERIC, *TRAIN_CATEGORICAL) for x in (F.lit(c), F.col(c).cast("string"))]
+    req = t.select(F.concat_ws("-", *TRAIN_KEY).alias("request_id"), F.create_map(*raw).alias("raw"))
     return TRN.predict_batch(req, model, thr, "v1", "request_id")
 
 
