@@ -1,8 +1,13 @@
 import datetime as dt
+import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tools.check_oracles import rows_of
 from vigil.operators import queue as Q
+from vigil.plans import ORACLES, QUERIES, load_all
 from vigil.streaming import ops as SO
 from vigil.streaming.runner import run_to_table, scratch_path
 
@@ -66,3 +71,43 @@ def test_severity_state_carries_over_batches(spark):
     got = {(r.model_name, r.window_start, r.previous_severity, r.new_severity)
            for r in spark.read.parquet(out + "/data").collect()}
     assert got == {("m", t[1], "normal", "warning"), ("m", t[3], "warning", "normal"), ("k", t[4], "normal", "critical")}
+
+
+def _greedy(rows, ttl):
+    last, kept = {}, set()
+    for user, event, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        if user not in last or ts - last[user] >= ttl:
+            last[user] = ts
+            kept.add(event)
+    return kept
+
+
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_dedupe_expires_keys_inside_a_batch(spark, monkeypatch, hot):
+    monkeypatch.setattr(SO, "HOT_TIMES", hot)
+    rnd, t = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), i, t + dt.timedelta(hours=rnd.randint(0, 240))) for i in range(120)]
+    rows += [(4, 200, t), (4, 201, t + dt.timedelta(hours=24)), (4, 202, t + dt.timedelta(hours=47, minutes=59))]
+    schema = "user_id long, event_id long, ts timestamp"
+    want, write = _greedy(rows, dt.timedelta(hours=24)), SO.dedupe_batch(["user_id"])
+    # one batch, or cut in time order into three of which one is replayed
+    by_time = sorted(rows, key=lambda r: (r[2], r[1]))
+    for parts, epochs in (([rows], [0]), ([by_time[:40], by_time[40:80], by_time[80:]], [0, 1, 1, 2])):
+        out, batches = scratch_path(spark, "dedupe-epochs"), _batches(spark, schema, *parts)
+        for epoch in epochs:
+            write(batches[epoch], epoch, out)
+        assert {r.event_id for r in spark.read.parquet(out + "/data").collect()} == want
+        assert spark.read.parquet(out + "/aside").count() == 0
+    write(_batches(spark, schema, [(4, 300, t - dt.timedelta(days=3)), (4, 301, None)])[0], 3, out)
+    assert {r.event_id for r in spark.read.parquet(out + "/aside").collect()} == {300, 301}
+
+
+def test_dedupe_rows_match_oracle(spark):
+    load_all()
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.001/events.parquet')")
+    for name in ("stream_dedupe", "stream_dedupe_rows"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        res = con.execute(ORACLES[name])
+        cols = [d[0] for d in res.description]
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, res.fetchall())

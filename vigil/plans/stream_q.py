@@ -25,13 +25,30 @@ def _log_stream(spark, sf_dir):
                      (F.col("user_id") % 10).cast("string").alias("user_segment"), p.alias("probability"))
 
 
+def _dedupe(spark, sf_dir):
+    ev = SO.event_stream(spark, sf_dir, "events")
+    out = run_to_table(ev, "dedupe", foreach_batch=SO.dedupe_batch(["user_id", "event_type"], "ts"))
+    return spark.read.parquet(out + "/data")
+
+
 @query("stream_dedupe", sql="SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
-    """One event per (user, event type) within a 24 h watermark (idempotency keys with a TTL). Which copy is kept
-    depends on arrival order, so the comparison is on the surviving keys."""
-    ev = SO.event_stream(spark, sf_dir, "events")
-    out = run_to_table(SO.stream_dedupe(ev, ["user_id", "event_type"], "ts"), "dedupe")
-    return spark.read.parquet(out + "/data").select("user_id", "event_type")
+    """The (user, event type) keys that come out of the dedupe with a 24 h TTL; ``stream_dedupe_rows`` has its rows."""
+    return _dedupe(spark, sf_dir).select("user_id", "event_type").distinct()
+
+
+# the recursion steps from a kept row to the key's first one 24 h or more later
+@query("stream_dedupe_rows", sql="""WITH RECURSIVE t AS (SELECT DISTINCT user_id, event_type, ts FROM events),
+nx AS (SELECT a.user_id, a.event_type, a.ts, min(b.ts) AS later FROM t a JOIN t b ON b.user_id = a.user_id
+  AND b.event_type = a.event_type AND b.ts >= a.ts + INTERVAL 24 HOUR GROUP BY ALL),
+kept AS (SELECT user_id, event_type, min(ts) AS ts FROM t GROUP BY ALL
+  UNION ALL SELECT k.user_id, k.event_type, nx.later FROM kept k JOIN nx USING (user_id, event_type, ts))
+SELECT k.user_id, k.event_type, strftime(k.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, min(e.event_id) AS event_id
+FROM kept k JOIN events e USING (user_id, event_type, ts) GROUP BY ALL""")
+def stream_dedupe_rows(spark, sf_dir):
+    """Events kept by the dedupe on (user, event type): the first, then each one 24 h or more after the last kept."""
+    return _dedupe(spark, sf_dir).select("user_id", "event_type", F.date_format(
+        "ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id")
 
 
 @query("stream_windowed_drift", sql=f"WITH {checks_cte()} SELECT model_name, window_label, sample_size, severity, "

@@ -1,7 +1,8 @@
 """Streaming operators.
 
 * ``event_stream``       — file source over a table's own path, event time as TIMESTAMP (UTC).
-* ``stream_dedupe``      — idempotency: drop repeated keys within a 24 h watermark.
+* ``stream_dedupe``      — Spark's own dedupe: one row a key until the watermark passes it (never inside a batch).
+* ``dedupe_batch``       — foreachBatch dedupe with a TTL: a key's row is kept 24 h or more after its last kept one.
 * ``stream_slot_counts`` — windowed drift counts: watermark + window + (model, feature, slot) counts, append.
 * ``severity_changes``   — foreachBatch severity-change detector: per-model state = last severity.
 * ``route_batch``        — foreachBatch retry / DLQ router: per-job state = attempts so far and whether it finished.
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 from vigil.operators.drift import slot_rows
 from vigil.operators.queue import dead_letters, route_attempts
 from vigil.sources.tables import read_table
-from vigil.streaming.runner import state_before, write_state
+from vigil.streaming.runner import state_before, write_state, written
 
 DEDUPE_TTL = "24 hours"
+DAY_US = 24 * 3600 * 1_000_000
+#: Keys with more distinct times in a batch are not gathered in a row: they are taken by spans of the TTL.
+HOT_TIMES = 10_000
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", ts_col: str = "ts",
@@ -39,9 +43,76 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", ts_col
 
 
 def stream_dedupe(stream: DataFrame, key_cols, ts_col: str = "ts", ttl: str = DEDUPE_TTL) -> DataFrame:
+    """Spark's dedupe within a watermark. A key does not expire inside a micro-batch; ``dedupe_batch`` applies the TTL."""
     return stream.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(list(key_cols))
 
 
+def _same(a: str, b: str, keys):
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return cond
+
+
+def _kept_times(times: DataFrame, keys, ttl_us: int) -> DataFrame:
+    """(keys, _u): the times that are kept of distinct ``times``: a key's first, then always the first one that is
+    ``ttl_us`` or more after the last kept."""
+    spark = times.sparkSession
+    hot = written(times.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_TIMES).drop("_n"),
+                  "dedupe-hot")
+    some = not hot.isEmpty()
+    cold = times.alias("t").join(F.broadcast(hot).alias("h"), _same("t", "h", keys), "left_anti") if some else times
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
+    kept = cold.groupBy(*keys).agg(F.sort_array(F.collect_list("_u")).alias("_us")).select(*keys, F.explode(F.aggregate(
+        "_us", none, lambda a, u: F.when(a["last"].isNull() | (u >= a["last"] + ttl_us), F.struct(
+            u.alias("last"), F.concat(a["kept"], F.array(u)).alias("kept"))).otherwise(a), lambda a: a["kept"])).alias("_u"))
+    if not some:
+        return kept
+    # at most one time of a key is kept in a span of the TTL, and it bears on the next span alone
+    rows = written(times.alias("t").join(F.broadcast(hot).alias("h"), _same("t", "h", keys), "left_semi").withColumn(
+        "_span", F.floor(F.col("_u") / F.lit(ttl_us))), "dedupe-spans")
+    before, last = None, None
+    for span in sorted(r["_span"] for r in rows.select("_span").distinct().collect()):
+        now = rows.where(F.col("_span") == span).drop("_span")
+        if before == span - 1:
+            now = now.alias("t").join(last.withColumnRenamed("_u", "_last").alias("l"), _same("t", "l", keys), "left").where(
+                F.col("_last").isNull() | (F.col("_u") >= F.col("_last") + ttl_us)).select("t.*")
+        before, last = span, written(now.groupBy(*keys).agg(F.min("_u").alias("_u")), "dedupe-kept")
+        kept = kept.unionByName(last)
+    return kept
+
+
+def dedupe_batch(key_cols, ts_col: str = "ts", ttl_us: int = DAY_US):
+    """foreachBatch writer: idempotency keys with a TTL, counted from a key's last kept row.
+
+    A batch is taken in time order, whatever files or chunks it came in; of a key's rows at one time the least one
+    counts. Kept rows go to ``<out>/data``, and each key's last kept time carries to the next batch. Rows that cannot be
+    judged, without a time or a TTL or more before a last kept time of an earlier batch, go to ``<out>/aside``. Null is a
+    key like any other. Columns must be orderable.
+    """
+    keys = list(key_cols)
+
+    def write(batch: DataFrame, epoch: int, out: str) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in [*keys, ts_col]]
+        types = ", ".join(f"`{k}` {batch.schema[k].dataType.simpleString()}" for k in keys)
+        prior = state_before(spark, out, keys, epoch, f"{types}, _last long")
+        now = batch.withColumn("_u", F.unix_micros(F.col(ts_col).cast("timestamp"))).alias("t").join(
+            prior.alias("p"), _same("t", "p", keys), "left").select("t.*", "_last").persist()
+        aside = F.col("_u").isNull() | F.coalesce(F.col("_u") <= F.col("_last") - ttl_us, F.lit(False))
+        now.where(aside).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/aside/epoch={epoch}")
+        new = now.where(F.col("_u").isNotNull() & (F.col("_last").isNull() | (F.col("_u") >= F.col("_last") + ttl_us)))
+        times = _kept_times(new.select(*keys, "_u").distinct(), keys, ttl_us)
+        first = new.groupBy(*keys, ts_col, "_u").agg(F.min(F.struct(F.lit(0).alias("_0"), *rest)).alias("_r"))
+        kept = first.alias("f").join(times.alias("k"), _same("f", "k", [*keys, "_u"]), "left_semi")
+        folder = f"{out}/data/epoch={epoch}"
+        kept.select(*keys, ts_col, "_r.*").select(*batch.columns).write.mode("overwrite").parquet(folder)
+        done = spark.read.schema(batch.schema).parquet(folder)
+        write_state(done.groupBy(*keys).agg(F.max(F.unix_micros(F.col(ts_col).cast("timestamp"))).alias("_last")), out, epoch)
+        now.unpersist()
+    return write
+
+
 def stream_slot_counts(stream: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
                        prob_col: str | None = "probability", ts_col: str = "created_at", duration: str = "1 day",
                        watermark: str = "1 day") -> DataFrame:

@@ -20,6 +20,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/vigil/{name}-{uuid.uuid4().hex[:10]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", foreach_batch=None) -> str:
     """Drain ``stream`` (availableNow) into a parquet folder; returns the folder."""
     spark = stream.sparkSession
