@@ -167,6 +167,22 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_is_left(spark, odd):
+    left = [tuple(r) for r in minhash.drop_near_duplicates(odd).collect()]
+    want = [ODD[10], ODD[2], ODD[3], ODD[4], ODD[5], ODD[6], ODD[7], ODD[8]]
+    assert sorted(map(repr, left)) == sorted(map(repr, want))
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(9, a), (9, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (8, ""),
+            (8, c), (8, None), (10, None), (10, ""), (None, ""), (None, "")]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    counted = Counter(("b" if r["doc_id"] is None and r["text"] in (b, b + " more") else r["doc_id"], r["text"] if r["doc_id"]
+                       else bool(r["text"])) for r in got)
+    assert counted == Counter({(9, a): 1, ("b", True): 1, (8, c): 1, (10, None): 1, (None, False): 2})
+    top = spark.createDataFrame([(2 ** 63 - 1, a), (None, a), (None, b), (None, b)], "doc_id bigint, text string")
+    assert {r["text"] for r in minhash.drop_near_duplicates(top).collect()} == {a, b}
+    assert minhash.drop_near_duplicates(top).count() == 2
+
+
 def test_connected_components(spark):
     prepare(spark)
     rnd = random.Random(9)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import Cache2, arrow_map, packed, written
+from vigil.llm.common import WORD, Cache2, arrow_map, packed, written
 from vigil.llm.graph import connected
 
 SHINGLE, PERCENT = 5, 80
@@ -235,12 +235,65 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _numbered(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """(text, node): the distinct texts with numbers that no doc_id between ``low`` and ``high`` has."""
+    at = written(texts.distinct().withColumn("_at", F.monotonically_increasing_id()), "minhash-nameless")
+    part = F.shiftright("_at", 33).cast("int")
+    counts = sorted((r["p"], r["n"]) for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    if high + total < 1 << 63:
+        first = high + 1
+    elif low - total >= -(1 << 63):
+        first = low - total
+    else:
+        raise ValueError("doc_id leaves no numbers for the rows without one")
+    start = at.sparkSession.createDataFrame(starts, "p int, start long")
+    node = F.lit(first).cast("long") + F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return written(at.join(F.broadcast(start), part == F.col("p")).select("text", node.alias("node")), "minhash-numbered")
+
+
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One ``row`` for each ``key``: one with words if there is any, the least text, then the least hash."""
+    plain = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]
+    words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    return rows.groupBy(key).agg(F.min_by("row", F.struct(~words, F.col("row.text"), F.xxhash64(*plain))).alias("row"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that are near copies of a kept one. Repeated rows of a kept doc_id leave
-    one; rows without doc_id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).filter("NOT kept").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return packed(docs).join(gone, F.col("row.doc_id") == F.col("_gone"), "left_anti").select("row.*")
+    """One row of ``docs`` for each group of near copies: that of its least doc_id, and of repeated rows with it the one
+    with words and the least text. A row without doc_id is a document of its own that links by its text like any other;
+    it stays only if its group has no doc_id (of equal texts one). Rows without words link with nothing: those
+    without doc_id stay, those with one leave one row a doc_id."""
+    rows = packed(docs)
+    # numbers for texts without doc_id: above every doc_id, so that a doc_id comes before them
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    facts = texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                      F.max(nameless).alias("nameless")).first()
+    numbered = None
+    if facts["nameless"]:
+        numbered = _numbered(texts.filter(nameless).select("text"), facts["low"] or 0, facts["high"] or 0)
+        texts = texts.filter("doc_id IS NOT NULL").union(numbered.select("node", "text"))
+    near = near_duplicates(texts, shingle, percent)
+    gone = near.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = written(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count("*").alias("n")).filter("n > 1").select("_id"), "minhash-twice")
+    if numbered is None and twice.isEmpty():
+        return rows.join(gone, F.col("row.doc_id") == F.col("_gone"), "left_anti").select("row.*")
+    gone = written(gone, "minhash-gone")
+    left = rows.join(gone, F.col("row.doc_id") == F.col("_gone"), "left_anti")
+    if numbered is not None:
+        left = left.filter(F.col("row.doc_id").isNotNull() | ~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)))
+    out = left.join(twice, F.col("row.doc_id") == F.col("_id"), "left_anti")
+    out = out.union(_one_each(left.join(twice, F.col("row.doc_id") == F.col("_id")), "_id").select("row"))
+    if numbered is not None:
+        stay = numbered.join(gone, F.col("node") == F.col("_gone"), "left_anti").withColumnRenamed("text", "_text")
+        named = rows.filter("row.doc_id IS NULL").join(stay, F.col("row.text") == F.col("_text"))
+        out = out.union(_one_each(named, "node").select("row"))
+    return out.select("row.*")
 
 
 def op3_minhash(docs: DataFrame) -> DataFrame:
