@@ -225,6 +225,32 @@ def test_token_files_query(spark):
         at += len(ids)
 
 
+def test_token_files_have_the_librarys_special_tokens(spark):
+    from tokenizers import Tokenizer
+    prepare(spark)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "a<|endoftext|><|endoftext|>  b's"), (3, "<|endoftext|>"), (4, "a <|endoftext| > b"),
+            (5, "plain words"), (6, ODD[8][1])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in tokenfile.op4_tokens(
+        spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = 0
+    for d, x in rows:
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4")
+        assert got[d] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_token_runs_equal_library_with_special_tokens():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        mine = tokenfile.Tokens(f.read(), False)
+    assert mine.by_space
+    bits = ["a", "é", "中", "'s", " ", "  ", "\n", "\xa0", ".", "12", "<|endoftext|>", "<|", "|>", "😀"]
+    r = random.Random(9)
+    for _ in range(5000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        assert mine.encode(text) == mine.whole(text), repr(text)
+
+
 def test_token_files_odd_rows(spark, odd, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_BYTES", 2000)  # several files
     definition = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()

@@ -75,7 +75,9 @@ class Tokens:
     """Encodes texts by a tokenizers file whose pre-tokenizer cuts before a space that no white space follows.
     What lies between cuts is encoded once and kept; what many texts repeat costs a table lookup. A text of plain
     letters and marks is cut into runs of letters, which are pre-tokens as they are and go straight to the library's
-    model, and what is between them. Any other text is cut at spaces, and its hard parts go through the whole library."""
+    model, and what is between them. Any other text is cut at spaces, and its hard parts go through the whole library.
+    Unless ``special_as_text``, a text that contains an added token's content is never cut: the library finds such
+    tokens first, in the whole text."""
 
     def __init__(self, definition: str, special_as_text: bool):
         from tokenizers import Tokenizer
@@ -84,15 +86,17 @@ class Tokens:
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.merges = self.model.model
-        self.by_space = self._cuts_at_spaces(definition, special_as_text)
+        self.by_space = self._cuts_at_spaces(definition)
+        added = [] if special_as_text else [a["content"] for a in json.loads(definition).get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.runs = Cache2(self.run, CACHE_ENTRIES)
         self.hard = Cache2(self.whole, CACHE_ENTRIES >> 2)
 
     @staticmethod
-    def _cuts_at_spaces(definition: str, special_as_text: bool) -> bool:
+    def _cuts_at_spaces(definition: str) -> bool:
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
-        return (special_as_text and d.get("normalizer") is None and pre.get("type") == "ByteLevel"
+        return (d.get("normalizer") is None and pre.get("type") == "ByteLevel"
                 and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
                 and all(a.get("special") for a in d.get("added_tokens") or []))
 
@@ -117,7 +121,7 @@ class Tokens:
         """Packed ids (``kind`` integers) of a whole text; null counts as empty."""
         if not text:
             return b""
-        if not self.by_space:
+        if not self.by_space or (self.added is not None and self.added.search(text)):
             return self.whole(text)
         if not _HARD.search(text):
             return b"".join(self.known(self.runs, _RUNS.findall(text)))
@@ -322,5 +326,5 @@ def op4_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str | None = No
     with open(vocabulary or P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
     folder = shared_path(spark, "tokens")
-    write_tokens(docs.select("doc_id", "text"), definition, folder)
+    write_tokens(docs.select("doc_id", "text"), definition, folder, special_as_text=False)  # as the library's default
     return read_tokens(spark, folder, with_ids=False)
