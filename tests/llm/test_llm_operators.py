@@ -381,6 +381,36 @@ def test_quality_rules_odd_rows(odd, empty):
     assert fertility.judge(empty).count() == 0
 
 
+SCRIPT_TEXTS = {
+    "hebrew": "בראשית ברא אלהים את השמים ואת הארץ והארץ היתה תהו ובהו וחשך על פני תהום ורוח אלהים מרחפת על פני המים",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا",
+    "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि",
+    "thai": "มนุษย์ทั้งหลาย เกิดมามีอิสระ และเสมอภาคกัน ในเกียรติศักดิ์ และสิทธิ ต่างมีเหตุผล และมโนธรรม และควรปฏิบัติ ต่อกัน ด้วยเจตนารมณ์",
+    "kana": "すべての にんげんは うまれながらにして じゆうであり かつ そんげんと けんりとに ついて びょうどうである にんげんは りせいと",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을",
+    "han": "人人生而自由 在尊严和权利上 一律平等 他们赋有理性和良心 并应以兄弟关系的精神 相对待 人人有资格 享有本宣言所载的 一切权利和自由 不分种族 肤色",
+    "unlisted": "மனிதப் பிறிவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர் அவர்கள் மதிப்பிலும் உரிமைகளிலும் சமமானவர்கள் அவர்கள் நியாயத்தையும் மனச்சாட்சியையும்"}
+
+
+def test_every_script_has_a_band(spark):
+    prepare(spark)
+    assert {*fertility.SCRIPTS, "unlisted", "other"} <= set(fertility.BANDS)
+    rnd, rows = random.Random(1), []
+    for name, text in SCRIPT_TEXTS.items():
+        letter = text[0]
+        rows += [(name, True, text), (name, False, " ".join(letter * rnd.randint(3, 60) for _ in range(60)))]
+    junk = [" ".join(str(rnd.randint(0, 10 ** 6)) for _ in range(100)), " ".join(str(1900 + i) for i in range(12)),
+            " ".join(rnd.choice("=-*_") * rnd.randint(3, 40) for _ in range(60)),
+            " ".join("".join(rnd.choices("#*$%&<>=-+", k=rnd.randint(1, 8))) for _ in range(100))]
+    rows += [("other", False, t) for t in junk]
+    rows += [("latin", True, "the cat sat on the mat and it was a good day for the dog"),
+             ("latin", False, "a | b | c | | d | | | e | | f | | |")]
+    df = spark.createDataFrame([(i, t, None) for i, (_, _, t) in enumerate(rows)], "doc_id int, text string, lang string")
+    got = {r["doc_id"]: r for r in fertility.judge(df).collect()}
+    assert not any(r["base_failed"] for i, r in got.items() if rows[i][1])
+    assert [(got[i]["script"], got[i]["kept"]) for i in range(len(rows))] == [(s, k) for s, k, _ in rows]
+
+
 # op9
 
 def test_targets_stop_at_three_times_the_size(spark):
