@@ -111,3 +111,24 @@ def test_dedupe_rows_match_oracle(spark):
         res = con.execute(ORACLES[name])
         cols = [d[0] for d in res.description]
         assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, res.fetchall())
+
+
+def test_stream_score_quarantines_bad_rows(spark):
+    import os
+    load_all()
+    src = scratch_path(spark, "score-tables")
+    given = "/root/testdata/sf0.001"
+    os.makedirs(src)
+    for t in os.listdir(given):
+        if t != "lineitem.parquet":
+            os.symlink(f"{given}/{t}", f"{src}/{t}")
+    rows = spark.read.parquet(f"{given}/lineitem.parquet")
+    at = F.col("l_orderkey") % 50
+    rows = rows.withColumn("l_quantity", F.when(at != 1, F.col("l_quantity"))).withColumn(
+        "l_linestatus", F.when(at != 2, F.col("l_linestatus")))
+    rows.write.parquet(f"{src}/lineitem.parquet")
+    got = QUERIES["stream_score"](spark, src)
+    bad = rows.where("l_quantity IS NULL OR l_linestatus IS NULL").count()
+    assert bad > 0 and got.count() == rows.count()
+    assert got.where("error IS NOT NULL AND probability IS NULL AND predicted_class IS NULL").count() == bad
+    assert got.where("error IS NULL AND probability IS NOT NULL").count() == rows.count() - bad

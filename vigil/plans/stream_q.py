@@ -157,7 +157,8 @@ def stream_drift(spark, sf_dir):
 
 @query("stream_score")
 def stream_score(spark, sf_dir):
-    """Streaming scorer: lineitem rows as a stream, validated and scored by the fitted model, appended."""
+    """Streaming scorer: lineitem rows as a stream, validated and scored by the fitted model. Rows with an error are
+    quarantined and come back with it, without a probability."""
     from vigil.operators import ml as M
     from vigil.operators import train as TRN
     from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
@@ -165,7 +166,6 @@ def stream_score(spark, sf_dir):
     model = TRN.fit(t.where(F.col("split") == "train"), TRAIN_NUMERIC, TRAIN_CATEGORICAL, "y")
     stream = SO.event_stream(spark, sf_dir, "lineitem", ts_col="l_shipdate")
     feats = stream.select(*TRAIN_KEY, *TRAIN_NUMERIC, *TRAIN_CATEGORICAL)
-    valid = feats.where(F.col("l_quantity").isNotNull() & F.col("l_linestatus").isNotNull())
-    scored = TRN.score(valid, model).withColumn("predicted_class", (F.col("probability") >= 0.5).cast("int"))
-    out = run_to_table(scored, "stream-score")
-    return spark.read.parquet(out + "/data").select(*TRAIN_KEY, "probability", "predicted_class")
+    out = run_to_table(feats, "stream-score", foreach_batch=SO.score_split(model, TRAIN_KEY, 0.5, "stream"))
+    scored, bad = spark.read.parquet(out + "/data"), spark.read.parquet(out + "/quarantine")
+    return scored.unionByName(bad).select(*TRAIN_KEY, "probability", "predicted_class", "error")

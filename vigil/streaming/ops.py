@@ -6,6 +6,7 @@
 * ``stream_slot_counts`` — windowed drift counts: watermark + window + (model, feature, slot) counts, append.
 * ``severity_changes``   — foreachBatch severity-change detector: per-model state = last severity.
 * ``route_batch``        — foreachBatch retry / DLQ router: per-job state = attempts so far and whether it finished.
+* ``score_split``        — foreachBatch scorer: scored rows to one table, rows with an error to a quarantine table.
 * ``contract_split``     — foreachBatch writer: valid events to one table, violations to a quarantine table.
 
 Stateful writers keep one small state row per key in per-epoch folders beside
@@ -164,6 +165,23 @@ def route_batch(attempts: DataFrame, epoch: int, out: str) -> None:
         F.col("outcome").isin("completed", "dlq", "skipped_duplicate")).alias("done")), out, epoch)
 
 
+def score_split(model, key_cols, threshold: float, model_version: str):
+    """foreachBatch writer: rows pass the scoring checks of ``train.predict_batch``; scored ones go to ``<out>/data``,
+    those with an error to ``<out>/quarantine``, by epoch. Every row goes to one of them."""
+    from vigil.operators.train import predict_batch
+    keys, features = list(key_cols), [*model.numeric, *model.categorical]
+
+    def write(batch: DataFrame, epoch: int, out: str) -> None:
+        raw = F.create_map(*[x for c in features for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+        done = predict_batch(batch.select(F.struct(*keys).alias("_id"), raw.alias("_raw")), model, threshold,
+                             model_version, "_id", "_raw").select("request_id.*", "probability", "predicted_class", "error")
+        done = done.persist()
+        done.where("error IS NULL").write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
+        done.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{out}/quarantine/epoch={epoch}")
+        done.unpersist()
+    return write
+
+
 def contract_split(validate):
     """foreachBatch writer: rows passing ``validate`` (which adds ``valid``) go to ``<out>/valid``, the rest with
     their violations to ``<out>/quarantine``. Writes are keyed by epoch, so a replayed batch overwrites itself."""
