@@ -73,3 +73,24 @@ def test_empty_reference_distribution_gives_empty_actuals(spark):
     rec = _log(spark, [(i, "m", base + dt.timedelta(minutes=i), 1.0, "a", 0.5) for i in range(40)])
     _, f = D.drift_analyze(rec, ref, ["model_name"], ["x"], [], None)
     assert f.first().actual_distribution == []
+
+
+def test_every_numeric_feature_is_binned(spark):
+    import duckdb
+
+    from tools.check_oracles import rows_of
+    from vigil.plans import ORACLES, QUERIES, load_all
+    from vigil.sources.standins import LOG_NUMERIC
+    from vigil.sources.tables import TABLES
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name in ("bin_assign", "bin_assign_all"):
+        df = QUERIES[name](spark, sf)
+        rows = [tuple(r) for r in df.collect()]
+        res = con.execute(ORACLES[name])
+        cols = [d[0] for d in res.description]
+        assert rows_of(df.columns, rows) == rows_of(cols, res.fetchall())
+    assert {r[1] for r in rows} == set(LOG_NUMERIC)

@@ -170,17 +170,34 @@ def class_distribution(spark, sf_dir):
     return S.class_distribution(reference_rows(log), G)
 
 
+def _bins(spark, sf_dir, features):
+    """(id, feature, bin) of the recent rows' numeric features."""
+    from vigil.functions.drift import bin_index
+    from vigil.operators.joins import join_small
+    log, ref = _reference(spark, sf_dir)
+    edges = ref.where(F.col("feature").isin(*features) & (F.col("kind") == "numeric")).select(*G, "feature", "bins")
+    rows = recent_rows(log).select("id", *G, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_v")) for f in features])))
+    return join_small(rows, edges, [*G, "feature"]).select("id", "feature", bin_index("_v", "bins").alias("bin"))
+
+
 @query("bin_assign", sql=f"""WITH {LOG_CTE}, {reference_cte('model_name')}
 SELECT r.id, {sql_bin('r.value', 'e.bins')} AS bin
 FROM rec_all r JOIN num_edges e ON e.model_name = r.model_name AND e.feature = 'value'""")
 def bin_assign(spark, sf_dir):
-    """Every recent value placed in its learned bin (null = outside the reference range)."""
-    from vigil.functions.drift import bin_index
-    from vigil.operators.joins import join_small
-    log, ref = _reference(spark, sf_dir)
-    edges = ref.where(F.col("feature") == "value").select(*G, "bins")
-    return join_small(recent_rows(log).select("id", *G, "value"), edges, G).select(
-        "id", bin_index("value", "bins").alias("bin"))
+    """Every recent ``value`` placed in its learned bin (null = outside the reference range); ``bin_assign_all`` has
+    all numeric features."""
+    return _bins(spark, sf_dir, ["value"]).select("id", "bin")
+
+
+@query("bin_assign_all", sql=f"""WITH {LOG_CTE}, {reference_cte('model_name')},
+long AS (SELECT id, model_name, 'value' AS feature, value AS v FROM rec_all
+         UNION ALL SELECT id, model_name, 'k', CAST(k AS DOUBLE) FROM rec_all)
+SELECT r.id, r.feature, {sql_bin('r.v', 'e.bins')} AS bin
+FROM long r JOIN num_edges e ON e.model_name = r.model_name AND e.feature = r.feature""")
+def bin_assign_all(spark, sf_dir):
+    """Every recent value of every numeric feature placed in its learned bin (null = outside the reference range)."""
+    return _bins(spark, sf_dir, LOG_NUMERIC)
 
 
 @query("category_counts", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')}, {drift_cte('model_name', None)} "
