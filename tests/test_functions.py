@@ -83,3 +83,12 @@ def test_chi2_upper_tail_known_values():
     # df = 10: Q(5, 20) = exp(-20) * sum(20^i / i!, i < 5)
     exact = math.exp(-20) * sum(20 ** i / math.factorial(i) for i in range(5))
     assert math.isclose(chi2_sf_value(40.0, 10), exact, rel_tol=1e-9)
+
+
+def test_chi2_upper_tail_of_many_categories():
+    """Near its mean a chi-square variable with many degrees of freedom is above it half of the time."""
+    for dof in (1e5, 9e5, 1.1e6, 4e6, 1e8):
+        assert math.isclose(chi2_sf_value(dof, dof), 0.5, abs_tol=1e-3)
+        sigma = math.sqrt(2 * dof)
+        assert math.isclose(chi2_sf_value(dof + 3 * sigma, dof), 0.00135, abs_tol=2e-4)
+        assert math.isclose(chi2_sf_value(dof - 3 * sigma, dof), 0.99865, abs_tol=2e-4)

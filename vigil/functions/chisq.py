@@ -2,7 +2,8 @@
 
 Runs on already-aggregated rows (one per feature and group), never per raw row.
 Regularised upper incomplete gamma Q(k/2, x/2): series for x < a + 1, Lentz
-continued fraction otherwise (standard textbook method).
+continued fraction otherwise (standard textbook method). From ``LARGE`` on, where
+these need too many steps near x = a, the Wilson-Hilferty form (off by less than 1e-6 there).
 """
 
 from __future__ import annotations
@@ -14,9 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _gamma_q(a: float, x: float) -> float:
+#: Shape from which the expansions could end unconverged.
+LARGE = 500_000.0
+
+
+def _gamma_q(a: float, x: float) -> float | None:
+    """Null if the expansion does not converge."""
     if x <= 0:
         return 1.0
+    if a >= LARGE:
+        v = 1.0 / (9.0 * a)
+        return 0.5 * math.erfc(((x / a) ** (1.0 / 3.0) - 1.0 + v) / math.sqrt(2.0 * v))
     gln = math.lgamma(a)
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -27,6 +36,8 @@ def _gamma_q(a: float, x: float) -> float:
             total += term
             if abs(term) < abs(total) * 1e-16:
                 break
+        else:
+            return None
         return max(0.0, 1.0 - total * math.exp(-x + a * math.log(x) - gln))
     tiny = 1e-300
     b = x + 1.0 - a
@@ -43,8 +54,10 @@ def _gamma_q(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 1e-15:
             break
+    else:
+        return None
     return math.exp(-x + a * math.log(x) - gln) * h
 
 
