@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from vigil.llm import bpe, fertility, linededup, minhash, mixing, perspective, prefixhash, tokenfile, urlfilter, zquality
+from vigil.llm import bpe, crossalign, fertility, linededup, minhash, mixing, perspective, prefixhash, tokenfile, urlfilter, zquality
 from vigil.session import ship_package
 from vigil.sources.tables import read_table
 
@@ -84,3 +84,8 @@ def op8(spark, sf_dir):
 @query("op9_mix", mixing.ORACLE)
 def op9(spark, sf_dir):
     return mixing.op9_mix(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_align")
+def op13(spark, sf_dir):
+    return crossalign.op13_align(spark, read_table(spark, sf_dir, "documents"))
