@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from vigil.llm import bpe, crossalign, fertility, linededup, minhash, mixing, perspective, prefixhash, toccurrence, tokenfile, urlfilter, zquality
+from vigil.llm import bpe, crossalign, fertility, linededup, minhash, mixing, multiindex, perspective, prefixhash, toccurrence, tokenfile, urlfilter, zquality
 from vigil.session import ship_package
 from vigil.sources.tables import read_table
 
@@ -86,6 +86,11 @@ def op9(spark, sf_dir):
     return mixing.op9_mix(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_negatives", multiindex.ORACLE)
+def op11(spark, sf_dir):
+    return multiindex.op11_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_jaccard")
 def op12(spark, sf_dir):
     return toccurrence.op12_jaccard(read_table(spark, sf_dir, "documents"))
