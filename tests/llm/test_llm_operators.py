@@ -432,6 +432,20 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[k] - target[k]) <= 1.5 * largest[k] for k in target)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_mix_of_repeated_rows_comes_near_its_target(spark, doc_id):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, note int"
+    rows = [(i, "w " * 10, "en", s, 20, 0) for s in "ab" for i in range(500)] + [
+        (doc_id, "w " * 10, "en", "c", 20, i) for i in range(400)]
+    docs = spark.createDataFrame(rows, schema).repartition(7)
+    for r in (mixing.op9_mix(docs).groupBy("source_size", "target").sum("taken").collect()):
+        assert abs(r["sum(taken)"] - r["target"]) <= 15
+    got = mixing.mix(docs).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"a": 875, "b": 350, "c": 175}
+    # equal rows that differ elsewhere: each of them at most as often as the rate says
+    assert mixing.mix(docs).filter("source = 'c'").groupBy("note").count().filter("count > 1").count() == 0
+
+
 def test_mix_odd_rows(odd, empty):
     docs = odd.withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
     got = mixing.mix(docs)

@@ -7,9 +7,9 @@ copy when ``floor((r + 1) f + u) > floor(r f + u)``, u being uniform by the seed
 with probability f, and neighbours in size compensate each other, so that a source's taken words miss its target by
 about one document instead of by the noise of independent draws.
 
-The numbering never sorts a source in one task: equal sizes are counted first, their documents split into hash
-buckets of about ``BUCKET`` rows, and only the bucket counts (one row for each distinct size or 1024 rows) are
-summed along a source.
+The numbering never sorts a source in one task: repeated rows are counted first, the others of a size split into hash
+buckets of about ``BUCKET``, and only the bucket counts (one row for each distinct size or 1024 rows) are summed along
+a source. Repeated rows have numbers one after another, so they share their draws like any others.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WORD, packed
+from vigil.llm.common import WORD, packed, written
 
-#: Documents of one source and size that are numbered together.
+#: Different documents of one source and size that are numbered together.
 BUCKET = 1024
+#: Repeated rows that one task writes out.
+CHUNK = 1 << 16
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
@@ -57,35 +59,54 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
                        .otherwise(F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w"))).alias("target"))
 
 
-def copies(rows: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """(key, source, size) -> also ``source_size``, ``target`` and ``copies``.
+def numbered(rows: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """(key, source, size) -> one row for each distinct of them with ``n``, how many rows it stands for, their numbers in
+    the source from ``first`` on, ``source_size``, ``target``, ``rate`` and ``start``, for ``copies_of``.
 
-    ``key`` (string, not null) names a row for the draws. Rows equal in all three draw together. An empty source, or
-    a size of 0, is a legal row: a source without words has target 0 and gives no copies.
+    ``key`` (string, not null) names a row for the draws. An empty source, or a size of 0, is a legal row: a source
+    without words has target 0 and gives no copies.
     """
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    groups = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
+    per_source = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(per_source, weights, max_repeat)
     draw = F.md5(F.concat(F.lit(seed), F.lit("|"), F.col("key")))
     at = F.conv(F.substring(draw, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    rows = rows.withColumn("_draw", draw).withColumn("_at", at)
-    same = rows.groupBy("source", "size").agg(F.count("*").alias("_n"))
+    groups = groups.withColumn("_draw", draw).withColumn("_at", at)
+    same = groups.groupBy("source", "size").agg(F.count("*").alias("_n"))
     n_buckets = F.ceil(F.col("_n") / F.lit(BUCKET))
-    rows = (null_safe(rows, same, ["source", "size"]).withColumn("_bucket", F.floor(F.col("_at") * n_buckets)))
-    counts = rows.groupBy("source", "size", "_bucket").agg(F.count("*").alias("_c"))
+    groups = null_safe(groups, same, ["source", "size"]).withColumn("_bucket", F.floor(F.col("_at") * n_buckets))
+    counts = groups.groupBy("source", "size", "_bucket").agg(F.sum("n").alias("_c"))
     before = (Window.partitionBy("source").orderBy(F.col("size").desc(), "_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("source", "size", "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     counts = null_safe(counts, goal, ["source"])
-    inside = Window.partitionBy("source", "size", "_bucket").orderBy("_draw", "key")
-    rows = null_safe(rows, counts, ["source", "size", "_bucket"]).withColumn(
-        "_r", (F.col("_before") + F.rank().over(inside) - 1).cast("double"))
+    inside = (Window.partitionBy("source", "size", "_bucket").orderBy("_draw", "key")
+              .rowsBetween(Window.unboundedPreceding, -1))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit("#"), F.coalesce("source", F.lit("")))), 1, 12),
                    16, 10).cast("double") / F.lit(float(16 ** 12))
-    rows = rows.withColumn("_rate", rate).withColumn("_f", rate - F.floor(rate)).withColumn("_u", start)
-    drawn = F.floor((F.col("_r") + 1) * F.col("_f") + F.col("_u")) - F.floor(F.col("_r") * F.col("_f") + F.col("_u"))
-    return rows.select("key", "source", "size", "source_size", "target",
-                       (F.floor("_rate") + drawn).cast("long").alias("copies"))
+    return null_safe(groups, counts, ["source", "size", "_bucket"]).select(
+        "key", "source", "size", "n", (F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"),
+        "source_size", "target", rate.alias("rate"), start.alias("start"))
+
+
+def copies_of(nth: Column) -> Column:
+    """Copies of the ``nth`` row (from 0) that a row of ``numbered`` stands for."""
+    f, r = F.col("rate") - F.floor("rate"), (F.col("first") + nth).cast("double")
+    drawn = F.floor((r + 1) * f + F.col("start")) - F.floor(r * f + F.col("start"))
+    return (F.floor("rate") + drawn).cast("long")
+
+
+def copies(rows: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """(key, source, size) -> also ``source_size``, ``target`` and ``copies``, a row for every row. Rows equal in all
+    three cannot be told apart; each draws with a number of its own."""
+    groups = numbered(rows, weights, max_repeat, seed)
+    one = groups.filter("n = 1").withColumn("_i", F.lit(0).cast("long"))
+    chunks = groups.filter("n > 1").withColumn("_c", F.explode(F.expr(f"sequence(0, (n - 1) div {CHUNK})")))
+    many = chunks.repartition("key", "_c").withColumn("_i", F.explode(F.expr(
+        f"sequence(_c * {CHUNK}, least(n, (_c + 1) * {CHUNK}) - 1)"))).drop("_c")
+    return one.unionByName(many).select("key", "source", "size", "source_size", "target",
+                                        copies_of(F.col("_i")).alias("copies"))
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -103,22 +124,42 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _nth(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``_i``: their number among those equal in ``by``, from 0. They are written first, so that the numbers
+    stay; a hot key is numbered partition by partition."""
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)),
+                   "mix-repeated")
+    counts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_at")
+    return null_safe(rows, counts, [*by, "_part"]).withColumn(
+        "_i", F.col("_before") + F.row_number().over(inside) - 1).drop("_at", "_part", "_before")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` repeated as the mix takes them (0 to ``max_repeat`` times), with its columns.
 
-    Equal rows (id, source and text) draw together. The draws are made on (key, source, size); the texts are
-    shuffled once, to meet their number of copies.
+    The draws are made on (key, source, size); the texts are shuffled once, to meet their number of copies. Rows that
+    repeat in id, source and text are numbered one by one and draw with numbers of their own, so that their source
+    comes as near its target as any.
     """
-    key = doc_key(F.col("doc_id"), F.col("text"))
-    drawn = copies(docs.select(key.alias("key"), "source", n_words("text").alias("size")), weights, max_repeat, seed)
-    drawn = drawn.groupBy("key", "source").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    named = packed(docs).withColumn("name", doc_key(F.col("row.doc_id"), F.col("row.text")))
-    out = named.join(drawn, (F.col("name") == F.col("key")) & F.col("row.source").eqNullSafe(F.col("source")))
+    named = packed(docs).withColumn("name", doc_key(F.col("row.doc_id"), F.col("row.text"))).withColumn("_s", F.col("row.source"))
+    drawn = written(numbered(named.select(F.col("name").alias("key"), F.col("_s").alias("source"), n_words("row.text").alias("size")),
+                             weights, max_repeat, seed), "mix-drawn")
+    same = (F.col("name") == F.col("key")) & F.col("_s").eqNullSafe(F.col("source"))
+    times = copies_of(F.lit(0))
+    out = named.join(drawn.filter("n = 1").withColumn("_copies", times).filter("_copies > 0").select("key", "source", "_copies"),
+                     same).select("row", "_copies")
+    if not drawn.filter("n > 1").isEmpty():
+        again = named.join(drawn.filter("n > 1").select("key", "source"), same, "left_semi")
+        again = _nth(again, ["name", "_s"]).join(drawn.filter("n > 1").drop("size"), same)
+        out = out.union(again.withColumn("_copies", copies_of(F.col("_i"))).filter("_copies > 0").select("row", "_copies"))
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 
 def op9_mix(docs: DataFrame) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document. Rows with one doc_id, source and size (or none) draw one by one."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(key.alias("key"), "source", n_words("text").alias("size"))
     return copies(rows).select(F.expr("try_cast(key AS bigint)").alias("doc_id"), "size", "source_size", "target",
@@ -140,7 +181,7 @@ v AS (SELECT *, (SELECT arg_min(lv, ratio) FROM l WHERE lv <= ratio) AS level FR
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0
              ELSE least(CAST(cap AS DOUBLE), level * w) END AS target FROM v),
 k AS (SELECT doc_id, source, size,
-             rank() OVER (PARTITION BY source ORDER BY size DESC,
+             row_number() OVER (PARTITION BY source ORDER BY size DESC,
                           substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12),
                           md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) - 1.0::DOUBLE AS r FROM d),
 j AS (SELECT k.*, t.source_size, t.target,
