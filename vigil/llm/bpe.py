@@ -14,15 +14,17 @@ import struct
 from collections.abc import Callable
 from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import CUT, Cache2, arrow_map
+from vigil.llm.common import CUT, Cache2, arrow_map, held
 
-#: Entries a worker keeps of each lookup table (pieces between spaces, pre-tokens).
-PIECES, PRE_TOKENS = 1 << 17, 1 << 19
+#: Bytes of a worker's lookup tables: pieces at the start of a text, pieces after a space, pre-tokens.
+FIRST_BYTES, PIECE_BYTES, PRE_TOKEN_BYTES = 4 << 20, 36 << 20, 56 << 20
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
 
@@ -51,9 +53,9 @@ class Encoder:
         self.buckets: dict[int, int | list[int]] = {}
         self.in_use = [0] * ((n >> WORD_BITS) + 1)
         self.byte_pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.tokens = Cache2(self.pre_token, PRE_TOKENS)
-        self.first = Cache2(lambda piece: self.pieces(piece), PIECES)
-        self.later = Cache2(lambda piece: self.pieces(" " + piece), PIECES)
+        self.tokens = Cache2(self.pre_token, PRE_TOKEN_BYTES)
+        self.first = Cache2(lambda piece: self.pieces(piece), FIRST_BYTES)
+        self.later = Cache2(lambda piece: self.pieces(" " + piece), PIECE_BYTES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest-ranked neighbour pair merges first, the leftmost of equals."""
@@ -145,35 +147,26 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder_of(key: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """One encoder for each vocabulary and pattern in a worker, kept across tasks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
-
-
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids",
-           drop_text: bool = False) -> DataFrame:
-    """Add ``out`` (binary: ids as little-endian unsigned 32-bit integers) and ``n_tokens`` to every row.
+           drop_text: bool = False, lists: bool = False) -> DataFrame:
+    """Add ``out`` (binary: ids as little-endian unsigned 32-bit integers; ``lists``: ``array<int>``) and ``n_tokens`` to
+    every row.
 
     Null and empty texts give no ids. Special tokens are ordinary text. Rows are independent: repeated rows get
     equal ids, other columns pass through (a column named ``out`` or ``n_tokens`` is replaced). The vocabulary is
     broadcast (its size is the file's, about 1 MB); nothing is shuffled.
     """
     sc = df.sparkSession.sparkContext
-    shared, key = sc.broadcast(ranks), (sc.applicationId, len(ranks), hash(frozenset(ranks.items())), pattern)
+    shared, key = sc.broadcast(ranks), ("bpe", sc.applicationId, len(ranks), hash(frozenset(ranks.items())), pattern)
 
     def run(b):
-        enc = encoder_of(key, shared.value, pattern)
+        enc = held(key, lambda: Encoder(shared.value, pattern))
         got = [enc.encode(t) for t in b.column(text_col).to_pylist()]
-        return {out: got, "n_tokens": [len(g) // 4 for g in got]}
+        return {out: id_lists(got) if lists else got, "n_tokens": [len(g) // 4 for g in got]}
 
     keep = [c for c in df.columns if not (drop_text and c == text_col)]
-    return arrow_map(df, run, [T.StructField(out, T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)],
+    kind = T.ArrayType(T.IntegerType()) if lists else T.BinaryType()
+    return arrow_map(df, run, [T.StructField(out, kind, False), T.StructField("n_tokens", T.LongType(), False)],
                      keep)
 
 
@@ -189,17 +182,18 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: st
     return arrow_map(df, run, [T.StructField(out, T.BinaryType(), True)])
 
 
+def id_lists(packed: list[bytes], null=None) -> pa.ListArray:
+    """Packed ids as an Arrow list array."""
+    flat = np.frombuffer(b"".join(packed), dtype="<u4").astype("int32")
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
+
+
 def unpack(df: DataFrame, ids_col: str = "ids") -> DataFrame:
     """Packed ids as ``array<int>``, null for null."""
-    import numpy as np
-    import pyarrow as pa
-
     def run(b):
         col = b.column(ids_col)
-        raw = [x or b"" for x in col.to_pylist()]
-        flat = np.frombuffer(b"".join(raw), dtype="<u4").astype("int32")
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype("int32")
-        return {ids_col: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=col.is_null())}
+        return {ids_col: id_lists([x or b"" for x in col.to_pylist()], col.is_null())}
 
     return arrow_map(df, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType()), True)])
 

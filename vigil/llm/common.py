@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -67,25 +70,50 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[
     return df.mapInArrow(run, schema)
 
 
+def _size(x) -> int:
+    """Bytes of a key or value of a table, those of a tuple's entries included."""
+    return getsizeof(x) + (sum(map(getsizeof, x)) if type(x) is tuple else 0)
+
+
 class Cache2(dict):
-    """A bounded lookup table for ``map``: ``make`` computes what is missing. When ``limit`` entries are reached
-    the table becomes the old generation; entries still in use come back from it, the others go."""
+    """A bounded lookup table for ``map``: ``make`` computes what is missing. When half of ``limit`` bytes (keys, values
+    and the table's own) are in use the table becomes the old generation; entries still in use come back from it, the
+    others go."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.used = make, limit // 2, {}, 0
 
     def __missing__(self, key):
         v = self.old.get(key)
         if v is None:
             v = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        self.used += 100 + _size(key) + _size(v)
+        if self.used >= self.limit:
+            self.old, self.used = dict(self), 0
             self.clear()
         self[key] = v
         return v
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker keeps across tasks for the operator that it runs: ``make()`` under ``key``. A worker serves one
+    operator after another, so the big tables of the one before go first and their memory goes back to the system."""
+    v = _HELD.get(key)
+    if v is None:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+        v = _HELD[key] = make()
+    return v
+
+
 def range_bounds(df: DataFrame, col: str, ranges: int) -> list[int]:
     """At most ``ranges - 1`` ascending split points of an integer column, from one aggregate over that column."""
     at = [i / ranges for i in range(1, ranges)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import arrow_map, written
+from vigil.llm.common import arrow_map, held, written
 
 #: Pairs in the broadcast table (16 bytes each) at most.
 LIMIT = 1 << 20
@@ -311,15 +311,9 @@ class Aligner:
         return out
 
 
-_ALIGNERS: dict[tuple, Aligner] = {}
-
-
 def aligner_of(first: str, second: str) -> Aligner:
     """The worker's aligner of two vocabulary files, kept across tasks."""
-    if (first, second) not in _ALIGNERS:
-        _ALIGNERS.clear()
-        _ALIGNERS[first, second] = Aligner(ByteLevel(first), Pieces(second))
-    return _ALIGNERS[first, second]
+    return held(("align", first, second), lambda: Aligner(ByteLevel(first), Pieces(second)))
 
 
 def aligned(df: DataFrame, first: str, second: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

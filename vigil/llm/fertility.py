@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vigil.llm.common import Cache2, arrow_map
+from vigil.llm.common import Cache2, arrow_map, held
 
-CACHE_ENTRIES = 1 << 17
+#: Bytes of a worker's table of words.
+CACHE_BYTES = 48 << 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -116,7 +117,7 @@ class Meter:
                                      special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=self.pieces_path)
         self.is_byte = frozenset(i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i))
-        self.words = Cache2(self.word, CACHE_ENTRIES)
+        self.words = Cache2(self.word, CACHE_BYTES)
 
     def word(self, word: bytes) -> tuple[bytes, bytes]:
         """(hash, pieces, byte pieces) packed; packed ids."""
@@ -176,8 +177,6 @@ def in_band(m: dict, band: Band) -> bool:
             and m["entropy"] >= band.entropy)
 
 
-_METERS: dict[tuple, Meter] = {}
-
 _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 _DOUBLES = ("tokens_per_word", "chars_per_token", "byte_share", "top_share", "entropy")
 
@@ -198,10 +197,7 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang",
     bands = BANDS if bands is None else bands
 
     def run(b):
-        if files not in _METERS:
-            _METERS.clear()
-            _METERS[files] = Meter(*files)
-        meter = _METERS[files]
+        meter = held(("fertility", *files), lambda: Meter(*files))
         texts = b.column(text_col).to_pylist()
         langs = b.column(lang_col).to_pylist() if lang_col else [None] * len(texts)
         out = {k: [] for k in (*_LONGS, *_DOUBLES, "script", "base_failed", "kept")}

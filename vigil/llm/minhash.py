@@ -19,13 +19,12 @@ meet all of it, block by block. No bucket, cluster or partner list is capped.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import WORD, Cache2, arrow_map, packed, written
+from vigil.llm.common import WORD, Cache2, arrow_map, held, packed, written
 from vigil.llm.graph import connected
 
 SHINGLE, PERCENT = 5, 80
@@ -33,7 +32,8 @@ SHINGLE, PERCENT = 5, 80
 HALVES, TUPLE = 20, 4
 #: A block holds about so many sets and so many hashes at most.
 BLOCK_SETS, BLOCK_HASHES = 1024, 1 << 20
-CACHE_ENTRIES = 1 << 17
+#: Bytes of a worker's table of word hashes.
+CACHE_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(20)
 _MUL = (_RNG.integers(0, 2 ** 32, 2 * HALVES * TUPLE, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -41,7 +41,6 @@ _ADD = _RNG.integers(0, 2 ** 32, 2 * HALVES * TUPLE, dtype=np.uint32)[:, None]
 _MIX = _RNG.integers(0, 2 ** 63, TUPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _RNG.integers(0, 2 ** 63, 2 * HALVES, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 2 ** 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = Cache2(xxhash.xxh3_64_intdigest, CACHE_ENTRIES)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,7 +56,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
+    table = held("words", lambda: Cache2(xxhash.xxh3_64_intdigest, CACHE_BYTES))
+    h = np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=n)
     k = min(n, size)
     m = n - k + 1
     out = np.full(m, np.uint64(k * 0xD6E8FEB86659FD93 % 2 ** 64))
@@ -146,7 +146,9 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray,
 
 def _verified(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(a, b): spanning forests of the groups' links. Rows: keys, node, set, query."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group):
+        import pandas as pd  # here alone: the other tasks do without its memory
+
         sets = [np.frombuffer(s, dtype=np.uint64) for s in group["set"]]
         found = block_links(group["node"].to_numpy(), sets, group["query"].to_numpy(dtype=bool), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")

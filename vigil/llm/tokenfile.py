@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import CUT, Cache2, range_bounds, range_of, ranges_for, shared_path, written
+from vigil.llm.common import CUT, Cache2, held, range_bounds, range_of, ranges_for, shared_path, written
 
 MAGIC = b"VTOK1\n"
 #: A file is closed when its streams reach so many bytes; a larger document has a file of its own.
 FILE_BYTES = 8 << 20
-CACHE_ENTRIES = 1 << 17
+CACHE_BYTES = 64 << 20
 CACHE_CHARS = 48
 
 _CUT = re.compile(rf"(?={CUT.pattern})")
@@ -89,8 +89,8 @@ class Tokens:
         self.by_space = self._cuts_at_spaces(definition)
         added = [] if special_as_text else [a["content"] for a in json.loads(definition).get("added_tokens") or []]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.runs = Cache2(self.run, CACHE_ENTRIES)
-        self.hard = Cache2(self.whole, CACHE_ENTRIES >> 2)
+        self.runs = Cache2(self.run, CACHE_BYTES)
+        self.hard = Cache2(self.whole, CACHE_BYTES >> 2)
 
     @staticmethod
     def _cuts_at_spaces(definition: str) -> bool:
@@ -131,15 +131,8 @@ class Tokens:
         return b"".join(out)
 
 
-_TOKENS: dict[tuple, Tokens] = {}
-
-
 def tokens_of(definition: str, special_as_text: bool) -> Tokens:
-    key = (hash(definition), special_as_text)
-    if key not in _TOKENS:
-        _TOKENS.clear()
-        _TOKENS[key] = Tokens(definition, special_as_text)
-    return _TOKENS[key]
+    return held(("tokens", hash(definition), special_as_text), lambda: Tokens(definition, special_as_text))
 
 
 def tokenised(docs: DataFrame, definition: str, end_id: int | None, bounds: list[int],
