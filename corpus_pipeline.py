@@ -49,7 +49,7 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.unpack(bpe.encode(docs, ranks, P.PATTERN, drop_text=True))
+    return bpe.encode(docs, ranks, P.PATTERN, drop_text=True, lists=True)
 
 
 STAGES = [
