@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.operators import drift as D
@@ -94,3 +95,59 @@ def test_every_numeric_feature_is_binned(spark):
         cols = [d[0] for d in res.description]
         assert rows_of(df.columns, rows) == rows_of(cols, res.fetchall())
     assert {r[1] for r in rows} == set(LOG_NUMERIC)
+
+
+def test_wide_feature_by_category_rows(spark):
+    """A feature with a value per row: PSI and chi-square by rows equal the array form, and no plan gathers categories."""
+    from vigil.operators import categories as C
+    rng = np.random.default_rng(5)
+    old = [("m" if i % 3 else "n", str(int(x)), float(i)) for i, x in enumerate(rng.integers(0, 300, 2000))]
+    new = [("m" if i % 4 else "n", None if x > 395 else str(int(x)), float(i)) for i, x in enumerate(rng.integers(100, 400, 900))]
+    names = "model_name string, c string, probability double"
+    ref_rows, recent = spark.createDataFrame(old, names), spark.createDataFrame(new, names)
+    ref = S.reference_stats(ref_rows, ["model_name"], (), ["c"], None)
+    arrays = {r["model_name"]: r for r in D.feature_drift(recent, ref, ["model_name"], (), ["c"], None).collect()}
+    rows = C.category_drift(recent, C.category_dictionary(ref_rows, ["model_name"], ["c"]), ["model_name"], ["c"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("array_position", "collect_list", "collect_set", "map_from_entries"))
+    got = {r["model_name"]: r for r in rows.collect()}
+    assert set(got) == set(arrays) == {"m", "n"}
+    for m, r in got.items():
+        a = arrays[m]
+        assert abs(r["score"] - a["score"]) < 1e-9 and r["severity"] == a["severity"]
+        assert r["unknown_count"] == a["unknown_count"] > 0 and r["n_categories"] == len(a["categories"])
+        assert abs(r["chi_square_stat"] - a["chi_square_stat"]) < 1e-6 * a["chi_square_stat"]
+        assert abs(r["chi_square_p_value"] - a["chi_square_p_value"]) < 1e-9
+
+
+def test_category_rows_odd_inputs(spark):
+    """Null groups, features without reference or recent values, empty tables."""
+    from vigil.operators import categories as C
+    names = "g string, a string, b string"
+    ref = spark.createDataFrame([(None, "x", None), (None, "y", None), ("k", "x", "z")], names)
+    recent = spark.createDataFrame([(None, "x", "q"), (None, None, "q"), ("k", "w", None)], names)
+    d = C.category_dictionary(ref, ["g"], ["a", "b"])
+    got = {(r["g"], r["feature"]): r for r in C.category_drift(recent, d, ["g"], ["a", "b"]).collect()}
+    assert {k: (r["n_categories"], r["unknown_count"]) for k, r in got.items() if k[0] == "k"} == {
+        ("k", "a"): (1, 1), ("k", "b"): (1, 1)}
+    assert got["k", "a"]["score"] == 0 and got["k", "a"]["chi_square_stat"] is None
+    none = C.category_drift(recent.limit(0), d, ["g"], ["a"])
+    assert none.count() == 0
+    lost = C.category_drift(recent, d.limit(0), ["g"], ["a"]).collect()
+    assert lost and all(r["severity"] == "unknown" and r["score"] == 0 for r in lost)
+
+
+def test_wide_features_join_the_drift_check(spark):
+    from vigil.operators import categories as C
+    rows = [("m", i, float(i % 7), str(i % 50), 0.01 * (i % 90)) for i in range(400)]
+    names = "model_name string, id long, v double, user string, probability double"
+    log = spark.createDataFrame(rows, names).withColumn("created_at", F.timestamp_seconds(F.col("id")))
+    recent = log.withColumn("user", F.concat(F.lit("new"), "user"))
+    ref = S.reference_stats(log, ["model_name"], ["v"], (), "probability")
+    d = C.category_dictionary(log, ["model_name"], ["user"])
+    plain, _ = D.drift_analyze(recent, ref, ["model_name"], ["v"], ())
+    summary, feats = D.drift_analyze(recent, ref, ["model_name"], ["v"], (), wide=["user"], dictionary=d)
+    assert plain.first()["severity"] == "normal"
+    row = feats.where("feature = 'user'").first()
+    assert row["unknown_count"] == 200 and row["kind"] == "categorical"
+    assert summary.first()["n_features"] == plain.first()["n_features"] + 1

@@ -20,6 +20,11 @@ from vigil.operators.joins import attach, join_small, materialize_small
 from vigil.operators.stats import to_long
 
 
+# Why a feature has no score.
+NO_BINS = "Missing reference bins or distribution."
+NO_CATEGORIES = "Missing reference categories or distribution."
+
+
 def recent_window(log: DataFrame, group_cols, n: int | None = RECENT_WINDOW_SIZE, ts_col: str = "created_at",
                   id_col: str = "id") -> DataFrame:
     """Newest ``n`` rows per group (ties on time broken by id, newest first); ``n=None`` keeps all.
@@ -97,6 +102,8 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
         F.when(is_cat & ~F.col("_empty") & chi_square_defined(exp_, act_), chi_square_stat(exp_, act_))
         .alias("chi_square_stat"),
         (F.size("expected_distribution") - 1).alias("_dof"),
+        F.when(F.col("_empty") & (F.col("ref_kind") == "numeric"), F.lit(NO_BINS))
+        .when(F.col("_empty") & is_cat, F.lit(NO_CATEGORIES)).alias("reason"),
     )
     res = res.withColumn("severity", F.when(F.col("_empty"), F.lit("unknown")).otherwise(
         severity_from_score("score", warning, critical)))
@@ -104,7 +111,7 @@ def drift_from_counts(per_slot: DataFrame, reference: DataFrame, groups: DataFra
     res = res.withColumn("chi_square_p_value", F.when(F.col("chi_square_stat").isNotNull(),
                                                       chi2_sf(F.col("chi_square_stat"), F.col("_dof"))))
     return res.select(*keys, "kind", "score", "severity", "bins", "categories", "expected_distribution",
-                      "actual_distribution", "unknown_count", "chi_square_stat", "chi_square_p_value")
+                      "actual_distribution", "unknown_count", "chi_square_stat", "chi_square_p_value", "reason")
 
 
 def feature_drift(recent: DataFrame, reference: DataFrame, group_cols, numeric=(), categorical=(),
@@ -130,19 +137,21 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
                   prob_col: str | None = "probability", window: int | None = RECENT_WINDOW_SIZE,
                   min_samples: int = MIN_SAMPLES, ts_col: str = "created_at", id_col: str = "id",
                   warning: float = WARNING_THRESHOLD, critical: float = CRITICAL_THRESHOLD,
-                  ref_group_cols=None) -> tuple[DataFrame, DataFrame]:
+                  ref_group_cols=None, wide=(), dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Grouped drift check. Returns ``(summary, features)``.
 
     summary: one row per group with sample_size, min_required_samples, severity
     (``insufficient_data`` below the minimum), overall_score = max of feature and
     output scores (0.0 start). features: ``feature_drift`` rows of the groups with
-    enough samples.
+    enough samples. Features in ``wide`` are compared by the category rows of ``dictionary``
+    (``categories.category_dictionary``): they may have any number of categories and have no arrays in the result.
     """
     g = list(group_cols)
     if not g:  # one implicit group
         log, reference = log.withColumn("_all", F.lit(1)), reference.withColumn("_all", F.lit(1))
+        dictionary = None if dictionary is None else dictionary.withColumn("_all", F.lit(1))
         summary, feats = drift_analyze(log, reference, ["_all"], numeric, categorical, prob_col, window,
-                                       min_samples, ts_col, id_col, warning, critical, ref_group_cols=["_all"])
+                                       min_samples, ts_col, id_col, warning, critical, ["_all"], wide, dictionary)
         return summary.drop("_all"), feats.drop("_all")
     rg = g if ref_group_cols is None else list(ref_group_cols)
     recent = recent_window(log, g, window, ts_col, id_col)
@@ -156,6 +165,11 @@ def drift_analyze(log: DataFrame, reference: DataFrame, group_cols, numeric=(),
              .agg(F.sum("_n").cast("long").alias("sample_size")))
     enough = sizes.where(F.col("sample_size") >= min_samples).select(*g)
     feats = drift_from_counts(per_slot, ref, enough, g, warning, critical, ref_group_cols=rg)
+    if wide:
+        from vigil.operators.categories import category_drift
+        more = category_drift(recent, dictionary, g, wide, enough, rg, warning, critical)
+        feats = feats.unionByName(more.withColumn("kind", F.lit("categorical")).withColumn("reason", F.when(
+            F.col("n_categories") == 0, F.lit(NO_CATEGORIES))).drop("n_categories", "dof"), allowMissingColumns=True)
     # small (groups x features) and read by the summary and by every caller that also wants the rows
     feats = materialize_small(feats)
     best = feats.groupBy(*g).agg(
@@ -181,11 +195,10 @@ def drift_report(summary: DataFrame, features: DataFrame, group_cols) -> DataFra
     g = list(group_cols)
     feat_struct = F.struct(
         "feature", "kind", "score", "severity",
-        F.map_from_entries(F.array(
-            F.struct(F.lit("unknown_count"), F.col("unknown_count").cast("string")),
-            F.struct(F.lit("chi_square_stat"), F.col("chi_square_stat").cast("string")),
-            F.struct(F.lit("chi_square_p_value"), F.col("chi_square_p_value").cast("string")),
-        )).alias("details"))
+        F.create_map(*[x for name, value in (
+            *[(c, F.col(c).cast("string")) for c in ("unknown_count", "chi_square_stat", "chi_square_p_value", "reason")],
+            *[(c, F.to_json(c)) for c in ("bins", "categories", "expected_distribution", "actual_distribution")])
+            for x in (F.lit(name), value)]).alias("details"))
     per = features.groupBy(*g).agg(
         F.array_sort(F.collect_list(F.when(F.col("feature") != "__output__",
                                            F.struct(F.col("feature").alias("_k"), feat_struct.alias("f")))),

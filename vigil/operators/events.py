@@ -53,12 +53,14 @@ def drift_events(summary: DataFrame, features: DataFrame, group_cols, order_cols
     return ev.withColumn("payload", F.to_json(F.struct(*[c for c in ev.columns])))
 
 
-def report_rows(reports: DataFrame, key_cols, report_col: str = "drift_report") -> DataFrame:
-    """Explode a report into one row per feature (reports without features keep one null row)."""
+def report_rows(reports: DataFrame, key_cols, report_col: str = "drift_report", details=()) -> DataFrame:
+    """Explode a report into one row per feature (reports without features keep one null row). ``details``: names of
+    further details to show, as the strings they are kept as."""
     k = list(key_cols)
     return (reports.select(*k, F.explode_outer(F.col(f"{report_col}.features")).alias("f"))
             .select(*k, "f.feature", "f.kind", "f.score", "f.severity",
-                    F.coalesce(F.col("f.details")["reason"], F.lit("")).alias("reason")))
+                    F.coalesce(F.col("f.details")["reason"], F.lit("")).alias("reason"),
+                    *[F.col("f.details")[d].alias(d) for d in details]))
 
 
 def drifted_features(report: Column, min_severity: str = "warning") -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.drift import MIN_SAMPLES
+from vigil.operators import categories as C
 from vigil.operators import drift as D
 from vigil.operators import stats as S
 from vigil.plans.registry import query, r6
 from vigil.plans import sqlparts
 from vigil.plans.sqlparts import (LOG_CTE, drift_cte, reference_cte, sql_bin,
                                   sql_chi, sql_lstr)
-from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, prediction_log, recent_rows, reference_rows
+from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, LOG_WIDE, prediction_log, recent_rows, reference_rows
 
 G = ["model_name"]
 
@@ -84,22 +86,25 @@ def psi_numeric(spark, sf_dir):
     return feats.where(F.col("kind") == "numeric").select(*G, "feature", r6("score").alias("psi"))
 
 
+def _category_drift(spark, sf_dir, features=LOG_CATEGORICAL, window=200):
+    """Categorical drift per model, from the reference's category rows; models with enough recent rows."""
+    log = prediction_log(spark, sf_dir)
+    recent = D.recent_window(recent_rows(log), G, window)
+    enough = recent.groupBy(*G).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SAMPLES).select(*G)
+    return C.category_drift(recent, C.category_dictionary(reference_rows(log), G, features), G, features, enough)
+
+
 @query("psi_categorical", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')}, {drift_cte('model_name')} "
        "SELECT model_name, feature, round(score, 6) AS psi, unknown_count FROM feat WHERE kind = 'categorical'")
 def psi_categorical(spark, sf_dir):
-    _, feats = _drift(spark, sf_dir)
-    return feats.where(F.col("kind") == "categorical").select(*G, "feature", r6("score").alias("psi"),
-                                                              "unknown_count")
+    return _category_drift(spark, sf_dir).select(*G, "feature", r6("score").alias("psi"), "unknown_count")
 
 
 @query("chi_square", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')}, {drift_cte('model_name')} "
        f"SELECT model_name, feature, round({sql_chi('expected', 'actual')}, 6) AS chi_square_stat, "
        "len(expected) - 1 AS dof FROM feat WHERE kind = 'categorical'")
 def chi_square(spark, sf_dir):
-    _, feats = _drift(spark, sf_dir)
-    return feats.where(F.col("kind") == "categorical").select(
-        *G, "feature", r6("chi_square_stat").alias("chi_square_stat"),
-        (F.size("expected_distribution") - 1).alias("dof"))
+    return _category_drift(spark, sf_dir).select(*G, "feature", r6("chi_square_stat").alias("chi_square_stat"), "dof")
 
 
 @query("numeric_profile", sql=f"""WITH {LOG_CTE},
@@ -205,12 +210,40 @@ def bin_assign_all(spark, sf_dir):
        f"{sql_lstr('actual')} AS actual_distribution, unknown_count "
        "FROM feat JOIN ref_dict d USING (model_name, feature) WHERE feat.kind = 'categorical'")
 def category_counts(spark, sf_dir):
-    """Recent counts over the reference categories, zero-filled, plus the unknown count."""
-    log, ref = _reference(spark, sf_dir)
-    _, feats = D.drift_analyze(recent_rows(log), ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", window=None)
-    return feats.where(F.col("kind") == "categorical").select(
-        *G, "feature", F.array_join("categories", ",").alias("categories"),
-        lstr("actual_distribution").alias("actual_distribution"), "unknown_count")
+    """Recent counts over the reference categories, zero-filled, plus the unknown count; listed per feature by frequency."""
+    log = prediction_log(spark, sf_dir)
+    recent = recent_rows(log)
+    enough = recent.groupBy(*G).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SAMPLES).select(*G)
+    rows = C.compare_categories(C.recent_category_counts(recent, G, LOG_CATEGORICAL),
+                                C.category_dictionary(reference_rows(log), G, LOG_CATEGORICAL), enough, G)
+    known = F.struct((-F.col("reference_count")).alias("n"), "category", "recent_count")
+    lists = rows.groupBy(*G, "feature").agg(
+        F.array_sort(F.collect_list(F.when(F.col("known"), known))).alias("x"),
+        F.sum(F.when(~F.col("known"), F.col("recent_count")).otherwise(0)).alias("unknown_count"))
+    return lists.select(*G, "feature", F.array_join("x.category", ",").alias("categories"),
+                        lstr("x.recent_count").alias("actual_distribution"), "unknown_count")
+
+
+@query("category_rows", sql=f"WITH {LOG_CTE}, {sqlparts.category_cte()} "
+       "SELECT model_name, feature, category, reference_count, recent_count, known FROM cmp")
+def category_rows(spark, sf_dir):
+    """The category dictionary as rows against the whole recent period, for a narrow and a wide feature (every user)."""
+    log = prediction_log(spark, sf_dir)
+    recent, features = recent_rows(log), [*LOG_CATEGORICAL, *LOG_WIDE]
+    return C.compare_categories(C.recent_category_counts(recent, G, features),
+                                C.category_dictionary(reference_rows(log), G, features), recent.select(*G).distinct(), G)
+
+
+@query("category_drift", sql=f"WITH {LOG_CTE}, {sqlparts.category_cte()} "
+       "SELECT model_name, feature, n_categories, round(score, 6) AS score, "
+       f"{sqlparts.sql_sev('score')} AS severity, unknown_count, round(chi, 6) AS chi_square_stat, "
+       f"CAST(n_categories - 1 AS INTEGER) AS dof, round({sqlparts.sql_chi2_tail('chi', '(n_categories - 1)')}, 6) + 0.0 "
+       "AS chi_square_p_value FROM cat_feat")
+def category_drift(spark, sf_dir):
+    """PSI, chi-square and its p-value per model for a narrow and a wide feature, whole recent period."""
+    return _category_drift(spark, sf_dir, [*LOG_CATEGORICAL, *LOG_WIDE], None).select(
+        *G, "feature", "n_categories", r6("score").alias("score"), "severity", "unknown_count",
+        r6("chi_square_stat").alias("chi_square_stat"), "dof", r6("chi_square_p_value").alias("chi_square_p_value"))
 
 
 @query("recent_per_model", sql=f"""WITH {LOG_CTE}
@@ -299,6 +332,31 @@ def drift_report_rows(spark, sf_dir):
                                                  "severity", "reason")
 
 
+# The stored reference of one model has lost the bins of a feature, that of another its categories.
+_LOST = {"error": "k", "click": "user_segment"}
+
+
+@query("drift_report_reasons", sql=f"WITH {LOG_CTE}, {reference_cte('model_name')}, {drift_cte('model_name', None)} "
+       "SELECT model_name, feature, kind, CASE WHEN lost THEN 0.0 ELSE round(score, 6) END AS score, "
+       "CASE WHEN lost THEN 'unknown' ELSE severity END AS severity, CASE WHEN lost AND kind = 'numeric' THEN "
+       f"'{D.NO_BINS}' WHEN lost THEN '{D.NO_CATEGORIES}' ELSE '' END AS reason, "
+       f"CASE WHEN NOT lost THEN {sql_lstr('expected')} END AS expected "
+       "FROM (SELECT *, " + " OR ".join(f"(model_name = '{m}' AND feature = '{f}')" for m, f in _LOST.items())
+       + " AS lost FROM feat WHERE feature <> '__output__')")
+def drift_report_reasons(spark, sf_dir):
+    """Report rows of a reference that lacks bins or categories: score 0, severity unknown, and the reason in the details."""
+    from vigil.operators.events import report_rows
+    log, ref = _reference(spark, sf_dir)
+    lost = F.coalesce(F.create_map(*[F.lit(x) for kv in _LOST.items() for x in kv])[F.col("model_name")] == F.col("feature"),
+                      F.lit(False))
+    for c in ("bins", "categories", "reference_distribution"):
+        ref = ref.withColumn(c, F.when(~lost, F.col(c)))
+    summary, feats = D.drift_analyze(recent_rows(log), ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", window=None)
+    rows = report_rows(D.drift_report(summary, feats, G), G, details=("expected_distribution",))
+    expected = F.array_join(F.from_json("expected_distribution", "array<bigint>"), ",")
+    return rows.select(*G, "feature", "kind", r6("score").alias("score"), "severity", "reason", expected.alias("expected"))
+
+
 @query("drifted_features", sql=f"WITH {sqlparts.checks_cte()} SELECT c.check_id, coalesce((SELECT string_agg("
        "f.feature, ',' ORDER BY f.feature) FROM feat f WHERE f.model_name = c.model_name AND f.window_start = "
        "c.window_start AND f.feature <> '__output__' AND f.severity IN ('warning', 'critical')), '') AS drifted "

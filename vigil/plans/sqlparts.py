@@ -53,7 +53,7 @@ LOG_CTE = """
 log AS (
   SELECT event_id AS id, event_type AS model_name, user_id % 10 AS segment, ts AS created_at, value,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         CAST(user_id % 10 AS VARCHAR) AS user_segment,
+         CAST(user_id % 10 AS VARCHAR) AS user_segment, CAST(user_id AS VARCHAR) AS user_key,
          value / (value + 35.0) AS probability,
          CAST(value / (value + 35.0) >= 0.5 AS INTEGER) AS predicted_class,
          0.5 AS threshold
@@ -104,6 +104,47 @@ ref_dict AS (SELECT * FROM num_ref UNION ALL SELECT * FROM cat_ref UNION ALL SEL
 """
 
 
+def sql_chi2_tail(x: str, k: str, steps: int = 4000) -> str:
+    """Upper tail of chi-square with ``k`` degrees of freedom: one less Simpson's rule over its density on [0, x]."""
+    t = f"({x} * i / {steps})"
+    density = (f"CASE WHEN i = 0 THEN 0.0 ELSE exp(({k} / 2.0 - 1) * ln({t}) - {t} / 2 - {k} / 2.0 * ln(2.0) "
+               f"- lgamma({k} / 2.0)) END")
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"(1 - {x} / {3 * steps} * list_sum(list_transform(range({steps} + 1), "
+            f"lambda i: ({weight}) * ({density}))))")
+
+
+def category_cte(features=("user_segment", "user_key")) -> str:
+    """Whole recent period against the reference period by category: ``cmp`` (a row a category) and ``cat_feat``."""
+    def counts(source, null):
+        return " UNION ALL ".join(f"SELECT model_name, '{f}' AS feature, {null.format(f)} AS category, count(*) AS n "
+                                  f"FROM {source} GROUP BY ALL" for f in features)
+    return f"""
+dict AS ({counts("ref", "coalesce({}, '__missing__')")}),
+seen AS ({counts("rec_all", "{}")}),
+cmp AS (
+  SELECT coalesce(s.model_name, d.model_name) AS model_name, coalesce(s.feature, d.feature) AS feature,
+         coalesce(s.category, d.category) AS category, coalesce(d.n, 0) AS reference_count,
+         coalesce(s.n, 0) AS recent_count, d.n IS NOT NULL AS known
+  FROM seen s FULL OUTER JOIN (SELECT * FROM dict WHERE model_name IN (SELECT model_name FROM rec_all)) d
+    USING (model_name, feature, category)),
+tot AS (
+  SELECT model_name, feature, count(*) FILTER (WHERE known) AS k, sum(reference_count) AS e,
+         sum(CASE WHEN known THEN recent_count ELSE 0 END) AS a,
+         CAST(sum(CASE WHEN known THEN 0 ELSE recent_count END) AS BIGINT) AS unknown_count
+  FROM cmp GROUP BY ALL),
+term AS (
+  SELECT model_name, feature, k, a, unknown_count, recent_count AS o, reference_count / e AS es,
+         CASE WHEN a <= 0 THEN 1.0 / k ELSE recent_count / a END AS s
+  FROM cmp JOIN tot USING (model_name, feature) WHERE known),
+cat_feat AS (
+  SELECT model_name, feature, any_value(k) AS n_categories, any_value(unknown_count) AS unknown_count,
+         sum((greatest(s, 1e-6) - greatest(es, 1e-6)) * ln(greatest(s, 1e-6) / greatest(es, 1e-6))) AS score,
+         sum(pow(o + 1e-6 - (es * greatest(a, 1) + 1e-6), 2) / (es * greatest(a, 1) + 1e-6)) AS chi
+  FROM term GROUP BY ALL)
+"""
+
+
 def drift_cte(g: str, window: int | None = 200, min_samples: int = 30, rg: str | None = None,
               source: str = "rec_all") -> str:
     """Feature rows ``feat`` and per-group ``summary`` of the grouped drift check.

@@ -18,6 +18,7 @@ REFERENCE_END = "2024-01-21 00:00:00"
 PROBABILITY_SHIFT = 35.0
 LOG_NUMERIC = ["value", "k"]
 LOG_CATEGORICAL = ["user_segment"]
+LOG_WIDE = ["user_key"]  # a categorical feature with as many values as there are users
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         (F.col("user_id") % 10).cast("string").alias("user_segment"),
+        F.col("user_id").cast("string").alias("user_key"),
         p.alias("probability"),
         (p >= 0.5).cast("int").alias("predicted_class"),
         F.lit(0.5).alias("threshold"),
