@@ -7,7 +7,9 @@ of at least 0.8 share T = ceil(0.8 n) hashes of each, so three exact filters com
    twice themselves, and send each other hash once to its bucket; a class goes on if enough of its prefix is shared;
 2. of a class's hashes, T must be in some other class. The number of classes that hold a hash is the length of its
    inverted list; the n - T + 1 shortest lists of a class are its short ones, and linked classes share a short list;
-3. classes that share a short list, directly or over others, form a cluster; clusters are cut into blocks.
+3. the lists of one leader, their least class, make a group: linked classes meet in the group of a list that they share.
+   A group of many classes is cut into blocks; every block is searched together with the first, and classes that this
+   leaves apart from the first block's largest component are searched in all blocks.
 
 In a block the inverted lists are built, and every set searches them: the longest lists are set aside, a heap merges
 the others and skips to the first set that can still occur often enough, and the sets it returns are looked up in the
@@ -20,7 +22,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 from math import log2
 
 import numpy as np
@@ -134,32 +136,32 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     """(entry, lists that hold it) of the ascending ``lists`` for every entry in ``need`` of them or more."""
     k = len(lists)
-    at = [0] * k
+    at, ends = [0] * k, list(map(len, lists))
     heap = [x[0] * k + i for i, x in enumerate(lists)]
     heapify(heap)
     found = []
     while len(heap) >= need:
-        top = heap[0] // k
-        popped = []
-        while heap and heap[0] // k == top:
-            popped.append(heappop(heap) % k)
-        if len(popped) >= need:
-            found.append((top, len(popped)))
+        until = (heap[0] // k + 1) * k
+        times = 0
+        while heap and heap[0] < until:
+            i = heap[0] % k
+            times += 1
+            at[i] = j = at[i] + 1
+            if j < ends[i]:
+                heapreplace(heap, lists[i][j] * k + i)
+            else:
+                heappop(heap)
+        if times >= need:
+            found.append((until // k - 1, times))
+        elif need > 2 and len(heap) >= need and heap[need - 1] >= until + k:
+            # nothing below the entry that need - 1 lists stand before can be in enough of them
+            popped = [heappop(heap) % k for _ in range(need - 1)]
+            least = heap[0] // k
             for i in popped:
-                at[i] += 1
-                if at[i] < len(lists[i]):
-                    heappush(heap, lists[i][at[i]] * k + i)
-            continue
-        # no entry below the one that need - 1 lists stand before can be in enough of them
-        while len(popped) < need - 1 and heap:
-            popped.append(heappop(heap) % k)
-        if not heap:
-            break
-        until = heap[0] // k
-        for i in popped:
-            at[i] = bisect_left(lists[i], until, at[i])
-            if at[i] < len(lists[i]):
-                heappush(heap, lists[i][at[i]] * k + i)
+                x = lists[i]
+                at[i] = j = bisect_left(x, least, at[i])
+                if j < ends[i]:
+                    heappush(heap, x[j] * k + i)
     return found
 
 
@@ -225,14 +227,48 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray,
     return found
 
 
+def stars(links: list[tuple[int, int]]) -> dict[int, int]:
+    """Node -> least node of its component, for every node of the links."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
 def _searched(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(a, b): spanning forests of the groups' links. Rows: keys, cluster, node, set, query."""
+    """(a, b): every node that the groups' links reach and the least node of its component; (cls, null) for each class
+    of a block (``block`` > 0) that is left apart from the largest component of the first block. Rows: keys, leader,
+    block, cls, node, set, query."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, g in group.groupby("cluster", sort=False):
-            found += block_links(g["node"].to_numpy(), [np.asarray(s).view(np.uint64) for s in g["set"]],
-                                 g["query"].to_numpy(dtype=bool), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found, apart = [], []
+        for _, g in group.groupby("leader", sort=False):
+            nodes, queries = g["node"].to_numpy(), g["query"].to_numpy(dtype=bool)
+            sets = [np.asarray(s).view(np.uint64) for s in g["set"]]
+            block = g["block"].to_numpy()
+            if block.max() == 0:
+                found += stars(block_links(nodes, sets, queries, percent)).items()
+                continue
+            # the first block by itself names its largest component, the same in every task that holds this block
+            first = np.flatnonzero(block == 0)
+            links = block_links(nodes[first], [sets[i] for i in first], queries[first], percent)
+            comp = stars(links)
+            names, times = np.unique([comp.get(n, n) for n in nodes[first].tolist()], return_counts=True)
+            joined = np.array([comp.get(n, n) for n in nodes.tolist()])
+            comp = stars(links + block_links(joined, sets, queries, percent))
+            found += comp.items()
+            main = names[np.argmax(times)] if len(names) else None
+            apart += [c for c, n, k in zip(g["cls"].tolist(), nodes.tolist(), block.tolist())
+                      if k > 0 and (main is None or comp.get(n, n) != comp.get(main, main))]
+        return pd.DataFrame({"a": pd.array([a for a, b in found if a != b] + apart, dtype="Int64"),
+                             "b": pd.array([b for a, b in found if a != b] + [None] * len(apart), dtype="Int64")})
 
     return groups.groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
 
@@ -284,42 +320,38 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, twice
 
     lists = _short_lists(sets, percent)
     leaders = lists.groupBy("h").agg(F.min("cls").alias("leader"), F.max("cls").alias("z")).filter("leader < z").drop("z")
-    edges = lists.join(leaders, "h").filter("cls > leader").select("leader", "cls").distinct()
-    cluster = connected(edges, "leader", "cls", "join-clusters")
-    members = sets.join(cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls")
-    per = members.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("n_blocks"),
-                                         F.sum("n_shingles").alias("hashes"))
+    groups = written(lists.join(leaders, "h").select("leader", "cls").distinct(), "join-groups")
+    size = sets.select("cls", "n_shingles")
+    per = groups.join(size, "cls").groupBy("leader").agg(
+        _blocks(F.count("*"), F.sum("n_shingles")).alias("n_blocks"), F.sum("n_shingles").alias("hashes"))
     per = written(per, "join-sizes")
-    packs = max(1, (per.filter("n_blocks = 1").agg(F.sum("hashes")).first()[0] or 0) // BLOCK_HASHES)
-    pack = F.when(F.col("n_blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster"))
-    members = written(members.join(per.drop("hashes"), "cluster").select(
-        "cluster", pack.alias("pack"), "n_blocks", F.pmod(F.xxhash64("cls"), "n_blocks").cast("int").alias("block"),
-        "cls", "node", "n_shingles", "set"), "join-members")
-
-    # each block within itself and with the first one; small clusters share a task
+    small = per.agg(F.sum(F.when(F.col("n_blocks") == 1, F.col("hashes"))).alias("hashes"), F.max("n_blocks").alias("most")).first()
+    packs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), (small["hashes"] or 0) // BLOCK_HASHES)
+    pack = F.when(F.col("n_blocks") == 1, -1 - F.pmod(F.xxhash64("leader"), F.lit(packs))).otherwise(F.col("leader"))
+    members = groups.join(per.drop("hashes"), "leader").select(
+        "leader", pack.alias("pack"), "n_blocks", "cls",
+        F.pmod(F.xxhash64("cls", "leader"), "n_blocks").cast("int").alias("block")).join(sets, "cls")
+
+    # each block within itself and with the first one; small groups share a task
     place = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))
-    first = _searched(members.select("cluster", "pack", F.explode(place).alias("group"), "node", "set",
-                                     F.lit(True).alias("query")), ["pack", "group"], percent)
+    first = _searched(members.select("leader", "block", "pack", F.explode(place).alias("part"), "cls", "node", "set",
+                                     F.lit(True).alias("query")), ["pack", "part"], percent)
     first = written(first, "join-links")
-
-    # what is not in the largest component of a cluster of several blocks, with all of that cluster
-    comp = connected(first, "a", "b", "join-first")
+    found = first.filter("b IS NOT NULL")
+    if (small["most"] or 0) < 2:
+        return found
+    # what is apart from the largest component of a first block, with all of its group
     big = members.filter("n_blocks > 1")
-    named = big.select("cluster", "cls", "node", "n_shingles").join(comp, "node", "left").withColumn(
-        "comp", F.coalesce("component", "node"))
-    counts = named.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    out = named.join(main, "cluster").filter("comp != main").select("cluster", "cls", "n_shingles")
-    parts = out.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("n_out"))
-    queries = (big.join(out.select("cls"), "cls", "left_semi").join(parts, "cluster")
-               .withColumn("part", F.pmod(F.xxhash64("cls"), "n_out").cast("int"))
-               .select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("group"), "node",
-                       "set", F.lit(True).alias("query")))
-    targets = (big.join(parts, "cluster")
-               .select("cluster", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("part"),
-                       F.col("block").alias("group"), "node", "set", F.lit(False).alias("query")))
-    second = _searched(queries.union(targets), ["cluster", "part", "group"], percent)
-    return first.union(second)
+    out = big.filter("block > 0").join(first.filter("b IS NULL").select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
+    out = written(out.select("leader", "cls", "n_shingles", "node", "set", "n_blocks"), "join-apart")
+    parts = written(out.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("n_out")), "join-parts")
+    queries = (out.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("cls"), "n_out").cast("int"))
+               .select("leader", F.lit(0).alias("block"), "part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"),
+                       "cls", "node", "set", F.lit(True).alias("query")))
+    targets = (big.join(parts, "leader").select(
+        "leader", F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("part"),
+        F.col("block").alias("other"), "cls", "node", "set", F.lit(False).alias("query")))
+    return found.union(_searched(queries.union(targets), ["leader", "part", "other"], percent).filter("b IS NOT NULL"))
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
