@@ -10,7 +10,7 @@ from vigil.operators import stats as S
 from vigil.operators import validate as V
 from vigil.plans.drift_q import G, checks
 from vigil.plans.registry import query, r6
-from vigil.plans.sqlparts import LOG_CTE, checks_cte, drift_cte, events_cte, reference_cte
+from vigil.plans.sqlparts import LOG_CTE, checks_cte, drift_cte, events_cte, reference_cte, sql_lstr
 from vigil.sources.standins import LOG_CATEGORICAL, LOG_NUMERIC, PROBABILITY_SHIFT, prediction_log, reference_rows
 from vigil.streaming import ops as SO
 from vigil.streaming.runner import epoch_writer, read_latest, run_to_table
@@ -139,20 +139,41 @@ def stream_contract_check(spark, sf_dir):
 @query("stream_drift", sql="WITH " + LOG_CTE + ", " + reference_cte("model_name") + ", " + drift_cte("model_name", 200, 30, source="log")
        + " SELECT 0 AS epoch, model_name, sample_size, severity, round(overall_score, 6) AS overall_score FROM summary")
 def stream_drift(spark, sf_dir):
-    """Continuous drift check: each micro-batch is added to the prediction log (a folder an epoch, by day) and the
-    newest 200 rows per model of the log are checked against the reference; one check row per model per batch."""
-    from vigil.sources.sinks import predictions_with_day, write_epoch
-    log = prediction_log(spark, sf_dir)
-    ref = S.reference_stats(reference_rows(log), G, LOG_NUMERIC, LOG_CATEGORICAL, "probability").persist()
+    """Continuous drift check: the state is the newest 200 rows per model; each micro-batch is added to the prediction log
+    and one check row per model is written."""
+    return _stream_checks(spark, sf_dir).select("epoch", *G, "sample_size", "severity",
+                                                r6("overall_score").alias("overall_score"))
+
 
-    def check(batch, epoch, out):
-        write_epoch(predictions_with_day(batch), f"{out}/log", epoch)
-        table = spark.read.parquet(f"{out}/log").where(F.col("epoch") <= epoch).drop("epoch")
-        summary, _ = D.drift_analyze(table, ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability", window=200)
-        summary.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/checks/epoch={epoch}")
-    out = run_to_table(_log_stream(spark, sf_dir), "stream-drift", foreach_batch=check)
-    return spark.read.parquet(out + "/checks").select("epoch", *G, "sample_size", "severity",
-                                                      r6("overall_score").alias("overall_score"))
+def _stream_checks(spark, sf_dir):
+    log = prediction_log(spark, sf_dir)
+    ref = S.reference_stats(reference_rows(log), G, LOG_NUMERIC, LOG_CATEGORICAL, "probability")
+    out = run_to_table(_log_stream(spark, sf_dir), "stream-drift", foreach_batch=SO.drift_batch(
+        ref, G, LOG_NUMERIC, LOG_CATEGORICAL, "probability"))
+    return spark.read.parquet(out + "/checks")
+
+
+@query("drift_check_log", sql="WITH " + LOG_CTE + ", " + reference_cte("model_name") + ", " + drift_cte("model_name", 200, 30, source="log")
+       + ", made AS (SELECT model_name, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS checked_at FROM rec GROUP BY ALL) "
+       "SELECT s.model_name, s.min_required_samples, 0.10::DOUBLE AS warning_threshold, 0.25::DOUBLE AS critical_threshold, "
+       "checked_at, CAST(checked_at[:10] AS VARCHAR) AS dt, f.feature, round(f.score, 6) AS score, f.severity, "
+       f"{sql_lstr('f.expected')} AS expected, {sql_lstr('f.actual')} AS actual "
+       "FROM summary s JOIN made USING (model_name) LEFT JOIN feat f ON f.model_name = s.model_name AND f.feature <> '__output__'")
+def drift_check_log(spark, sf_dir):
+    """The drift-check table that the continuous check appends to, by feature: thresholds, time, and the report's details."""
+    from vigil.sources.sinks import append_drift_checks
+    from vigil.streaming.runner import scratch_path
+    path = scratch_path(spark, "check-log")
+    append_drift_checks(_stream_checks(spark, sf_dir).drop("epoch"), path)
+    kind = "struct<features:array<struct<feature:string,score:double,severity:string,details:map<string,string>>>>"
+    rows = spark.read.parquet(path).withColumn("f", F.explode_outer(F.from_json("report", kind)["features"]))
+
+    def numbers(name):
+        return F.array_join(F.from_json(F.col("f.details")[name], "array<bigint>"), ",")
+    return rows.select(*G, "min_required_samples", "warning_threshold", "critical_threshold",
+                       F.date_format("checked_at", "yyyy-MM-dd HH:mm:ss").alias("checked_at"), F.col("dt").cast("string").alias("dt"),
+                       "f.feature", r6("f.score").alias("score"), "f.severity", numbers("expected_distribution").alias("expected"),
+                       numbers("actual_distribution").alias("actual"))
 
 
 @query("stream_score")

@@ -24,6 +24,23 @@ def predictions_with_day(df: DataFrame, ts_col: str = "created_at") -> DataFrame
     return df.withColumn("dt", F.to_date(ts_col))
 
 
+def drift_checks(summary: DataFrame, features: DataFrame, group_cols, checked_at: DataFrame, warning: float,
+                 critical: float) -> DataFrame:
+    """Rows of the drift-check table: a group's check with its thresholds, the whole report (features with details, output
+    drift) as JSON, when it was made (``checked_at``: a time a group) and the day, to partition by."""
+    from vigil.operators.drift import drift_report
+    g = list(group_cols)
+    report = drift_report(summary, features, g).withColumn("report", F.to_json("drift_report")).drop("drift_report")
+    return (summary.drop("n_features").join(report, g).join(checked_at, g)
+            .withColumn("warning_threshold", F.lit(warning)).withColumn("critical_threshold", F.lit(critical))
+            .withColumn("dt", F.to_date("checked_at")))
+
+
+def append_drift_checks(checks: DataFrame, path: str) -> None:
+    """Append checks to their table, a folder a day."""
+    append_partitioned(checks, path)
+
+
 def write_versioned(df: DataFrame, path: str, version_col: str = "version") -> None:
     """Snapshot(s) under ``version=<v>`` partitions (dynamic overwrite touches only the versions written)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(version_col).parquet(path)
