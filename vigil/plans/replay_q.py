@@ -194,3 +194,87 @@ def rollback_decide(spark, sf_dir):
     req, registry = _rollback_requests(spark, sf_dir)
     d = P.rollback_decide(req, registry)
     return d.select("request_id", "target_model_version", "previous_stage", "rolled_back", "new_stage")
+
+
+# ---- requests against the ledgers and the registry, committed together ---------------------------------------------
+_AUC = [("auc", 0.5)]
+_STORED = "Stored by an earlier batch."
+
+
+@query("promotion_commit", sql=f"""WITH {_cand_sql()},
+dec AS (SELECT model_version, CAST(model_version AS INTEGER) % 2 = 0 AS stored, coalesce(auc >= 0.5, false)
+  AND prediction_mismatches <= 0 AND max_probability_difference <= 1e-12
+  AND (model_version >= '2000' OR sev = 'normal') AS passed FROM cand)
+SELECT 'promote_' || model_version AS request_id, arrived, stored OR arrived = 2 AS duplicate,
+  CASE WHEN stored THEN true ELSE passed END AS promoted,
+  CASE WHEN stored THEN '{_STORED}' WHEN passed THEN 'Model ''{MODEL}'' version ''' || model_version ||
+    ''' promoted to Production.' ELSE 'Promotion blocked because checklist failed.' END AS message,
+  CASE WHEN stored THEN 'candidate' WHEN passed THEN 'production' END AS registry_stage,
+  CASE WHEN NOT stored AND passed THEN 0.5::DOUBLE END AS selected_threshold,
+  CASE WHEN stored OR passed THEN 1 ELSE 0 END AS registry_rows
+FROM dec CROSS JOIN (VALUES (1), (2)) a(arrived)""")
+def promotion_commit(spark, sf_dir):
+    """Every candidate asks twice, the second time without approval; even years were decided by an earlier batch. One commit
+    holds the new decisions and the registry rows of the promoted versions."""
+    from vigil.operators import decisions as DE
+    from vigil.streaming.runner import scratch_path, written
+    c = written(candidates(spark, sf_dir), "candidates").withColumn("loaded_model_version", F.col("model_version"))
+    c = c.withColumn("artifacts", F.transform_values("artifacts", lambda k, v: F.lit(True))).withColumn(
+        "selected_threshold", F.lit(0.5))
+    tables = DE.decision_tables(spark, scratch_path(spark, "decisions"))
+    even = c.where(F.col("model_version").cast("int") % 2 == 0)
+    _, empty = tables.read()
+    stored = even.select("request_id", "model_name", "model_version", F.lit("promote_to_production").alias("requested_action"),
+                         F.lit("production").alias("target_environment"), F.lit(True).alias("promoted"),
+                         F.lit(_STORED).alias("message"), F.array().cast(P.CHECKS_TYPE).alias("checklist"))
+    held = even.select("model_name", "model_version", F.lit("candidate").alias("model_stage"))
+    tables.commit(-1, {"promotions": stored}, {"registry": empty["registry"].unionByName(held, allowMissingColumns=True)})
+    asked = c.withColumn("arrived", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "human_approved", F.col("arrived") == 1)
+    got = DE.request_promotions(tables, asked, ["arrived"], _AUC)
+    registry = tables.read()[1]["registry"].groupBy("model_version").agg(
+        F.max("model_stage").alias("registry_stage"), F.max("selected_threshold").alias("selected_threshold"),
+        F.count("*").cast("int").alias("registry_rows"))
+    return got.join(registry, "model_version", "left").select(
+        "request_id", "arrived", "duplicate", "promoted", "message", "registry_stage", "selected_threshold",
+        F.coalesce("registry_rows", F.lit(0)).alias("registry_rows"))
+
+
+@query("rollback_commit", sql=f"""WITH {ROLLBACK_SQL},
+r AS (SELECT 'rollback_' || investigation_id || '_' || approval_id || '_' || coalesce(model_version, 'unknown') ||
+  '_production' AS request_id, coalesce(model_version, loaded.v) AS version, reg.stage,
+  CASE WHEN CAST(substr(approval_id, 5) AS BIGINT) % 5 = 0 THEN 'staging' ELSE target_environment END AS env,
+  CAST(substr(approval_id, 5) AS BIGINT) % 3 = 0 AS stored, loaded.v AS loaded
+  FROM req CROSS JOIN loaded LEFT JOIN reg ON reg.v = coalesce(req.model_version, loaded.v)),
+d AS (SELECT *, env = 'production' AND version = loaded AS ok FROM r),
+led AS (SELECT version, min(request_id) AS first_id FROM d WHERE ok AND NOT stored GROUP BY ALL),
+e AS (SELECT d.*, CASE WHEN NOT stored AND request_id > first_id THEN 'production' ELSE stage END AS previous FROM d
+      LEFT JOIN led USING (version))
+SELECT request_id, arrived, stored OR arrived = 2 AS duplicate, version AS model_version,
+  CASE WHEN stored THEN false ELSE ok END AS rolled_back, CASE WHEN stored THEN NULL ELSE previous END AS previous_stage,
+  CASE WHEN stored THEN NULL WHEN ok THEN 'production' ELSE previous END AS new_stage,
+  CASE WHEN stored THEN '{_STORED}' WHEN ok THEN 'Rollback completed. Model ''{MODEL}'' version ''' || version ||
+    ''' is now marked as Production.' WHEN env <> 'production' THEN
+    'Rollback blocked: target_environment must be production.' ELSE 'Rollback blocked: Requested model_version ''' ||
+    version || ''' does not match currently loaded model_version ''' || loaded || '''.' END AS message
+FROM e CROSS JOIN (VALUES (1), (2)) a(arrived)""")
+def rollback_commit(spark, sf_dir):
+    """Every rollback request comes twice, a third of them was decided before, a fifth names another environment; decisions
+    and registry are one commit."""
+    from vigil.operators import decisions as DE
+    from vigil.streaming.runner import scratch_path, written
+    req, registry = _rollback_requests(spark, sf_dir)
+    number = F.substring("approval_id", 5, 20).cast("long")
+    req = written(req.withColumn("request_id", P.rollback_request_id(
+        F.col("investigation_id"), F.col("approval_id"), F.col("model_version"))).withColumn(
+        "target_environment", F.when(number % 5 == 0, "staging").otherwise(F.col("target_environment"))), "requests")
+    tables = DE.decision_tables(spark, scratch_path(spark, "decisions"))
+    _, empty = tables.read()
+    target = F.coalesce("model_version", "loaded_model_version")
+    stored = req.where(number % 3 == 0).withColumn("model_version", target).withColumn("rolled_back", F.lit(False)).withColumn(
+        "message", F.lit(_STORED)).drop("loaded_model_name", "loaded_model_version")
+    tables.commit(-1, {"rollbacks": empty["rollbacks"].unionByName(stored, allowMissingColumns=True)},
+                  {"registry": empty["registry"].unionByName(registry, allowMissingColumns=True)})
+    asked = req.withColumn("arrived", F.explode(F.array(F.lit(1), F.lit(2))))
+    return DE.request_rollbacks(tables, asked, ["arrived"]).select(
+        "request_id", "arrived", "duplicate", "model_version", "rolled_back", "previous_stage", "new_stage", "message")
