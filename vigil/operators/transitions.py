@@ -48,8 +48,15 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
                  .select("investigation_id", F.col("model_version").alias("_version"),
                          F.lit(True).alias("_prior")).distinct())
         r = r.join(prior, ["investigation_id", "_version"], "left")
+        if "approval_id" in approvals.columns:  # the newest of that action and version, whatever its status, names it
+            named = (approvals.where(F.col("requested_action") == "promote_to_production")
+                     .groupBy("investigation_id", F.col("model_version").alias("_version"))
+                     .agg(F.max_by("approval_id", F.struct("created_at", "approval_id")).alias("_stored_id")))
+            r = r.join(named, ["investigation_id", "_version"], "left")
     else:
         r = r.withColumn("_prior", F.lit(None).cast("boolean"))
+    if "_stored_id" not in r.columns:
+        r = r.withColumn("_stored_id", F.lit(None).cast("string"))
     # the first valid retrain of a (investigation, version) in the batch creates the approval; later ones see it
     first = (r.where(valid_retrain).groupBy("investigation_id", "_version")
              .agg(F.min_by("job_id", F.struct("finished_at", "job_id")).alias("_first_job")))
@@ -84,7 +91,69 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
         rule["new_status"].alias("new_status"), rule["current_step"].alias("current_step"),
         rule["summary"].alias("summary"),
         (valid_retrain & ~exists).alias("creates_approval"),
-        F.when(valid_retrain, new_id).alias("approval_id"))
+        F.when(valid_retrain, F.when(F.col("_prior"), F.coalesce("_stored_id", new_id)).otherwise(new_id)).alias("approval_id"))
+
+
+def record_job_results(results: DataFrame, jobs: DataFrame, investigations: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Job results against the job ledger, the investigations and the approvals: one row a result.
+
+    ``outcome``: ``unknown_job`` (an error, nothing else happens), ``investigation_missing`` (the job and its message are
+    recorded, no transition), ``existing_approval`` (a pending or approved promotion of that version is there: its id is
+    kept) or ``applied``. Besides ``apply_job_results``'s columns: ``error``, the job's new ``job_status`` and the tool
+    message (``node_name``, ``content``, ``metadata`` as JSON). Every join is an equi-join on keys that the tables have
+    once: jobs (job_id, others ignored), investigations (investigation_id, others ignored); approvals as in
+    ``apply_job_results`` with approval_id and created_at. Equal results are applied alike.
+    """
+    known = jobs.select(F.col("job_id").alias("_job")).distinct()
+    there = investigations.select(F.col("investigation_id").alias("_inv")).distinct()
+    r = (results.join(known, F.col("job_id") == F.col("_job"), "left")
+         .join(there, F.col("investigation_id") == F.col("_inv"), "left"))
+    done = F.when(F.col("status") == "completed", F.lit(" completed.")).when(
+        F.col("status") == "dlq", F.lit(" moved to DLQ.")).otherwise(F.lit(" failed."))
+    meta = F.to_json(F.struct("job_id", "job_type", "status", "result", "error_message"))
+    unknown = F.col("_job").isNull()
+    base = r.select(
+        "*", F.when(unknown, F.concat(F.lit("Unknown job_id: "), F.coalesce("job_id", F.lit("None")))).alias("error"),
+        F.when(~unknown, F.when(F.col("status").isin("completed", "dlq"), F.col("status")).otherwise(F.lit("failed")))
+        .alias("job_status"),
+        F.when(~unknown, F.col("job_type")).alias("node_name"),
+        F.when(~unknown, F.concat(F.lit("Job "), F.col("job_id"), done)).alias("content"),
+        F.when(~unknown, meta).alias("metadata"))
+    moves = apply_job_results(results.join(known, F.col("job_id") == F.col("_job"), "left_semi").join(
+        there, F.col("investigation_id") == F.col("_inv"), "left_semi"), approvals)
+    moves = moves.select(F.col("job_id").alias("_j"), F.col("investigation_id").alias("_i"), "candidate_model_version",
+                         "new_status", "current_step", "summary", "creates_approval", "approval_id").distinct()
+    out = base.join(moves, (F.col("job_id") == F.col("_j")) & (F.col("investigation_id") == F.col("_i"))
+                    & ~unknown & F.col("_inv").isNotNull(), "left")
+    outcome = (F.when(unknown, "unknown_job").when(F.col("_inv").isNull(), "investigation_missing")
+               .when(F.col("approval_id").isNotNull() & ~F.col("creates_approval"), "existing_approval").otherwise("applied"))
+    return out.select("job_id", "investigation_id", outcome.alias("outcome"), "error", "job_status", "node_name", "content",
+                      "metadata", "candidate_model_version", "new_status", "current_step", "summary",
+                      F.coalesce("creates_approval", F.lit(False)).alias("creates_approval"), "approval_id")
+
+
+def existing_promotions(candidates: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Candidates (investigation_id, model_version) that a pending or approved promotion approval of theirs exists for."""
+    held = approvals.where((F.col("requested_action") == "promote_to_production") & F.col("status").isin("pending", "approved"))
+    return candidates.join(held.select("investigation_id", "model_version"), ["investigation_id", "model_version"], "left_semi")
+
+
+def retrain_jobs(approvals: DataFrame, investigations: DataFrame) -> DataFrame:
+    """(idempotency_key, payload): the retrain job of every approval. The model is the approval's; its version comes first,
+    then the state's; event, severity and drift report are the state's, then those of the approval's request. An empty
+    text counts as none. approvals: approval_id, investigation_id, approved_by, model_name, model_version,
+    target_environment, requested_action, request_payload map; investigations: investigation_id, state map."""
+    from vigil.functions.text import job_key
+
+    def some(*cols: Column) -> Column:
+        return F.coalesce(*[F.when(c != "", c) for c in cols])
+    j = approvals.join(investigations.select("investigation_id", "state"), "investigation_id", "left")
+    state, asked = F.col("state"), F.col("request_payload")
+    version = some(F.col("model_version"), state["model_version"])
+    both = [some(state[c], asked[c]).alias(c) for c in ("event_id", "severity", "drift_report")]
+    payload = F.struct("investigation_id", "approval_id", "approved_by", "model_name", version.alias("model_version"),
+                       "target_environment", *both, F.lit("retrain").alias("recommended_action"), "requested_action")
+    return j.select(job_key(F.lit("retrain"), F.col("investigation_id"), version).alias("idempotency_key"), payload.alias("payload"))
 
 
 def apply_approvals(decisions: DataFrame, approvals: DataFrame) -> DataFrame:

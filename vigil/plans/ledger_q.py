@@ -18,7 +18,7 @@ INV_SQL = """inv AS (SELECT 'inv_' || CAST(o_orderkey AS VARCHAR) AS investigati
 APR_SQL = """apr AS (SELECT 'apr_' || CAST(o_orderkey AS VARCHAR) AS approval_id,
   'inv_' || CAST(o_orderkey AS VARCHAR) AS investigation_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'rollback_production' WHEN '2-HIGH' THEN 'retrain'
-       ELSE 'promote_candidate' END AS requested_action,
+       ELSE 'promote_to_production' END AS requested_action,
   CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'rejected' WHEN 'F' THEN 'approved' END AS status,
   o_orderdate AS created_at, o_orderkey FROM orders)"""
 

@@ -78,7 +78,8 @@ SELECT d.approval_id, d.decision,
   CASE WHEN a.status = 'pending' AND d.decision = 'approve' THEN a.requested_action || '_approved'
        WHEN a.status = 'pending' THEN 'approval_rejected' END AS investigation_step,
   CASE WHEN a.status = 'pending' AND d.decision = 'approve' THEN
-    CASE a.requested_action WHEN 'rollback_production' THEN 'rollback_job' WHEN 'retrain' THEN 'retrain_job' END
+    CASE a.requested_action WHEN 'rollback_production' THEN 'rollback_job' WHEN 'retrain' THEN 'retrain_job'
+      WHEN 'promote_to_production' THEN 'promotion_request' END
   END AS side_effect
 FROM dec d LEFT JOIN apr a USING (approval_id)""")
 def apply_approvals(spark, sf_dir):
@@ -92,15 +93,61 @@ def apply_approvals(spark, sf_dir):
     return out.select("approval_id", "decision", "error", "new_status", "investigation_step", "side_effect")
 
 
-@query("existing_promotion", sql=f"""WITH {INV_SQL}, {APR_SQL}
-SELECT investigation_id FROM inv WHERE investigation_id IN (SELECT investigation_id FROM apr
-  WHERE requested_action = 'promote_candidate' AND status IN ('pending', 'approved'))""")
+_APR_VERSION = "CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE strftime(created_at, '%Y') END"
+
+
+@query("existing_promotion", sql=f"""WITH {INV_SQL}, {APR_SQL}, v AS (SELECT *, {_APR_VERSION} AS model_version FROM apr)
+SELECT investigation_id, strftime(opened_at, '%Y') AS model_version FROM inv WHERE EXISTS (SELECT 1 FROM v
+  WHERE v.investigation_id = inv.investigation_id AND v.model_version = strftime(inv.opened_at, '%Y')
+    AND requested_action = 'promote_to_production' AND status IN ('pending', 'approved'))""")
 def existing_promotion(spark, sf_dir):
-    """Investigations that already hold a pending or approved promotion approval (semi join)."""
-    apr = approvals_ledger(spark, sf_dir).where((F.col("requested_action") == "promote_candidate")
-                                                & F.col("status").isin("pending", "approved"))
-    return investigations_ledger(spark, sf_dir).join(apr.select("investigation_id"), "investigation_id",
-                                                     "left_semi").select("investigation_id")
+    """Investigation and candidate version that already hold a pending or approved promotion approval of that version."""
+    apr = approvals_ledger(spark, sf_dir).withColumn("model_version", F.when(
+        F.col("o_orderkey") % 3 == 0, "other").otherwise(F.date_format("created_at", "yyyy")))
+    inv = investigations_ledger(spark, sf_dir).select("investigation_id", F.date_format("opened_at", "yyyy").alias("model_version"))
+    return TR.existing_promotions(inv, apr)
+
+
+@query("record_job_results", sql=f"""WITH {JR_SQL},
+u AS (SELECT *, CAST(substr(investigation_id, 5) AS BIGINT) % 11 = 0 AS unknown,
+  CAST(substr(investigation_id, 5) AS BIGINT) % 7 = 0 AS lost FROM jr2),
+apr AS (SELECT investigation_id, ver, arg_max('apr_' || job_id, (finished_at, 'apr_' || job_id)) AS stored_id FROM u
+  WHERE valid AND finished_at < TIMESTAMP '{CUT}' GROUP BY ALL),
+n AS (SELECT u.*, stored_id, valid AND NOT unknown AND NOT lost AS counts FROM u LEFT JOIN apr USING (investigation_id, ver)
+  WHERE finished_at >= TIMESTAMP '{CUT}'),
+o AS (SELECT *, counts AND stored_id IS NULL AND row_number() OVER (PARTITION BY investigation_id, ver, counts
+  ORDER BY finished_at, job_id) = 1 AS creates FROM n)
+SELECT job_id, CASE WHEN unknown THEN 'unknown_job' WHEN lost THEN 'investigation_missing' WHEN counts AND NOT creates
+    THEN 'existing_approval' ELSE 'applied' END AS outcome,
+  CASE WHEN unknown THEN 'Unknown job_id: ' || job_id END AS error, CASE WHEN NOT unknown THEN status END AS job_status,
+  CASE WHEN NOT unknown THEN job_type END AS node_name,
+  CASE WHEN NOT unknown THEN 'Job ' || job_id || CASE status WHEN 'completed' THEN ' completed.' ELSE ' moved to DLQ.' END
+    END AS content,
+  CASE WHEN NOT unknown THEN status END AS meta_status, CASE WHEN NOT unknown THEN ver END AS meta_version,
+  CASE WHEN NOT unknown THEN error_message END AS meta_error,
+  creates AS creates_approval, CASE WHEN counts THEN coalesce(stored_id,
+    'approval_' || substr(sha256(investigation_id || '|' || ver), 1, 12)) END AS approval_id,
+  CASE WHEN unknown OR lost THEN NULL WHEN status = 'dlq' THEN 'job_dlq' WHEN job_type = 'rollback' THEN 'rollback_completed'
+    WHEN job_type = 'replay_test' THEN CASE WHEN value > 10 THEN 'replay_test_completed' ELSE 'replay_test_failed' END
+    WHEN NOT value > 5 THEN 'retrain_result_invalid' WHEN ver IS NULL THEN 'candidate_model_missing'
+    ELSE 'promotion_approval_pending' END AS current_step
+FROM o""")
+def record_job_results(spark, sf_dir):
+    """Results after the cut against the ledger (every eleventh user's jobs are unknown), the investigations (every seventh
+    is missing) and the approvals created before the cut, whose ids are kept."""
+    res = job_results(spark, sf_dir)
+    user, cut = F.substring("investigation_id", 5, 20).cast("long"), F.lit(CUT).cast("timestamp_ntz")
+    before = res.where(F.col("finished_at") < cut)
+    first = TR.apply_job_results(before).where(F.col("approval_id").isNotNull())
+    approvals = first.join(before.select("job_id", "finished_at"), "job_id").select(
+        F.concat(F.lit("apr_"), "job_id").alias("approval_id"), "investigation_id",
+        F.lit("promote_to_production").alias("requested_action"), F.col("candidate_model_version").alias("model_version"),
+        F.lit("pending").alias("status"), F.col("finished_at").alias("created_at"))
+    out = TR.record_job_results(res.where(F.col("finished_at") >= cut), res.where(user % 11 != 0).select("job_id"),
+                                res.where(user % 7 != 0).select("investigation_id"), approvals)
+    meta = {"meta_status": "$.status", "meta_version": "$.result.model_version", "meta_error": "$.error_message"}
+    return out.select("job_id", "outcome", "error", "job_status", "node_name", "content", *[
+        F.get_json_object("metadata", p).alias(c) for c, p in meta.items()], "creates_approval", "approval_id", "current_step")
 
 
 @query("event_investigation", sql=f"""WITH {events_cte()}
@@ -375,28 +422,30 @@ def versioned_stats(spark, sf_dir):
     return read_newest(spark, path, ["model_name"]).select("model_name", "version", "n_rows", "mean_value")
 
 
-@query("retrain_payload", sql=f"""WITH {INV_SQL}, {APR_SQL}
-SELECT 'retrain:' || a.investigation_id || ':' || strftime(a.created_at, '%Y') AS idempotency_key, a.approval_id,
-  coalesce(i.model_name, 'unknown') AS model_name, strftime(a.created_at, '%Y') AS model_version,
-  i.status AS investigation_status
-FROM apr a LEFT JOIN inv i USING (investigation_id) WHERE a.requested_action = 'retrain' AND a.status = 'approved'""")
+@query("retrain_payload", sql=f"""WITH {APR_SQL},
+r AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(created_at, '%Y') ELSE '' END AS av,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'state' END AS sv, CASE WHEN o_orderkey % 5 <> 0 THEN 'evt_' || o_orderkey END AS se,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'critical' END AS ss FROM apr WHERE requested_action = 'retrain' AND status = 'approved')
+SELECT 'retrain:' || investigation_id || ':' || coalesce(nullif(av, ''), sv, 'unknown') AS idempotency_key, investigation_id,
+  approval_id, 'ops' AS approved_by, 'm' || o_orderkey % 9 AS model_name, coalesce(nullif(av, ''), sv) AS model_version,
+  'candidate' AS target_environment, coalesce(se, 'req_' || o_orderkey) AS event_id, coalesce(ss, 'warning') AS severity,
+  CASE WHEN o_orderkey % 7 = 0 THEN '{{"from":"state"}}' ELSE '{{"from":"request"}}' END AS drift_report,
+  'retrain' AS recommended_action, 'retrain' AS requested_action FROM r""")
 def retrain_payload(spark, sf_dir):
-    """Retrain job payloads for approved retrain approvals: state values first, the approval request second."""
-    apr = approvals_ledger(spark, sf_dir).where((F.col("requested_action") == "retrain")
-                                                & (F.col("status") == "approved"))
-    inv = investigations_ledger(spark, sf_dir).select("investigation_id", F.col("model_name").alias("state_model"),
-                                                      F.col("status").alias("state_status"))
-    j = apr.join(inv, "investigation_id", "left")
-    payload = F.struct(
-        "investigation_id", "approval_id",
-        F.coalesce("state_model", F.lit("unknown")).alias("model_name"),
-        F.coalesce(F.lit(None).cast("string"), F.date_format("created_at", "yyyy")).alias("model_version"),
-        F.lit("retrain").alias("recommended_action"), F.col("state_status").alias("investigation_status"))
-    from vigil.functions.text import job_key
-    out = j.select(job_key(F.lit("retrain"), F.col("investigation_id"), payload["model_version"]).alias(
-        "idempotency_key"), payload.alias("payload"))
-    return out.select("idempotency_key", "payload.approval_id", "payload.model_name", "payload.model_version",
-                      "payload.investigation_status")
+    """Retrain job payloads of approved retrain approvals: the approval's model and version first, the state's event, severity
+    and report before the request's."""
+    k = F.col("o_orderkey")
+    apr = approvals_ledger(spark, sf_dir).where("requested_action = 'retrain' AND status = 'approved'")
+    apr = apr.select(
+        "approval_id", "investigation_id", F.lit("ops").alias("approved_by"), F.concat(F.lit("m"), (k % 9).cast("string")).alias("model_name"),
+        F.when(k % 3 != 0, F.date_format("created_at", "yyyy")).otherwise("").alias("model_version"),
+        F.lit("candidate").alias("target_environment"), "requested_action",
+        F.create_map(F.lit("event_id"), F.concat(F.lit("req_"), k.cast("string")), F.lit("severity"), F.lit("warning"),
+                     F.lit("drift_report"), F.lit('{"from":"request"}')).alias("request_payload"))
+    inv = investigations_ledger(spark, sf_dir).select("investigation_id", F.create_map(
+        F.lit("model_version"), F.when(k % 2 == 0, "state"), F.lit("event_id"), F.when(k % 5 != 0, F.concat(F.lit("evt_"), k.cast("string"))),
+        F.lit("severity"), F.when(k % 4 == 0, "critical"), F.lit("drift_report"), F.when(k % 7 == 0, '{"from":"state"}')).alias("state"))
+    return TR.retrain_jobs(apr, inv).select("idempotency_key", "payload.*")
 
 
 @query("job_dispatch", sql=f"""WITH {JR_SQL}

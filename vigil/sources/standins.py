@@ -81,7 +81,7 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_STATUS_TO_INVESTIGATION = {"O": "running", "P": "waiting_for_approval", "F": "resolved"}
 ORDER_STATUS_TO_APPROVAL = {"O": "pending", "P": "rejected", "F": "approved"}
 PRIORITY_TO_ACTION = {"1-URGENT": "rollback_production", "2-HIGH": "retrain"}
-OTHER_ACTION = "promote_candidate"
+OTHER_ACTION = "promote_to_production"
 
 
 def _map(col: str, mapping: dict, default=None):
