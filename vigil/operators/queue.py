@@ -91,17 +91,23 @@ def lag_by_rank(df: DataFrame, key: str, rank_col: str, cols) -> DataFrame:
 
     The join is hashed on (key, rank), so a hot key spreads over all tasks.
     """
-    prev = df.select(F.col(key), (F.col(rank_col) + 1).alias(rank_col), *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return df.join(prev, [key, rank_col], "left")
+    prev = df.select(F.col(key).alias("_pk"), (F.col(rank_col) + 1).alias("_pr"), *[F.col(c).alias(f"prev_{c}") for c in cols])
+    return df.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & (F.col(rank_col) == F.col("_pr")), "left").drop("_pk", "_pr")
 
 
-def overlapping_attempts(attempts: DataFrame, key: str = "user_id", ts_col: str = "ts",
+def overlapping_attempts(attempts: DataFrame, key: str = "user_id", ts_col: str = "ts", id_col: str = "event_id",
                          ttl_minutes: int = LOCK_TTL_MINUTES) -> DataFrame:
-    """Attempts that start while the previous attempt of the same key still holds its lock (start + TTL)."""
-    n = number_attempts(attempts, key, ts_col)
-    lagged = lag_by_rank(n, key, "attempt", [ts_col])
-    lock_end = F.col(f"prev_{ts_col}") + F.make_dt_interval(mins=F.lit(ttl_minutes))
-    return lagged.where(F.col(f"prev_{ts_col}").isNotNull() & (F.col(ts_col) < lock_end))
+    """Attempts that start while another attempt of the same key holds its lock. An attempt that finds the lock free holds it
+    for the TTL from its start (of equal starts the least id); one that is refused does not extend it. A null key is a
+    key like any other; attempts without a time hold and find no lock."""
+    from vigil.streaming.ops import _kept_times  # the same rule as the dedupe's: times kept a TTL apart
+    timed = attempts.where(F.col(ts_col).isNotNull()).withColumn("_u", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    starts = _kept_times(timed.select(key, "_u").distinct(), [key], ttl_minutes * 60_000_000)
+    holders = timed.alias("a").join(starts.alias("s"), F.col(f"a.{key}").eqNullSafe(F.col(f"s.{key}")) & (
+        F.col("a._u") == F.col("s._u"))).groupBy(F.col(f"a.{key}").alias("_k"), F.col("a._u").alias("_h")).agg(
+        F.min(f"a.{id_col}").alias("_id"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_u") == F.col("_h")) & (F.col(id_col) == F.col("_id"))
+    return timed.join(holders, same, "left_anti").drop("_u")
 
 
 def queue_depth(state: DataFrame, status_col: str = "status") -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # Staleness tolerance and the ordered acceptance failures.
 STALE_TOLERANCE_SECONDS = 2
+#: The files that a training run must leave, in the order they are checked.
+REQUIRED_ARTIFACTS = ["model_pipeline.joblib", "schema.json", "runtime_config.json", "reference_stats.json",
+                      "replay_fixture.json", "metrics.json", "environment.json", "model_card.md", "training_summary.json"]
 ACCEPTANCE_ORDER = ["exit_code", "summary_missing", "summary_invalid", "artifacts_missing", "artifacts_stale",
                     "not_completed"]
 

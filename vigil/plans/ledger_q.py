@@ -300,9 +300,13 @@ def queue_depth(spark, sf_dir):
     return Q.queue_depth(L.job_state(Q.ledger_events(r)))
 
 
-@query("overlapping_attempts", sql="""WITH a AS (SELECT user_id, event_id, ts,
-  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts FROM events)
-SELECT user_id, event_id FROM a WHERE prev_ts IS NOT NULL AND ts < prev_ts + INTERVAL 30 MINUTE""")
+@query("overlapping_attempts", sql="""WITH RECURSIVE t AS (SELECT DISTINCT user_id, ts FROM events),
+nx AS (SELECT a.user_id, a.ts, min(b.ts) AS later FROM t a JOIN t b ON b.user_id = a.user_id
+  AND b.ts >= a.ts + INTERVAL 30 MINUTE GROUP BY ALL),
+held AS (SELECT user_id, min(ts) AS ts FROM t GROUP BY ALL
+  UNION ALL SELECT h.user_id, nx.later FROM held h JOIN nx USING (user_id, ts)),
+holder AS (SELECT min(event_id) AS event_id FROM held JOIN events USING (user_id, ts) GROUP BY user_id, ts)
+SELECT user_id, event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM holder)""")
 def overlapping_attempts(spark, sf_dir):
     att = job_attempts(spark, sf_dir)
     return Q.overlapping_attempts(att, "user_id", "ts").select("user_id", "event_id")

@@ -179,7 +179,7 @@ def gate_latest_drift(spark, sf_dir):
 
 RUN_SQL = """req AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS run_id, min(l_shipdate) + INTERVAL 300 DAY AS started_at
   FROM lineitem GROUP BY ALL),
-arts AS (SELECT unnest(range(8)) AS i),
+arts AS (SELECT unnest(range(9)) AS i),
 required AS (SELECT run_id, i, started_at FROM req, arts),
 produced AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS run_id, l_linenumber - 1 AS i, max(l_shipdate) AS produced_at
   FROM lineitem GROUP BY ALL),
@@ -192,20 +192,21 @@ def _runs(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
     run = F.year("l_shipdate").cast("string").alias("run_id")
     req = li.groupBy(run).agg((F.min("l_shipdate") + F.expr("INTERVAL 300 DAYS")).alias("started_at"))
-    arts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("artifact")) for i, a in enumerate(P.ARTIFACTS)])
+    arts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("artifact")) for i, a in enumerate(RU.REQUIRED_ARTIFACTS)])
     required = req.select("*", F.inline(arts))  # each run requires the fixed list of artifacts
     produced = li.groupBy(run, (F.col("l_linenumber") - 1).alias("i")).agg(F.max("l_shipdate").alias("produced_at"))
     names = F.element_at(F.transform(arts, lambda x: x["artifact"]), F.col("i") + 1)
-    produced = produced.where((F.col("i") >= 0) & (F.col("i") < len(P.ARTIFACTS))).select(
+    produced = produced.where((F.col("i") >= 0) & (F.col("i") < len(RU.REQUIRED_ARTIFACTS))).select(
         "run_id", "i", names.alias("artifact"), "produced_at").drop("i")
     return required, produced
 
 
-@query("delivery_check", sql=f"WITH {RUN_SQL} SELECT run_id, i AS artifact_index, missing, stale FROM chk")
+@query("delivery_check", sql=f"WITH {RUN_SQL} SELECT run_id, i AS artifact_index, "
+       f"{RU.REQUIRED_ARTIFACTS!r}[i + 1] AS artifact, missing, stale FROM chk")
 def delivery_check(spark, sf_dir):
-    """Per yearly run: the 8 required artifacts against those produced (artifact i = line number i+1)."""
+    """Per yearly run: the 9 required files against those produced (file i = line number i+1; two are never produced)."""
     required, produced = _runs(spark, sf_dir)
-    return RU.delivery_check(required, produced).select("run_id", F.col("i").alias("artifact_index"), "missing",
+    return RU.delivery_check(required, produced).select("run_id", F.col("i").alias("artifact_index"), "artifact", "missing",
                                                         "stale")
 
 
@@ -408,7 +409,7 @@ def current_drift(spark, sf_dir):
   strftime(ts, '%Y%m%d') AS day FROM events WHERE ts < TIMESTAMP '2024-01-21'),
 v AS (SELECT model_name, 'w' || CAST(week(strptime(day, '%Y%m%d')) AS VARCHAR) AS version, count(*) AS n_rows,
   round(avg(value), 6) AS mean_value FROM r GROUP BY ALL)
-SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY model_name)""")
+SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY CAST(substr(version, 2) AS INTEGER) DESC) = 1""")
 def versioned_stats(spark, sf_dir):
     """Weekly reference snapshots written under version partitions; the newest version per model read back."""
     from vigil.sources.sinks import read_newest, write_versioned

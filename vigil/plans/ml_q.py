@@ -219,3 +219,19 @@ def train_summary(spark, sf_dir):
     counts = t.groupBy().pivot("split", ["train", "val", "test"]).count()
     return attach(attach(wide, thr.select(F.col("threshold").alias("selected_threshold"))),
                   counts.select(*[F.col(s).alias(f"{s}_rows") for s in ("train", "val", "test")]))
+
+
+@query("score_opaque", sql="""WITH z AS (SELECT l_orderkey, l_linenumber, 0.08 * l_quantity - 12.0 * l_discount - 1.5 AS z
+  FROM lineitem) SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-z)), 6) AS by_probability,
+  round(1 / (1 + exp(-z)), 6) AS by_margin, CAST(z >= 0 AS INTEGER)::DOUBLE AS by_prediction FROM z""")
+def score_opaque(spark, sf_dir):
+    """Three models of one linear score, as a probability, a decision score and a plain prediction, shipped and applied to
+    Arrow batches."""
+    from vigil.operators import scoring as SC
+    from vigil.sources.tables import read_table
+    weights, names = {"l_quantity": 0.08, "l_discount": -12.0}, ["l_quantity", "l_discount"]
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names)
+    for kind, out in ((SC.ProbabilityModel, "by_probability"), (SC.MarginModel, "by_margin"), (SC.PlainModel, "by_prediction")):
+        rows = SC.score_opaque(rows, kind(weights, -1.5), names, out)
+    return rows.select("l_orderkey", "l_linenumber", r6("by_probability").alias("by_probability"),
+                       r6("by_margin").alias("by_margin"), "by_prediction")
