@@ -76,3 +76,41 @@ def test_categorical_profile_missing_and_order(spark):
     assert p.categories == ["a", "b", "__missing__", "c"]
     assert p.reference_distribution == [2, 2, 1, 1]
     assert p.missing_count == 1 and p.n_unique == 4
+
+
+def test_sketched_profile_keeps_its_bounds_and_shuffles_no_values(spark):
+    from pyspark.sql import functions as F
+
+    from vigil.operators import stats as S
+    rows = spark.range(0, 60000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.lit("x").alias("feature"),
+        F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 7 == 0, 5.0).otherwise(
+            (F.col("id") * 7919 % 60000).cast("double")).alias("num_value"))
+    prof = S.numeric_profile(rows, ["g"], approx=True)
+    plan = prof._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(g" in plan and "num_value" not in [
+        x for x in plan.split("hashpartitioning(")[1].split(")")[0].replace("#", " ").split()]
+    exact = {r["g"]: r for r in S.numeric_profile(rows, ["g"]).collect()}
+    assert S.kll_rank_error() < 0.0025
+    for r in prof.collect():
+        e = exact[r["g"]]
+        values = sorted(v["num_value"] for v in rows.where(F.col("g") == r["g"]).collect() if v["num_value"] is not None)
+        n = len(values)
+        assert (r["n_valid"], r["missing_count"], r["min"], r["max"]) == (e["n_valid"], e["missing_count"], e["min"], e["max"])
+        assert abs(r["mean"] - e["mean"]) < 1e-6 and abs(r["std"] - e["std"]) < 1e-6
+        for p, q in [(0.5, r["median"]), (0.25, r["q25"]), (0.75, r["q75"])]:
+            below, upto = sum(v < q for v in values) / n, sum(v <= q for v in values) / n
+            assert below - S.kll_rank_error() <= p <= upto + S.kll_rank_error()
+        got, edges = r["reference_distribution"], r["bins"]
+        assert len(got) == len(edges) - 1
+        for i, c in enumerate(got):
+            true = sum(edges[i] <= v < edges[i + 1] or (i == len(got) - 1 and v == edges[-1]) for v in values)
+            assert abs(c - true) <= n * (2 * S.kll_rank_error() + 1 / S.KLL_STEPS) + 1
+
+
+def test_sketched_profile_of_nothing(spark):
+    from vigil.operators import stats as S
+    rows = spark.createDataFrame([("a", "x", None), ("b", "x", float("nan")), ("c", "x", 2.0)], "g string, feature string, num_value double")
+    got = {r["g"]: r for r in S.numeric_profile(rows, ["g"], approx=True).collect()}
+    assert got["a"]["n_valid"] == 0 and got["a"]["missing_count"] == 1 and got["a"]["reference_distribution"] == [1]
+    assert got["b"]["missing_count"] == 1 and got["c"]["bins"] == [1.5, 2.5] and got["c"]["reference_distribution"] == [1]

@@ -121,6 +121,30 @@ def numeric_profile(spark, sf_dir):
         r6("q25").alias("q25"), r6("q75").alias("q75"), "missing_count")
 
 
+@query("numeric_profile_approx", sql=f"""WITH {LOG_CTE},
+ref_num AS (SELECT model_name, 'value' AS feature, value AS v FROM ref
+            UNION ALL SELECT model_name, 'k', CAST(k AS DOUBLE) FROM ref)
+SELECT model_name, feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max,
+       count(*) FILTER (WHERE v IS NULL) AS missing_count, 14 AS n_quantiles, 14 AS n_within FROM ref_num GROUP BY ALL""")
+def numeric_profile_approx(spark, sf_dir):
+    """The profile with sketched quantiles: exact moments, and how many of the 14 quantiles (deciles, median, quartiles) lie
+    within the stated rank error, counted against all rows."""
+    rows = S.to_long(reference_rows(prediction_log(spark, sf_dir)), G, LOG_NUMERIC).select(*G, "feature", "num_value")
+    prof = S.numeric_profile(rows, G, approx=True)
+    levels = F.array(*[F.lit(float(p)) for p in S.PROFILE_LEVELS])
+    quantiles = F.concat("bins", F.array("median", "q25", "q75"))
+    asked = prof.where(F.size("bins") == 11).select(*G, "feature", "n_valid", F.explode(
+        F.arrays_zip(quantiles.alias("q"), levels.alias("p"))).alias("x")).select(*G, "feature", "n_valid", "x.*")
+    asked = asked.withColumn("i", F.monotonically_increasing_id())
+    counted = rows.join(F.broadcast(asked), [*G, "feature"]).groupBy(*G, "feature", "i", "p", "n_valid").agg(
+        F.count_if(F.col("num_value") < F.col("q")).alias("lt"), F.count_if(F.col("num_value") <= F.col("q")).alias("le"))
+    error = F.lit(S.kll_rank_error()) * F.col("n_valid")
+    within = (F.col("lt") - error <= F.col("p") * F.col("n_valid")) & (F.col("p") * F.col("n_valid") <= F.col("le") + error)
+    per = counted.groupBy(*G, "feature").agg(F.count("*").cast("int").alias("n_quantiles"), F.count_if(within).cast("int").alias("n_within"))
+    return prof.join(per, [*G, "feature"]).select(
+        *G, "feature", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max", "missing_count", "n_quantiles", "n_within")
+
+
 @query("quantile_bins", sql=f"""WITH {LOG_CTE}, {reference_cte('model_name')}
 SELECT model_name, feature, i AS edge_index, round(bins[i + 1], 6) AS edge
 FROM (SELECT model_name, feature, bins, unnest(range(len(bins))) AS i FROM num_edges)""")
