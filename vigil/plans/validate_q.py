@@ -150,3 +150,97 @@ def promotion_contract(spark, sf_dir):
 @query("schema_profile")
 def schema_profile(spark, sf_dir):
     return V.schema_profile(read_table(spark, sf_dir, "lineitem"))
+
+
+# ---- one violating row a rule, over the raw JSON text --------------------------------------------------------------
+#: Rule -> what the event that is broken for it shows.
+_EVENT_TEXTS = {
+    "ok": "", "const": "contract_version: const;header x_contract_version: differs from contract_version",
+    "min_length": "model_name: minLength", "null_name": "model_name: type", "null_version": "",
+    "enum": "new_severity: enum", "minimum": "sample_size: minimum", "type": "overall_score: type",
+    "format": "created_at: format", "unknown": "surprise: unknown", "no_features": "drift_report.features: required",
+    "report_minimum": "drift_report.min_required_samples: minimum", "feature_kind": "drift_report.features[].kind: enum",
+    "feature_details": "drift_report.features[].details: required", "feature_unknown": "drift_report.features[].more: unknown",
+    "output": "drift_report.output_drift.kind: minLength;drift_report.output_drift.score: minimum",
+    "header_version": "header x_contract_version: differs from contract_version",
+    "header_key": "header x_idempotency_key: differs from event_id"}
+
+
+def _event_changes():
+    """Rule -> the change of the event's columns that breaks it."""
+    rep = F.col("drift_report")
+
+    def feature(change):
+        return {"drift_report": rep.withField("features", F.transform(rep["features"], change))}
+    bad_output = F.struct(F.lit("").alias("kind"), F.lit(-1.0).alias("score"), F.lit("normal").alias("severity"))
+    return {
+        "ok": {}, "const": {"contract_version": F.lit("v2")}, "min_length": {"model_name": F.lit("")},
+        "null_name": {"model_name": F.lit(None).cast("string")}, "null_version": {"model_version": F.lit(None).cast("string")},
+        "enum": {"new_severity": F.lit("loud")}, "minimum": {"sample_size": F.lit(-1)}, "type": {"overall_score": F.lit("high")},
+        "format": {"created_at": F.lit("yesterday")}, "unknown": {"surprise": F.lit(1)},
+        "no_features": {"drift_report": rep.dropFields("features")},
+        "report_minimum": {"drift_report": rep.withField("min_required_samples", F.lit(-3))},
+        "feature_kind": feature(lambda f: f.withField("kind", F.lit("other"))),
+        "feature_details": feature(lambda f: f.dropFields("details")),
+        "feature_unknown": feature(lambda f: f.withField("more", F.lit(1))),
+        "output": {"drift_report": rep.withField("output_drift", bad_output)},
+        "header_version": {"x_contract_version": F.lit("v9")}, "header_key": {"x_idempotency_key": F.lit("other")}}
+
+
+def _broken(rows, changes, schema, key, headers):
+    """Every row once for each rule, changed by it, as JSON text (an explicit null stays one), and checked."""
+    from vigil.operators import contracts as CT
+    own = [c for c in rows.columns if c not in headers]
+    out = None
+    for name, change in changes.items():
+        made = rows.withColumns(change) if change else rows
+        fields = [*own, *[c for c in change if c not in own and c not in headers]]
+        one = made.select(F.col(key).alias("_key"), F.lit(name).alias("rule"), *headers, F.to_json(
+            F.struct(*fields),
+            {"ignoreNullFields": "false"} if name.startswith("null_") else {}).alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    checked = CT.check_json(out, "payload", schema, headers)
+    return checked.select(F.col("_key").alias(key), "rule", F.array_join("violations", ";").alias("violations"), "valid")
+
+
+def _texts_sql(texts) -> str:
+    return "r(rule, text) AS (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in texts.items()) + ")"
+
+
+@query("event_contract_rules", sql=f"WITH {events_cte()}, {_texts_sql(_EVENT_TEXTS)}, "
+       "x AS (SELECT event_id, rule, CASE WHEN rule LIKE 'feature%' AND new_severity = 'insufficient_data' THEN '' ELSE text "
+       "END AS violations FROM ev CROSS JOIN r) SELECT *, violations = '' AS valid FROM x")
+def event_contract_rules(spark, sf_dir):
+    """Every drift event as JSON text, once as it is and once broken for each rule of its contract and headers."""
+    from vigil.operators import contracts as CT
+    from vigil.streaming.runner import written
+    ev = written(drift_event_table(spark, sf_dir).drop("payload"), "events")
+    ev = ev.withColumn("x_contract_version", F.lit("v1")).withColumn("x_idempotency_key", F.col("event_id"))
+    return _broken(ev, _event_changes(), CT.DRIFT_EVENT, "event_id",
+                   {"x_contract_version": "contract_version", "x_idempotency_key": "event_id"})
+
+
+_PROMOTION_TEXTS = {
+    "ok": "", "not_approved": "human_approval.approved: const", "no_reason": "reason: required", "empty_id": "approval_id: minLength",
+    "wrong_action": "requested_action: const", "source": "human_approval.approval_source: enum", "extra": "human_approval.extra: unknown",
+    "context": "drift_context.severity: required", "not_json": "$: json"}
+
+
+@query("promotion_contract_rules", sql="WITH o AS (SELECT 'promotion_inv_' || CAST(o_orderkey AS VARCHAR) || '_' || "
+       "strftime(o_orderdate, '%Y') || '_production' AS request_id FROM orders WHERE o_orderstatus = 'F'), "
+       + _texts_sql(_PROMOTION_TEXTS) + " SELECT request_id, rule, text AS violations, text = '' AS valid FROM o CROSS JOIN r")
+def promotion_contract_rules(spark, sf_dir):
+    """Every promotion request as JSON text, once as it is and once broken for each rule of its contract."""
+    from vigil.operators import contracts as CT
+    from vigil.operators.promotion import promotion_requests
+    from vigil.sources.standins import approvals_ledger
+    req = promotion_requests(approvals_ledger(spark, sf_dir)).drop("drift_context")
+    ha = F.col("human_approval")
+    rules = {"ok": {}, "not_approved": {"human_approval": ha.withField("approved", F.lit(False))},
+             "no_reason": {"reason": F.lit(None).cast("string")}, "empty_id": {"approval_id": F.lit("")},
+             "wrong_action": {"requested_action": F.lit("deploy")}, "source": {"human_approval": ha.withField("approval_source", F.lit("mail"))},
+             "extra": {"human_approval": ha.withField("extra", F.lit(1))}, "context": {"drift_context": F.struct(F.lit("e").alias("event_id"))}}
+    good = _broken(req, rules, CT.PROMOTION_REQUEST, "request_id", {})
+    torn = CT.check_json(req.select("request_id", F.substring(F.to_json(F.struct(*req.columns)), 1, 40).alias("payload")), "payload",
+                         CT.PROMOTION_REQUEST)
+    return good.unionByName(torn.select("request_id", F.lit("not_json").alias("rule"), F.array_join("violations", ";").alias("violations"), "valid"))
