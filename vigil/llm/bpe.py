@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from vigil.llm.common import CUT, Cache2, arrow_map, held
 
 #: Bytes of a worker's lookup tables: pieces at the start of a text, pieces after a space, pre-tokens.
-FIRST_BYTES, PIECE_BYTES, PRE_TOKEN_BYTES = 4 << 20, 36 << 20, 56 << 20
+FIRST_BYTES, PIECE_BYTES, PRE_TOKEN_BYTES = 8 << 20, 56 << 20, 160 << 20
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
 

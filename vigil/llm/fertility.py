@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from vigil.llm.common import Cache2, arrow_map, held
 
 #: Bytes of a worker's table of words.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 76 << 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
