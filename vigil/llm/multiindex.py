@@ -202,8 +202,11 @@ class Index:
             wants = (step.select("query", F.explode("windows").alias("w")).select("query", "w.*")
                      .join(full, ["query", "window"], "left")
                      .groupBy("query").agg(F.min(F.coalesce("kth", "lo")).cast("double").alias("least"),
-                                           F.max(F.col("n").isNull()).alias("short")))
-            pending = (step.join(wants, "query").filter(F.col("after").isNotNull() & (F.col("after") >= F.col("least")))
+                                           F.max(F.col("n").isNull()).alias("short"),
+                                           # nothing below a full window's least score can enter it any more
+                                           F.collect_list(F.struct("window", F.coalesce("kth", "lo").alias("lo"), "hi")).alias("open")))
+            pending = (step.join(wants.withColumn("open", F.col("open").cast(step.schema["windows"].dataType)), "query")
+                       .drop("windows").withColumnRenamed("open", "windows").filter(F.col("after").isNotNull() & (F.col("after") >= F.col("least")))
                        .select("query", "id", "label", "vec", "windows", "least", "short", "done"))
             pending = written(pending, "index-pending")
             if pending.isEmpty():
