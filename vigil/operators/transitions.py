@@ -3,7 +3,8 @@
 Each batch is joined to the current state it changes (left joins, no fan-out:
 the right sides are one row per key), and the transition table is a ``when``
 chain. Sequential semantics inside a batch (a later result sees the approval an
-earlier one created) come from the first result per key (a map-side ``min_by``), not from a loop.
+earlier one created) come from the first result per key (a map-side ``min_by``), not from a loop. Ledgers grow with
+the data and read small from compressed files, so their joins are merge joins by hint: none is broadcast by a guess.
 """
 
 from __future__ import annotations
@@ -47,12 +48,12 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
                                  & F.col("status").isin("pending", "approved"))
                  .select("investigation_id", F.col("model_version").alias("_version"),
                          F.lit(True).alias("_prior")).distinct())
-        r = r.join(prior, ["investigation_id", "_version"], "left")
+        r = r.join(prior.hint("merge"), ["investigation_id", "_version"], "left")
         if "approval_id" in approvals.columns:  # the newest of that action and version, whatever its status, names it
             named = (approvals.where(F.col("requested_action") == "promote_to_production")
                      .groupBy("investigation_id", F.col("model_version").alias("_version"))
                      .agg(F.max_by("approval_id", F.struct("created_at", "approval_id")).alias("_stored_id")))
-            r = r.join(named, ["investigation_id", "_version"], "left")
+            r = r.join(named.hint("merge"), ["investigation_id", "_version"], "left")
     else:
         r = r.withColumn("_prior", F.lit(None).cast("boolean"))
     if "_stored_id" not in r.columns:
@@ -60,7 +61,7 @@ def apply_job_results(results: DataFrame, approvals: DataFrame | None = None) ->
     # the first valid retrain of a (investigation, version) in the batch creates the approval; later ones see it
     first = (r.where(valid_retrain).groupBy("investigation_id", "_version")
              .agg(F.min_by("job_id", F.struct("finished_at", "job_id")).alias("_first_job")))
-    r = r.join(first, ["investigation_id", "_version"], "left")
+    r = r.join(first.hint("merge"), ["investigation_id", "_version"], "left")
     exists = F.coalesce(F.col("_prior"), F.lit(False)) | (F.col("job_id") != F.col("_first_job"))
     st, jt = F.col("status"), F.col("job_type")
     passed = _truthy(F.col("result")["passed"])
@@ -104,8 +105,8 @@ def record_job_results(results: DataFrame, jobs: DataFrame, investigations: Data
     once: jobs (job_id, others ignored), investigations (investigation_id, others ignored); approvals as in
     ``apply_job_results`` with approval_id and created_at. Equal results are applied alike.
     """
-    known = jobs.select(F.col("job_id").alias("_job")).distinct()
-    there = investigations.select(F.col("investigation_id").alias("_inv")).distinct()
+    known = jobs.select(F.col("job_id").alias("_job")).distinct().hint("merge")
+    there = investigations.select(F.col("investigation_id").alias("_inv")).distinct().hint("merge")
     r = (results.join(known, F.col("job_id") == F.col("_job"), "left")
          .join(there, F.col("investigation_id") == F.col("_inv"), "left"))
     done = F.when(F.col("status") == "completed", F.lit(" completed.")).when(
@@ -122,7 +123,7 @@ def record_job_results(results: DataFrame, jobs: DataFrame, investigations: Data
     moves = apply_job_results(results.join(known, F.col("job_id") == F.col("_job"), "left_semi").join(
         there, F.col("investigation_id") == F.col("_inv"), "left_semi"), approvals)
     moves = moves.select(F.col("job_id").alias("_j"), F.col("investigation_id").alias("_i"), "candidate_model_version",
-                         "new_status", "current_step", "summary", "creates_approval", "approval_id").distinct()
+                         "new_status", "current_step", "summary", "creates_approval", "approval_id").distinct().hint("merge")
     out = base.join(moves, (F.col("job_id") == F.col("_j")) & (F.col("investigation_id") == F.col("_i"))
                     & ~unknown & F.col("_inv").isNotNull(), "left")
     outcome = (F.when(unknown, "unknown_job").when(F.col("_inv").isNull(), "investigation_missing")

@@ -16,6 +16,7 @@ from vigil.plans.registry import query
 from vigil.plans.sqlparts import checks_cte, events_cte
 from vigil.sources.standins import approvals_ledger, investigations_ledger, job_results, training_frame
 from vigil.sources.tables import read_table
+from vigil.streaming.runner import written
 
 CUT = "2024-01-15"
 
@@ -54,7 +55,7 @@ SELECT job_id, job_type, status,
 FROM batch""")
 def apply_job_results(spark, sf_dir):
     """Job results after the cut applied against the promotion approvals created before it."""
-    res = job_results(spark, sf_dir)
+    res = written(job_results(spark, sf_dir), "job-results")  # read many times
     cut = F.lit(CUT).cast("timestamp_ntz")
     before = TR.apply_job_results(res.where(F.col("finished_at") < cut))
     prior = before.where("creates_approval").select(
@@ -135,11 +136,11 @@ FROM o""")
 def record_job_results(spark, sf_dir):
     """Results after the cut against the ledger (every eleventh user's jobs are unknown), the investigations (every seventh
     is missing) and the approvals created before the cut, whose ids are kept."""
-    res = job_results(spark, sf_dir)
+    res = written(job_results(spark, sf_dir), "job-results")  # read many times
     user, cut = F.substring("investigation_id", 5, 20).cast("long"), F.lit(CUT).cast("timestamp_ntz")
     before = res.where(F.col("finished_at") < cut)
     first = TR.apply_job_results(before).where(F.col("approval_id").isNotNull())
-    approvals = first.join(before.select("job_id", "finished_at"), "job_id").select(
+    approvals = first.join(before.select("job_id", "finished_at").hint("merge"), "job_id").select(
         F.concat(F.lit("apr_"), "job_id").alias("approval_id"), "investigation_id",
         F.lit("promote_to_production").alias("requested_action"), F.col("candidate_model_version").alias("model_version"),
         F.lit("pending").alias("status"), F.col("finished_at").alias("created_at"))
