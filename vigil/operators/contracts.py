@@ -66,15 +66,27 @@ def _when(broken: Column, path: str, rule: str) -> Column:
     return F.when(F.coalesce(broken, F.lit(True)), F.array(F.lit(f"{path}: {rule}"))).otherwise(F.array().cast(_NONE))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _field_rules(rule: dict, path: str, lacking: Column):
+    return lambda field: F.when(field.isNull(), lacking).otherwise(broken_rules(rule, field, path))
+
+
 def broken_rules(schema: dict, value: Column, path: str = "$") -> Column:
-    """``array<string>`` of the rules of ``schema`` that a variant breaks; ``value`` is present (it may be JSON null)."""
+    """``array<string>`` of the rules of ``schema`` that a variant breaks; ``value`` is present (it may be JSON null).
+    It is named by many rules, so it is a column or a bound value (``_let``), not an expression to be computed."""
     if "nullable" in schema:
         return F.when(F.is_variant_null(value), F.array().cast(_NONE)).otherwise(broken_rules(schema["nullable"], value, path))
     kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-    kind = F.schema_of_variant(value)
-    right = _is(kind, value, kinds[0])
-    for k in kinds[1:]:
-        right = right | _is(kind, value, k)
+
+    def right(kind: Column) -> Column:
+        ok = _is(kind, value, kinds[0])
+        for k in kinds[1:]:
+            ok = ok | _is(kind, value, k)
+        return F.coalesce(ok, F.lit(False))
     found = []
     text = F.try_variant_get(value, "$", "string")
     if "const" in schema:
@@ -92,25 +104,24 @@ def broken_rules(schema: dict, value: Column, path: str = "$") -> Column:
         found.append(F.array_distinct(F.flatten(F.transform(items, lambda x: broken_rules(schema["items"], x, f"{path}[]")))))
     for name, rule in schema.get("properties", {}).items():
         there = f"{path}.{name}" if path != "$" else name
-        field = F.try_variant_get(value, f"$.{name}", "variant")
         lacking = _when(F.lit(True), there, "required") if name in schema.get("required", []) else F.array().cast(_NONE)
-        found.append(F.when(field.isNull(), lacking).otherwise(broken_rules(rule, field, there)))
+        found.append(_let(F.try_variant_get(value, f"$.{name}", "variant"), _field_rules(rule, there, lacking)))
     if schema.get("additionalProperties") is False:
         names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
         strange = F.filter(names, lambda n: ~n.isin(list(schema["properties"])))
         prefix = "" if path == "$" else f"{path}."
         found.append(F.transform(strange, lambda n: F.concat(F.lit(prefix), n, F.lit(": unknown"))))
     whole = F.concat(*found) if found else F.array().cast(_NONE)
-    return F.when(~F.coalesce(right, F.lit(False)), F.array(F.lit(f"{path}: type"))).otherwise(whole)
+    return F.when(_let(F.schema_of_variant(value), right), whole).otherwise(F.array(F.lit(f"{path}: type")))
 
 
 def check_json(df: DataFrame, json_col: str, schema: dict, headers: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``violations`` (all of them, in the schema's order) and ``valid``. Text that is null or no JSON breaks
     ``$: json`` alone. ``headers``: header column -> field of the text that it must equal where the header is given."""
-    v = F.try_parse_json(json_col)
-    rules = broken_rules(schema, v)
-    for column, name in (headers or {}).items():
-        differs = F.col(column).isNotNull() & ~F.col(column).eqNullSafe(F.try_variant_get(v, f"$.{name}", "string"))
-        rules = F.concat(rules, F.when(differs, F.array(F.lit(f"header {column}: differs from {name}"))).otherwise(F.array().cast(_NONE)))
-    return df.withColumn("violations", F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(rules)).withColumn(
-        "valid", F.size("violations") == 0)
+    def rules(v: Column) -> Column:
+        found = broken_rules(schema, v)
+        for column, name in (headers or {}).items():
+            differs = F.col(column).isNotNull() & ~F.col(column).eqNullSafe(F.try_variant_get(v, f"$.{name}", "string"))
+            found = F.concat(found, F.when(differs, F.array(F.lit(f"header {column}: differs from {name}"))).otherwise(F.array().cast(_NONE)))
+        return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)
+    return df.withColumn("violations", _let(F.try_parse_json(json_col), rules)).withColumn("valid", F.size("violations") == 0)

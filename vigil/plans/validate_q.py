@@ -191,14 +191,16 @@ def _broken(rows, changes, schema, key, headers):
     """Every row once for each rule, changed by it, as JSON text (an explicit null stays one), and checked."""
     from vigil.operators import contracts as CT
     own = [c for c in rows.columns if c not in headers]
-    out = None
+    made = []
     for name, change in changes.items():
-        made = rows.withColumns(change) if change else rows
         fields = [*own, *[c for c in change if c not in own and c not in headers]]
-        one = made.select(F.col(key).alias("_key"), F.lit(name).alias("rule"), *headers, F.to_json(
-            F.struct(*fields),
-            {"ignoreNullFields": "false"} if name.startswith("null_") else {}).alias("payload"))
-        out = one if out is None else out.unionByName(one)
+        values = {c: change.get(c, F.col(c) if c in rows.columns else None).alias(c) for c in [*fields, *headers]}
+        made.append(F.struct(F.lit(name).alias("rule"), *[values[h] for h in headers], F.to_json(
+            F.struct(*[values[c] for c in fields]),
+            {"ignoreNullFields": "false"} if name.startswith("null_") else {}).alias("payload")))
+    # a file may be read by few tasks: the rows are dealt out before they are multiplied
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = dealt.select(F.col(key).alias("_key"), F.inline(F.array(*made)))
     checked = CT.check_json(out, "payload", schema, headers)
     return checked.select(F.col("_key").alias(key), "rule", F.array_join("violations", ";").alias("violations"), "valid")
 
