@@ -184,7 +184,9 @@ def stream_score(spark, sf_dir):
     from vigil.operators import train as TRN
     from vigil.sources.standins import TRAIN_CATEGORICAL, TRAIN_KEY, TRAIN_NUMERIC, training_frame
     t = M.stratified_split(training_frame(spark, sf_dir), TRAIN_KEY, "y", seed=42)
-    model = TRN.fit(t.where(F.col("split") == "train"), TRAIN_NUMERIC, TRAIN_CATEGORICAL, "y")
+    train = t.where(F.col("split") == "train").select(*TRAIN_NUMERIC, *TRAIN_CATEGORICAL, "y").persist()  # read many times
+    model = TRN.fit(train, TRAIN_NUMERIC, TRAIN_CATEGORICAL, "y")
+    train.unpersist()
     stream = SO.event_stream(spark, sf_dir, "lineitem", ts_col="l_shipdate")
     feats = stream.select(*TRAIN_KEY, *TRAIN_NUMERIC, *TRAIN_CATEGORICAL)
     out = run_to_table(feats, "stream-score", foreach_batch=SO.score_split(model, TRAIN_KEY, 0.5, "stream"))
