@@ -1,12 +1,14 @@
 """The training-data operators against libraries, brute force and awkward rows."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +253,58 @@ def test_token_runs_equal_library_with_special_tokens():
         assert mine.encode(text) == mine.whole(text), repr(text)
 
 
+def test_token_batches_equal_library():
+    with open(P.path("byte_bpe_50k.json")) as f:
+        definition = f.read()
+    bits = ["a", "é", "中", "'s", "'", " ", "  ", "\n", "\t", "\r", "\0", "\x1c", "\x85", "\xa0", "\u3000", "\u2009", ".", "12",
+            "<|endoftext|>", "<|", "|>", "😀", "Жук", "ȟ", "ʼ", "\u0301", "“", "×", "word", "x" * 70]
+    r = random.Random(4)
+    for special_as_text in (False, True):
+        mine = tokenfile.Tokens(definition, special_as_text)
+        for _ in range(300):
+            texts = [r.choice([None, "", *["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(4)]]) for _ in range(12)]
+            ids, n = mine.encode_all(pa.array(["cut off", *texts], type=pa.string())[1:])
+            assert [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] == [mine.whole(t) if t else b"" for t in texts]
+    assert [len(x) for x in mine.encode_all(pa.array([], type=pa.string()))] == [0, 0]
+
+
+def test_token_batches_encode_each_new_run_once_in_few_calls(monkeypatch):
+    with open(P.path("byte_bpe_50k.json")) as f:
+        mine = tokenfile.Tokens(f.read(), False)
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=12)) for _ in range(1000)]
+    texts = [" ".join(r.sample(words, 1000)) for _ in range(5)]
+    want = b"".join(map(mine.whole, texts))
+    runs, made = [], mine.runs
+    monkeypatch.setattr(mine, "runs", lambda x: runs.append(x) or made(x))
+    for _ in range(2):  # the second time every run is in the table
+        assert mine.encode_all(pa.array(texts))[0].tobytes() == want
+    seen = [x for call in runs for x in call]
+    assert len(seen) == len(set(seen)) <= 1005 and len(runs) <= 1 + 1005 // tokenfile.RUNS_A_CALL
+
+
+def test_token_runs_of_a_vocabulary_without_some_bytes():
+    with open(P.path("byte_bpe_50k.json")) as f:
+        d = json.loads(f.read())
+    d["added_tokens"], d["model"]["vocab"], d["model"]["merges"] = [], {"a": 0, "b": 1, "ab": 2}, [["a", "b"]]
+    mine = tokenfile.Tokens(json.dumps(d), False)
+    text = "ab xb ab abx x ba é"
+    assert mine.by_space and mine.encode(text) == mine.whole(text)
+
+
+def test_token_table_keeps_what_is_used_and_stays_small():
+    table = tokenfile.Table(40_000)
+    made = []
+
+    def make(keys):
+        made.extend(keys)
+        return [k * 2 for k in keys]
+    for i in range(2000):
+        keys = [b"often", b"%d" % i, b"long" * 30]
+        assert table.get_all(keys, make) == [k * 2 for k in keys]
+    assert made.count(b"often") == 1 and len(table.now) + len(table.old) < 250
+
+
 def test_token_files_odd_rows(spark, odd, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_BYTES", 2000)  # several files
     definition = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()

@@ -12,12 +12,14 @@ the corpus it begins, so that files can be read in any order and by any task. ``
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import groupby
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +28,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import CUT, Cache2, held, range_bounds, range_of, ranges_for, shared_path, written
+from vigil.llm.common import held, range_bounds, range_of, ranges_for, shared_path, written
 
 MAGIC = b"VTOK1\n"
 #: A file is closed when its streams reach so many bytes; a larger document has a file of its own.
 FILE_BYTES = 8 << 20
-CACHE_BYTES = 64 << 20
-CACHE_CHARS = 48
+CACHE_BYTES = 128 << 20
+#: Longer pieces are not kept.
+KEPT_BYTES = 64
+RUNS_A_CALL = 256
 
-_CUT = re.compile(rf"(?={CUT.pattern})")
 #: Letters of which every Unicode version says so (Latin and Cyrillic); others are left to the library's pattern.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
-#: What keeps a text from being cut at its runs of these letters: other letters and marks beyond ASCII, an apostrophe
-#: (it takes letters with it), two white-space characters in a row (the last is cut off) and other control characters.
-_HARD = re.compile(rf"[^{_LETTERS}!-&(-~ \n\t]|[ \n\t]{{2}}")
-#: A run of letters with the space before it, a pre-token as it is; or what is between two of them.
-_RUNS = re.compile(rf" ?[{_LETTERS}]+|[^{_LETTERS}]+?(?= ?[{_LETTERS}]|\Z)")
+#: Kinds of bytes. Hard ones keep a text from being cut at its runs of letters: other letters and marks beyond ASCII, an
+#: apostrophe (it takes letters with it) and control characters; so do two white ones in a row (the last is cut off).
+_LETTER, _WHITE, _HARD = 1, 2, 3
+_IS_LETTER = np.array([re.match(f"[{_LETTERS}]", chr(c)) is not None for c in range(0x800)])
+_KINDS = np.full(256, _HARD, dtype=np.uint8)
+_KINDS[0x21:0x7F] = 0
+_KINDS[ord("'")] = _HARD
+_KINDS[:0x80][_IS_LETTER[:0x80]] = _LETTER
+_KINDS[[0x20, 0x0A, 0x09]] = _WHITE
+#: White space as ``CUT`` sees it: its ASCII bytes, and the other characters by their two or three bytes.
+_BLANKS = [chr(c).encode() for c in range(0x3001) if chr(c).isspace()]
+_BLANK = np.isin(np.arange(256), [b[0] for b in _BLANKS if len(b) == 1])
+_BLANK2, _BLANK3 = ([int.from_bytes(b) for b in _BLANKS if len(b) == n] for n in (2, 3))
+#: A run of letters with the space before it, a pre-token as it is.
+_RUN, _ASCII_RUN = re.compile(rf" ?[{_LETTERS}]+"), re.compile(rb" ?[A-Za-z]+")
 #: The byte-level alphabet writes printable Latin-1 bytes as themselves, the others from U+0100 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: The alphabet by byte, for runs of letters with zero bytes between them, which become the spaces the runs are split at.
+_SPLIT = " " + "".join(chr(_ALPHABET.get(b, b)) for b in range(1, 256))
 
 #: Bytes of the four ids of each control byte, and the mask of an id with so many bytes.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.int64) + 1
@@ -71,26 +86,96 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return padded[at[:, None] + np.arange(4)].view("<u4").ravel() & _MASKS[size]
 
 
+def pieces(data: np.ndarray, heads: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin whose UTF-8 bytes follow each other in ``data``. ``heads``: where the texts begin;
+    ``alone``: which of them stay whole. Plain stretches are cut into runs of letters, with the space before them, and
+    what is between two of them; a part from one ``CUT`` to the next that has something hard in it is one piece."""
+    kind = _KINDS[data]
+    if data.max() > 0x7F:
+        at = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xDF) & (data[1:] >> 6 == 2))
+        at = at[_IS_LETTER[(data[at].astype(np.int64) & 0x1F) << 6 | data[at + 1] & 0x3F]]
+        kind[at] = kind[at + 1] = _LETTER
+    letter, white, hard = kind == _LETTER, kind == _WHITE, kind == _HARD
+    space = data == 0x20
+    head = np.zeros(len(data), dtype=bool)
+    head[heads] = True
+    begins = letter[1:] & ~letter[:-1]
+    spaced = begins & space[:-1] & ~head[1:]
+    cut = head.copy()
+    cut[1:] |= (letter[:-1] & ~letter[1:]) | (begins & ~spaced)
+    cut[:-1] |= spaced
+    pair = white[:-1] & white[1:] & ~head[1:]
+    if not (hard.any() or pair.any() or alone.any()):
+        return np.flatnonzero(cut)
+    part = head.copy()
+    part[:-1] |= space[:-1] & ~_BLANK[data[1:]] & ~head[1:]
+    odd = np.flatnonzero(part[:-1] & space[:-1] & (data[1:] > 0x7F) & ~head[1:])  # before white space beyond ASCII?
+    if len(odd):
+        code = np.append(data, np.zeros(3, dtype=np.uint8))[odd[:, None] + [1, 2, 3]].astype(np.int64) @ [1 << 16, 1 << 8, 1]
+        blank = odd[np.isin(code, _BLANK3) | np.isin(code >> 8, _BLANK2)]
+        part[blank] = head[blank]
+    at = np.flatnonzero(part)
+    whole = alone[np.searchsorted(heads, at, side="right") - 1]
+    at, whole = at[~whole | head[at]], whole[~whole | head[at]]
+    hard[1:] |= pair & ~part[1:]
+    whole[np.searchsorted(at, np.flatnonzero(hard), side="right") - 1] = True
+    cuts = np.flatnonzero(cut)
+    cut[cuts[whole[np.searchsorted(at, cuts, side="right") - 1]]] = False
+    cut[at[whole]] = True
+    cut[at[1:][whole[:-1]]] = True
+    return np.flatnonzero(cut)
+
+
+class Table:
+    """A bounded table of the ids of pieces, in two generations: when half of ``limit`` bytes (keys, values and the table's
+    own) are in use it becomes the old one; entries still in use come back from there, the others go."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old, self.used = limit // 2, {}, {}, 0
+
+    def get_all(self, keys: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The values of distinct keys; ``make`` gives those of all that are missing."""
+        got = list(map(self.now.get, keys))
+        late = [i for i, v in enumerate(got) if v is None]
+        for i in late:
+            got[i] = self.old.get(keys[i])
+        new = [i for i in late if got[i] is None]
+        for i, v in zip(new, make([keys[i] for i in new])):
+            got[i] = v
+        for i in late:
+            k, v = keys[i], got[i]
+            if len(k) <= KEPT_BYTES:
+                self.used += 170 + len(k) + len(v)
+                if self.used >= self.limit:
+                    self.old, self.now, self.used = self.now, {}, 0
+                self.now[k] = v
+        return got
+
+
 class Tokens:
     """Encodes texts by a tokenizers file whose pre-tokenizer cuts before a space that no white space follows.
-    What lies between cuts is encoded once and kept; what many texts repeat costs a table lookup. A text of plain
-    letters and marks is cut into runs of letters, which are pre-tokens as they are and go straight to the library's
-    model, and what is between them. Any other text is cut at spaces, and its hard parts go through the whole library.
-    Unless ``special_as_text``, a text that contains an added token's content is never cut: the library finds such
-    tokens first, in the whole text."""
+    A batch's texts are cut into pieces (see ``pieces``), and each distinct piece is looked up once; what the table lacks
+    is encoded together: runs of letters, which are pre-tokens as they are, by the library's model, any other piece by
+    the whole library. Unless ``special_as_text``, a text that contains an added token's content is never cut: the
+    library finds such tokens first, in the whole text."""
 
     def __init__(self, definition: str, special_as_text: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = special_as_text
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
-        self.merges = self.model.model
+        self.merges = Tokenizer(self.model.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")  # no byte is written as a space in the byte-level alphabet
+        vocabulary = self.merges.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
         self.by_space = self._cuts_at_spaces(definition)
         added = [] if special_as_text else [a["content"] for a in json.loads(definition).get("added_tokens") or []]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.runs = Cache2(self.run, CACHE_BYTES)
-        self.hard = Cache2(self.whole, CACHE_BYTES >> 2)
+        self.added = re.compile(b"|".join(re.escape(a.encode()) for a in added)) if added else None
+        self.table = Table(CACHE_BYTES)
 
     @staticmethod
     def _cuts_at_spaces(definition: str) -> bool:
@@ -103,32 +188,59 @@ class Tokens:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def run(self, run: str) -> bytes:
-        """Ids of a match of ``_RUNS``: for letters the library's merges over their bytes in the byte-level alphabet."""
-        if not run[-1].isalpha():
-            return self.whole(run)
-        shown = run.encode().decode("latin-1").translate(_ALPHABET)
-        return array(self.code, [t.id for t in self.merges.tokenize(shown)]).tobytes()
-
-    @staticmethod
-    def known(table: Cache2, parts: list[str]) -> list[bytes]:
-        """The parts' ids by a table that keeps short ones."""
-        if max(map(len, parts), default=0) <= CACHE_CHARS:
-            return list(map(table.__getitem__, parts))
-        return [table[p] if len(p) <= CACHE_CHARS else table.make(p) for p in parts]
+    def runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs of letters: the library's merges over their bytes in the byte-level alphabet, many runs a call.
+        A token has as many bytes as its entry has characters, which tells where a run's ids end."""
+        shown = charmap_decode(b"\0".join(runs), "strict", _SPLIT)[0]
+        ids = self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids
+        covered = np.cumsum(self.lengths[ids])
+        want = np.cumsum(list(map(len, runs)))
+        ends = np.searchsorted(covered, want) + 1
+        if len(covered) < len(runs) or covered[-1] != want[-1] or (covered[ends - 1] != want).any():
+            return [self.whole(r.decode()) for r in runs]  # a vocabulary that lacks some byte
+        packed, ends = array(self.code, ids).tobytes(), (ends * np.dtype(self.kind).itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def made(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the library."""
+        plain = [_ASCII_RUN.fullmatch(k) is not None or not k.isascii() and _RUN.fullmatch(k.decode()) is not None
+                 for k in keys]
+        runs = list(compress(keys, plain))
+        by_run = iter([ids for i in range(0, len(runs), RUNS_A_CALL) for ids in self.runs(runs[i:i + RUNS_A_CALL])])
+        return [next(by_run) if p else self.whole(k.decode()) for k, p in zip(keys, plain)]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts (strings or UTF-8 bytes), one after another, and how many each text has; null counts
+        as empty."""
+        texts = texts.cast(pa.binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        if not len(texts) or bounds[0] == bounds[-1]:
+            return np.zeros(0, dtype=self.kind), np.zeros(len(texts), dtype=np.int64)
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds.astype(np.int64) - bounds[0]
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        alone = np.full(len(full), not self.by_space)
+        if self.added is not None:
+            hits = [m.start() for m in self.added.finditer(data)]
+            alone[np.searchsorted(bounds[full], hits, side="right") - 1] = True
+        cuts = pieces(data, bounds[full], alone)
+        at = pa.py_buffer(np.append(cuts, len(data)).astype(np.int32))
+        found = pa.Array.from_buffers(pa.binary(), len(cuts), [None, at, pa.py_buffer(data)]).dictionary_encode()
+        key_at, keys = np.frombuffer(found.dictionary.buffers()[1], dtype=np.int32).tolist(), found.dictionary.buffers()[2]
+        keys = keys.to_pybytes()
+        by_key = self.table.get_all([keys[a:b] for a, b in zip(key_at, key_at[1:len(found.dictionary) + 1])], self.made)
+        flat = np.frombuffer(b"".join(by_key), dtype=self.kind)
+        size = np.fromiter(map(len, by_key), dtype=np.int64, count=len(by_key)) // flat.itemsize
+        codes = found.indices.to_numpy()
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - ends + n, n) + np.arange(ends[-1])]
+        ends = np.append(0, ends)[np.searchsorted(cuts, bounds)]
+        return ids, np.diff(ends)
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids (``kind`` integers) of a whole text; null counts as empty."""
-        if not text:
-            return b""
-        if not self.by_space or (self.added is not None and self.added.search(text)):
-            return self.whole(text)
-        if not _HARD.search(text):
-            return b"".join(self.known(self.runs, _RUNS.findall(text)))
-        out = []
-        for hard, parts in groupby(_CUT.split(text), lambda p: _HARD.search(p) is not None):
-            out += self.known(self.hard, list(parts)) if hard else self.known(self.runs, _RUNS.findall("".join(parts)))
-        return b"".join(out)
+        return self.encode_all(pa.array([text], type=pa.string()))[0].tobytes()
 
 
 def tokens_of(definition: str, special_as_text: bool) -> Tokens:
@@ -143,12 +255,13 @@ def tokenised(docs: DataFrame, definition: str, end_id: int | None, bounds: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tok = tokens_of(shared.value, special_as_text)
-            end = b"" if end_id is None else np.array([end_id], dtype=tok.kind).tobytes()
-            ids = [tok.encode(t) + end for t in b.column("text").to_pylist()]
-            width = np.dtype(tok.kind).itemsize
+            ids, n = tok.encode_all(b.column("text"))
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            at = np.append(0, np.cumsum(n) * ids.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range_of(bounds, b.column("doc_id")), type=pa.int32()), b.column("doc_id"),
-                 pa.array(ids, type=pa.binary()), pa.array([len(i) // width for i in ids], type=pa.int64())],
+                [pa.array(range_of(bounds, b.column("doc_id")), type=pa.int32()), b.column("doc_id"), packed, pa.array(n)],
                 names=["range", "doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
